@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Lets the Arrow functions below run on workers that do not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Null placeholders and the words read as true or false.
 NULL_PLACEHOLDERS = ("n/a", "na", "n\\a", "null", "none", "nan", "-", "s/d", "sin dato", "")
 TRUE_WORDS = ("1", "true", "si", "yes", "y", "verdadero", "s")
