@@ -20,22 +20,35 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Largest table for which the silhouette uses plain distances between all rows.
 EXACT_SILHOUETTE_ROWS = 20_000
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def best_kmeans(
-    df: DataFrame, k: int, seed: int = 42, starts: int = 10, max_iter: int = 300, features: str = "features"
-) -> KMeansModel:
-    """The fit with the lowest cost out of several starts; ``df`` should be persisted."""
-    jvm_session = df.sparkSession
+    df: DataFrame,
+    candidates: tuple[int, ...],
+    seed: int = 42,
+    starts: int = 10,
+    max_iter: int = 300,
+    features: str = "features",
+) -> dict[int, KMeansModel]:
+    """Per k, the fit with the lowest cost out of several starts; ``df`` should be persisted.
+
+    All fits are independent Spark jobs over the same cached vectors and are submitted side by side.
+    """
 
-    @inheritable_thread_target(jvm_session)
-    def fit(start: int) -> KMeansModel:
+    @inheritable_thread_target(df.sparkSession)
+    def fit(job: tuple[int, int]) -> KMeansModel:
+        k, start = job
         return KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol=features).fit(df)
 
+    jobs = [(k, start) for k in candidates for start in range(starts)]
     with ThreadPool(PARALLEL_FITS) as pool:
-        models = pool.map(fit, range(starts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+        models = pool.map(fit, jobs, chunksize=1)
+    best: dict[int, KMeansModel] = {}
+    for (k, _), model in zip(jobs, models):
+        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = model
+    return best
 
 
 def _euclidean_silhouette(df: DataFrame, features: str, cluster: str) -> float:
@@ -110,10 +123,10 @@ def choose_k(
     exact_rows: int = EXACT_SILHOUETTE_ROWS,
 ) -> KChoice:
     """The candidate with the highest silhouette, the smallest on ties; ``df`` should be persisted."""
-    models, scores = {}, []
-    for k in sorted(candidates):
-        models[k] = best_kmeans(df, k, seed, starts)
-        value, measure = silhouette(models[k].transform(df), exact_rows=exact_rows)
+    models = best_kmeans(df, tuple(sorted(candidates)), seed, starts)
+    scores = []
+    for k, model in models.items():
+        value, measure = silhouette(model.transform(df), exact_rows=exact_rows)
         scores.append((k, value, measure))
     best = max(scores, key=lambda s: (s[1], -s[0]))[0]
     return KChoice(best, models[best], scores)

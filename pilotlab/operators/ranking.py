@@ -58,6 +58,6 @@ def rank_clusters(df: DataFrame, cluster: str, score: str) -> DataFrame:
 
 
 def label_clusters(df: DataFrame, cluster: str, score: str) -> DataFrame:
-    """Adds ``segment``, the label of each row's cluster; the ranking has one row per cluster."""
+    """Adds ``segment``, the label of each row's cluster."""
     ranked = rank_clusters(df, cluster, score).select(cluster, "segment")
-    return df.join(F.broadcast(ranked), cluster, "left")
+    return df.join(ranked, cluster, "left")
