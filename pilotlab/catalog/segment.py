@@ -1 +1,279 @@
-QUERIES = {}
+"""Queries of the segmentation table and model, each with its oracle where SQL has one."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import cluster, ranking
+from ..plans import segment_base as sb
+from ..plans import segment_model as sm
+from ..plans.spec import PRIORITY_COLUMNS
+from ..sources.tables import cut_lineage, write_table
+from ..streaming.scoring import request_stream, start_scoring
+from .common import ELIGIBLE, SEGMENT, SEGMENT_BASE, load, rounded, trusted
+from .profile import describe_sql
+
+
+def eligible_client_rates(spark: SparkSession, sf: str) -> DataFrame:
+    client, card, tx, _ = trusted(spark, sf)
+    rates = sb.transaction_rates(client, card, tx, SEGMENT)
+    return rounded(rates, {"monthly_frequency": 6, "monthly_amount": 4})
+
+
+_SQL_RATES = f"""{SEGMENT_BASE} SELECT e.client_id, coalesce(etx.n, 0) AS n_transactions,
+  round(coalesce(etx.n, 0) / observed_months, 6) AS monthly_frequency,
+  round(CAST(coalesce(etx.total, 0) AS DOUBLE) / observed_months, 4) AS monthly_amount
+FROM eligible e LEFT JOIN etx USING (client_id)"""
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    return sb.segment_features(*trusted(spark, sf), SEGMENT)
+
+
+_DIGITS = {"age_years": 6, "monthly_frequency": 6, "monthly_amount": 4, "monthly_contacts": 6, "response_rate": 6}
+
+
+def segment_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_features(spark, sf), _DIGITS)
+
+
+_SQL_SEGMENT = f"""{SEGMENT_BASE} SELECT client_id, round(age_years, 6) AS age_years, tenure_days,
+  round(monthly_frequency, 6) AS monthly_frequency, round(CAST(monthly_amount AS DOUBLE), 4) AS monthly_amount,
+  type_diversity, round(monthly_contacts, 6) AS monthly_contacts, round(response_rate, 6) AS response_rate,
+  has_active_virtual, virtual_card_days, city, acquisition_channel FROM base"""
+
+
+def eligibility_report(spark: SparkSession, sf: str) -> DataFrame:
+    client, card, tx, _ = trusted(spark, sf)
+    return rounded(sb.eligibility_counts(client, card, tx, SEGMENT), {"pct": 6})
+
+
+_SQL_ELIGIBILITY = f"""{ELIGIBLE}, n AS (SELECT (SELECT count(*) FROM client) AS n0,
+  (SELECT count(*) FROM client WHERE client_id NOT IN (SELECT client_id FROM owner)) AS n1,
+  (SELECT count(*) FROM client WHERE client_id NOT IN (SELECT client_id FROM owner) AND NOT flag_minor) AS n2,
+  (SELECT count(*) FROM eligible) AS n3)
+SELECT 'client' AS "table", CAST(1 AS BIGINT) AS stage, 'has or had a physical card' AS reason, n0 AS n_before,
+  n0 - n1 AS n_excluded, round((n0 - n1) * 100.0 / n0, 6) AS pct FROM n
+UNION ALL SELECT 'client', 2, 'minor at registration', n1, n1 - n2, round((n1 - n2) * 100.0 / n1, 6) FROM n
+UNION ALL SELECT 'client', 3, 'tenure too short', n2, n2 - n3, round((n2 - n3) * 100.0 / n2, 6) FROM n"""
+
+
+def observation_window_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    client, card, tx, _ = trusted(spark, sf)
+    coverage = sb.window_coverage(sb.eligible_clients(client, card, tx, SEGMENT), SEGMENT)
+    return rounded(coverage, {c: 4 for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
+
+
+_SQL_COVERAGE = f"""{ELIGIBLE} SELECT d.*, (SELECT count(*) FROM eligible WHERE observed_days >= 365) AS n_full_window
+FROM ({describe_sql('eligible', ['observed_months'])}) d"""
+
+
+def priority_score(spark: SparkSession, sf: str) -> DataFrame:
+    scored = ranking.with_priority_score(_features(spark, sf), PRIORITY_COLUMNS)
+    return scored.select("client_id", F.round("priority_score", 5).alias("priority_score"))
+
+
+_Z = " + ".join(
+    f"coalesce(({c} - (SELECT avg({c}) FROM base)) / nullif((SELECT stddev_samp({c}) FROM base), 0), 0)"
+    for c in PRIORITY_COLUMNS
+)
+_SCORED = f"""{SEGMENT_BASE.replace('base AS (', 'base AS MATERIALIZED (')},
+scored AS (SELECT *, {_Z} AS score FROM base)"""
+
+
+def rank_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Acquisition channels ranked and labelled by the mean score of their clients."""
+    scored = ranking.with_priority_score(_features(spark, sf), PRIORITY_COLUMNS)
+    ranked = ranking.rank_clusters(scored, "acquisition_channel", "priority_score")
+    return rounded(ranked, {"mean_score": 5}).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+_SQL_RANK = f"""{_SCORED} SELECT acquisition_channel, n, round(mean_score, 5) AS mean_score, place AS rank,
+  CASE WHEN k <= 5 THEN ['alto_potencial', 'medio_alto', 'medio', 'medio_bajo', 'bajo_potencial'][place]
+    ELSE 'prioridad_' || place END AS segment
+FROM (SELECT *, row_number() OVER (ORDER BY mean_score DESC) AS place, count(*) OVER () AS k
+  FROM (SELECT acquisition_channel, count(*) AS n, avg(score) AS mean_score FROM scored GROUP BY 1))"""
+
+
+def label_segments(spark: SparkSession, sf: str) -> DataFrame:
+    scored = ranking.with_priority_score(_features(spark, sf), PRIORITY_COLUMNS)
+    labelled = ranking.label_clusters(scored, "city", "priority_score")
+    return labelled.select("client_id", "city", "segment")
+
+
+_SQL_LABEL = f"""{_SCORED}, means AS (SELECT city, avg(score) AS m FROM scored GROUP BY city),
+places AS (SELECT city, row_number() OVER (ORDER BY m DESC) AS place FROM means)
+SELECT client_id, city, 'prioridad_' || place AS segment FROM scored JOIN places USING (city)"""
+
+
+def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["tenure_days", "monthly_frequency", "monthly_amount", "response_rate"]
+    profile = cluster.cluster_profile(_features(spark, sf), "acquisition_channel", columns)
+    return rounded(profile, {c: 4 for c in columns})
+
+
+_SQL_PROFILE = f"""{SEGMENT_BASE} SELECT acquisition_channel, count(*) AS n, round(avg(tenure_days), 4) AS tenure_days,
+  round(avg(monthly_frequency), 4) AS monthly_frequency, round(avg(monthly_amount), 4) AS monthly_amount,
+  round(avg(response_rate), 4) AS response_rate FROM base GROUP BY acquisition_channel"""
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("x")
+    )
+
+
+def assign_nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector to the nearest mean vector of the labels."""
+    vectors = _vectors(spark, sf)
+    means = (
+        vectors.select("label", F.posexplode("x").alias("i", "v"))
+        .groupBy("label", "i").agg(F.avg("v").alias("v"))
+        .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c"))
+    )
+    centroids = [(r["label"], [p["v"] for p in r["c"]]) for r in means.orderBy("label").collect()]
+    return vectors.select("vec_id", cluster.nearest_centroid(F.col("x"), centroids).alias("nearest"))
+
+
+_SQL_NEAREST = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT label, i, avg(x[i]) AS m FROM v, range(1, (SELECT max(len(x)) FROM v) + 1) r(i) GROUP BY label, i),
+c AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY label)
+SELECT vec_id, arg_min(c.label, list_distance(x, c)) AS nearest FROM v, c GROUP BY vec_id"""
+
+
+def _silhouette(spark: SparkSession, sf: str, exact_rows: int) -> DataFrame:
+    rows = _vectors(spark, sf).select(array_to_vector("x").alias("features"), F.col("label").alias("prediction"))
+    value, measure = cluster.silhouette(rows.persist(), exact_rows=exact_rows)
+    rows.unpersist()
+    return spark.createDataFrame([(round(value, 6), measure)], "silhouette double, measure string")
+
+
+def silhouette_squared(spark: SparkSession, sf: str) -> DataFrame:
+    """The measure for tables of any size: squared distances from per-cluster aggregates."""
+    return _silhouette(spark, sf, exact_rows=0)
+
+
+def silhouette_euclidean(spark: SparkSession, sf: str) -> DataFrame:
+    return _silhouette(spark, sf, cluster.EXACT_SILHOUETTE_ROWS)
+
+
+def _silhouette_sql(power: int, measure: str) -> str:
+    return f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT label, count(*) AS size FROM v GROUP BY label),
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x) ** {power}) AS total
+  FROM v a, v b GROUP BY ALL),
+s AS (SELECT vec_id, own, any_value(o.size) AS own_size,
+    sum(total) FILTER (own = other) / nullif(any_value(o.size) - 1, 0) AS a, min(total / n.size) FILTER (own <> other) AS b
+  FROM d JOIN n ON n.label = other JOIN n o ON o.label = own GROUP BY vec_id, own)
+SELECT round(avg(CASE WHEN own_size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
+  '{measure}' AS measure FROM s"""
+
+
+def kmeans_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return sm.segment_clients(cut_lineage(_features(spark, sf))).clients.select(
+        "client_id", "cluster_id", "segment", F.round("priority_score", 4).alias("priority_score")
+    )
+
+
+def choose_k(spark: SparkSession, sf: str) -> DataFrame:
+    base = cut_lineage(_features(spark, sf))
+    return sm.segment_clients(base).choice.table(base)
+
+
+def score_new_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Clients outside the trained population scored with the stored statistics of that population."""
+    base = cut_lineage(_features(spark, sf))
+    trained = sm.segment_clients(base.where(F.col("acquisition_channel") != "MACHINERY"), (4,), starts=2)
+    return trained.model.score(base.where(F.col("acquisition_channel") == "MACHINERY")).select(
+        "client_id", "cluster_id", "segment", "priority_score"
+    )
+
+
+def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose score changes when the model is saved and loaded: all counts should agree."""
+    base = cut_lineage(_features(spark, sf))
+    model = sm.segment_clients(base, (3,), starts=2).model
+    folder = tempfile.mkdtemp(prefix="model-")
+    model.save(spark, folder)
+    before = model.score(base).select("client_id", "cluster_id", "segment", "priority_score")
+    after = sm.SegmentModel.load(spark, folder).score(base)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("cluster_id", "segment", "priority_score")]
+    return before.alias("a").join(after.alias("b"), "client_id").agg(
+        F.count("*").alias("n"), F.count_if(same[0] & same[1] & same[2]).alias("n_same")
+    )
+
+
+def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Clients as JSON requests through the scoring stream; some lack a field and are rejected."""
+    base = cut_lineage(_features(spark, sf))
+    model = sm.segment_clients(base, (3,), starts=2).model
+    folder = tempfile.mkdtemp(prefix="stream-")
+    required = F.struct(*model.required)
+    partial = F.struct(*model.required[1:])
+    body = F.when(F.col("client_id") % 10 == 0, F.to_json(partial, {"ignoreNullFields": "false"})).otherwise(
+        F.to_json(required, {"ignoreNullFields": "false"})
+    )
+    base.select(body.alias("value")).write.text(f"{folder}/requests")
+    requests = request_stream(spark, f"{folder}/requests")
+    for query in start_scoring(requests, model, f"{folder}/out", f"{folder}/state"):
+        query.awaitTermination()
+    scored = spark.read.parquet(f"{folder}/out/scored").groupBy("segment").agg(F.count("*").alias("n"))
+    rejected = spark.read.parquet(f"{folder}/out/rejected").agg(
+        F.lit("rejected").alias("segment"), F.count("*").alias("n")
+    )
+    return scored.unionByName(rejected)
+
+
+def lookup_clients(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored scores for every client id that occurs in the events or orders, as text."""
+    client, card, tx, _ = trusted(spark, sf)
+    stored = sb.transaction_rates(client, card, tx, SEGMENT).select("client_id", "n_transactions")
+    requests = (
+        load(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("client_id"))
+        .union(load(spark, sf, "events").select((F.col("user_id") + 5_000_000).cast("string")))
+        .distinct()
+    )
+    found = sm.lookup_clients(requests, stored)
+    return found.withColumn("n_transactions", F.coalesce("n_transactions", F.lit(-1)).cast("bigint"))
+
+
+_SQL_LOOKUP = f"""{SEGMENT_BASE}, wanted AS (SELECT CAST(o_custkey AS VARCHAR) AS client_id FROM orders
+  UNION SELECT CAST(user_id + 5000000 AS VARCHAR) FROM events)
+SELECT w.client_id, e.client_id IS NOT NULL AS found,
+  CASE WHEN e.client_id IS NULL THEN -1 ELSE coalesce(etx.n, 0) END AS n_transactions
+FROM wanted w LEFT JOIN eligible e ON CAST(e.client_id AS VARCHAR) = w.client_id
+LEFT JOIN etx ON etx.client_id = e.client_id"""
+
+
+def write_and_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The segmentation table written as Parquet, replaced once, and read back."""
+    path = f"{tempfile.mkdtemp(prefix='table-')}/segment_base.parquet"
+    write_table(_features(spark, sf).limit(0), path)
+    write_table(_features(spark, sf), path)
+    return rounded(spark.read.parquet(path), _DIGITS)
+
+
+QUERIES = {
+    "eligible_client_rates": (eligible_client_rates, _SQL_RATES),
+    "segment_features": (segment_features, _SQL_SEGMENT),
+    "eligibility_report": (eligibility_report, _SQL_ELIGIBILITY),
+    "observation_window_coverage": (observation_window_coverage, _SQL_COVERAGE),
+    "priority_score": (priority_score, f"{_SCORED} SELECT client_id, round(score, 5) AS priority_score FROM scored"),
+    "rank_segments": (rank_segments, _SQL_RANK),
+    "label_segments": (label_segments, _SQL_LABEL),
+    "cluster_profile": (cluster_profile, _SQL_PROFILE),
+    "assign_nearest_centroid": (assign_nearest_centroid, _SQL_NEAREST),
+    "silhouette_squared": (silhouette_squared, _silhouette_sql(2, "squaredEuclidean")),
+    "silhouette_euclidean": (silhouette_euclidean, _silhouette_sql(1, "euclidean")),
+    "kmeans_segments": (kmeans_segments, None),
+    "choose_k": (choose_k, None),
+    "score_new_rows": (score_new_rows, None),
+    "model_round_trip": (model_round_trip, None),
+    "stream_scores": (stream_scores, None),
+    "lookup_clients": (lookup_clients, _SQL_LOOKUP),
+    "write_and_read": (write_and_read, _SQL_SEGMENT),
+}
