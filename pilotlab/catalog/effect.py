@@ -114,7 +114,7 @@ def _balance_sql() -> str:
 
 
 def category_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.category_balance(_base(spark, sf), "treated", "acquisition_channel")
+    return balance.category_balance(cut_lineage(_base(spark, sf)), "treated", "acquisition_channel")
 
 
 _SQL_CATEGORY = f"""{EFFECT_BASE}, n AS (SELECT count(*) FILTER (treated = 1) AS t, count(*) FILTER (treated = 0) AS c
@@ -194,7 +194,7 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def effect_summary(spark: SparkSession, sf: str) -> DataFrame:
-    treated = _base(spark, sf).where("treated = 1")
+    treated = cut_lineage(_base(spark, sf).where("treated = 1"))
     digits = {c: 4 for c in ("mean", "std", "min", "q25", "q50", "q75", "max", "pct_positive")}
     return rounded(tests.effect_summary(treated, "y_amount"), digits)
 
@@ -239,7 +239,7 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def winsorize(spark: SparkSession, sf: str) -> DataFrame:
-    treated = _base(spark, sf).where("treated = 1")
+    treated = cut_lineage(_base(spark, sf).where("treated = 1"))
     return tests.winsorize(treated, "y_amount", "held").select("client_id", F.round("held", 4).alias("held"))
 
 

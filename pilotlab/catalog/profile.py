@@ -226,10 +226,24 @@ _SQL_MODE = f"""SELECT city, tx_type, n FROM (SELECT city, tx_type, count(*) AS
   FROM {tv.oracle('tx')} t JOIN {tv.oracle('client')} c USING (client_id) GROUP BY city, tx_type) WHERE place = 1"""
 
 
+def bucketed_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles by the way taken for large tables."""
+    lines = load(spark, sf, "lineitem")
+    columns = {c: F.col(c) for c in ("l_extendedprice", "l_quantity", "l_discount")}
+    found = ordering.exact_quantiles(lines, columns, [0.0, 0.01, 0.5, 0.9, 1.0], small_rows=0)
+    return rounded(found, {"value": 4})
+
+
+_SQL_QUANTILES = "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS variable, CAST({p} AS DOUBLE) AS p, round(quantile_cont({c}, {p}), 4) AS value FROM lineitem"""
+    for c in ("l_extendedprice", "l_quantity", "l_discount") for p in (0.0, 0.01, 0.5, 0.9, 1.0)
+)
+
+
 def running_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Lines cheaper than each price: the bucketed running count behind ranks and quantiles."""
     runs = ordering.value_runs(load(spark, sf, "lineitem"), {"price": F.col("l_extendedprice")})
-    return ordering.with_rows_before(runs).select(
+    return ordering.with_rows_before(runs, small_rows=0).select(
         F.round("value", 2).alias("price"), "n", F.col("before").cast("bigint").alias("before")
     )
 
@@ -267,6 +281,7 @@ QUERIES = {
                              describe_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"])),
     "mode_by_group": (mode_by_group, _SQL_MODE),
     "running_counts": (running_counts, _SQL_RUNNING),
+    "bucketed_quantiles": (bucketed_quantiles, _SQL_QUANTILES),
     "event_span": (event_span, """SELECT event_type, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us
         FROM events GROUP BY event_type"""),
 }

@@ -64,7 +64,7 @@ UNION ALL SELECT 'client', 3, 'tenure too short', n2, n2 - n3, round((n2 - n3) *
 
 def observation_window_coverage(spark: SparkSession, sf: str) -> DataFrame:
     client, card, tx, _ = trusted(spark, sf)
-    coverage = sb.window_coverage(sb.eligible_clients(client, card, tx, SEGMENT), SEGMENT)
+    coverage = sb.window_coverage(cut_lineage(sb.eligible_clients(client, card, tx, SEGMENT)), SEGMENT)
     return rounded(coverage, {c: 4 for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
 
 
@@ -73,7 +73,7 @@ FROM ({describe_sql('eligible', ['observed_months'])}) d"""
 
 
 def priority_score(spark: SparkSession, sf: str) -> DataFrame:
-    scored = ranking.with_priority_score(_features(spark, sf), PRIORITY_COLUMNS)
+    scored = ranking.with_priority_score(cut_lineage(_features(spark, sf)), PRIORITY_COLUMNS)
     return scored.select("client_id", F.round("priority_score", 5).alias("priority_score"))
 
 
@@ -87,7 +87,7 @@ scored AS (SELECT *, {_Z} AS score FROM base)"""
 
 def rank_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Acquisition channels ranked and labelled by the mean score of their clients."""
-    scored = ranking.with_priority_score(_features(spark, sf), PRIORITY_COLUMNS)
+    scored = ranking.with_priority_score(cut_lineage(_features(spark, sf)), PRIORITY_COLUMNS)
     ranked = ranking.rank_clusters(scored, "acquisition_channel", "priority_score")
     return rounded(ranked, {"mean_score": 5}).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -100,7 +100,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY mean_score DESC) AS place, count(*)
 
 
 def label_segments(spark: SparkSession, sf: str) -> DataFrame:
-    scored = ranking.with_priority_score(_features(spark, sf), PRIORITY_COLUMNS)
+    scored = ranking.with_priority_score(cut_lineage(_features(spark, sf)), PRIORITY_COLUMNS)
     labelled = ranking.label_clusters(scored, "city", "priority_score")
     return labelled.select("client_id", "city", "segment")
 

@@ -96,7 +96,7 @@ def silhouette(
     ``exact_rows`` rows (counted first). Larger tables use squared distances, which come from one
     aggregate per cluster and one pass over the rows.
     """
-    if df.limit(exact_rows + 1).count() <= exact_rows:
+    if df.count() <= exact_rows:
         return _euclidean_silhouette(df, features, cluster), "euclidean"
     evaluator = ClusteringEvaluator(
         featuresCol=features, predictionCol=cluster, distanceMeasure="squaredEuclidean"

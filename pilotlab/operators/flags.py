@@ -53,7 +53,7 @@ def flag_orphans(
         .withColumn("_known", F.lit(True))
     )
     spread_by = spread_by or [c for c in child.columns if c != key] or [key]
-    joined = spread_join(child, known, key, spread_by)
+    joined = spread_join(child, known, key, spread_by, dims_rows=master.count())
     missing = F.col("_known").isNull() & (F.lit(null_is_orphan) | F.col(key).isNotNull())
     return joined.select(*child.columns, missing.alias(name))
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 200
+from ..sources.tables import cut_lineage
+
+BUCKETS = 256
+# Up to this many rows, counted first, the built-in exact percentile holds all values of a column.
+SMALL_ROWS = 200_000
 
 
 def value_runs(df: DataFrame, columns: dict[str, Column], **extra: Column) -> DataFrame:
@@ -23,18 +27,36 @@ def value_runs(df: DataFrame, columns: dict[str, Column], **extra: Column) -> Da
     return long.groupBy("variable", "value").agg(*aggregates)
 
 
-def with_rows_before(runs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def _bucket_of(runs: DataFrame, buckets: int) -> DataFrame:
+    """Adds ``bucket``: how many of the row's sorted ``cuts`` lie below its value, by binary search.
+
+    One projection per step keeps the search inside generated code.
+    """
+    out = runs.withColumn("bucket", F.lit(0))
+    step = 1 << (buckets - 1).bit_length()
+    while step > 1:
+        step //= 2
+        cut = F.get("cuts", F.col("bucket") + (step - 1))
+        out = out.withColumn("bucket", F.col("bucket") + F.when(cut < F.col("value"), step).otherwise(0))
+    return out.drop("cuts")
+
+
+def with_rows_before(runs: DataFrame, buckets: int = BUCKETS, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Adds ``before``, the number of rows with a smaller value of the same variable.
 
     Values are cut into buckets at approximate quantiles, counted within each bucket, and shifted by
-    the totals of the lower buckets. The cut points only balance the work; the counts are exact. Both
-    broadcast frames have at most ``buckets`` rows per variable.
+    the totals of the lower buckets. The cut points only balance the work; the counts are exact. The
+    bucketed runs are written once, because the totals and the running counts must see the same cuts.
+    Both broadcast frames have at most ``buckets`` rows per variable. Few runs, counted first, need no
+    buckets.
     """
+    runs = cut_lineage(runs)
+    if runs.count() <= small_rows:
+        lower = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return runs.withColumn("before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
     grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = runs.groupBy("variable").agg(F.percentile_approx("value", grid, 10_000).alias("cuts"))
-    bucketed = runs.join(F.broadcast(cuts), "variable").withColumn(
-        "bucket", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
-    ).drop("cuts")
+    bucketed = cut_lineage(_bucket_of(runs.join(F.broadcast(cuts), "variable"), buckets))
     below = Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy("variable", "bucket").agg(F.sum("n").alias("size"))
@@ -52,12 +74,33 @@ def with_rows_before(runs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
 
 
+def _small_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> DataFrame:
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    values = {n: c.cast("double") for n, c in columns.items()}
+    found = df.agg(*[F.percentile(F.when(~F.isnan(c), c), wanted).alias(n) for n, c in values.items()])
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("variable"), F.lit(float(p)).alias("p"), F.col(n)[i].alias("value"))
+        for n in columns for i, p in enumerate(probs)
+    ])))
+
+
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], buckets: int = BUCKETS
+    df: DataFrame,
+    columns: dict[str, Column],
+    probs: list[float],
+    buckets: int = BUCKETS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
-    """``(variable, p, value)``: quantiles with linear interpolation between order statistics."""
+    """``(variable, p, value)``: quantiles with linear interpolation between order statistics.
+
+    The table is counted first. A small one goes through the built-in percentile, whose state is then
+    bounded; for a larger one the ranks come from bucketed running counts.
+    """
+    if df.count() <= small_rows:
+        return _small_quantiles(df, columns, probs)
     runs = value_runs(df, columns)
-    totals = runs.groupBy("variable").agg(F.sum("n").alias("total"))
+    ranked = with_rows_before(runs, buckets, small_rows)
+    totals = ranked.groupBy("variable").agg(F.max(F.col("before") + F.col("n")).alias("total"))
     targets = totals.select(
         "variable",
         F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
@@ -70,7 +113,7 @@ def exact_quantiles(
         return (F.col("before") <= position) & (position <= last_in_run)
 
     # One target row per variable and probability: broadcast is bounded by the caller's lists.
-    hits = with_rows_before(runs, buckets).join(F.broadcast(targets), "variable").where(
+    hits = ranked.join(F.broadcast(targets), "variable").where(
         holds(low) | holds(high)
     )
     value_low = F.max(F.when(holds(low), F.col("value")))

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..sources.tables import cut_lineage
+
 ROWS_PER_SLICE = 2_000_000
 MAX_HEAVY_KEYS = 1_000
 SKETCH_GROUPS = 256
+# Largest side that is broadcast: a key and a few fixed-width columns per row.
+SMALL_DIMS_ROWS = 100_000
 
 
 def heavy_keys(
@@ -43,14 +47,18 @@ def spread_join(
     key: str,
     spread_by: list[str],
     how: str = "left",
+    dims_rows: int | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """``events`` joined to ``dims`` on ``key``, where ``dims`` holds each key at most once.
+    """``events`` joined (``left`` or ``inner``) to ``dims``, which holds each key at most once.
 
-    Without heavy keys this is a plain join. Otherwise the rows of a heavy key are cut into slices by a
-    hash of ``spread_by`` and that key's single ``dims`` row is repeated once per slice. Only the list
-    of heavy keys (bounded, see ``heavy_keys``) is broadcast. ``how`` is ``left`` or ``inner``.
+    ``dims`` is counted first (or its bound is given as ``dims_rows``): up to ``SMALL_DIMS_ROWS`` rows
+    are broadcast, and the events are not shuffled. Larger ones are joined by shuffle. There, the rows
+    of a heavy key are cut into slices by a hash of ``spread_by`` and that key's single ``dims`` row is
+    repeated once per slice; the list of heavy keys is bounded, see ``heavy_keys``.
     """
+    if (dims.count() if dims_rows is None else dims_rows) <= SMALL_DIMS_ROWS:
+        return events.join(F.broadcast(dims), key, how)
     heavy = heavy_keys(events, key, rows_per_slice)
     if not heavy:
         return events.join(dims, key, how)
@@ -86,10 +94,13 @@ def aggregate_by_key(
 ) -> DataFrame:
     """Every ``dims`` row with aggregates over its events; ``defaults`` where there are none.
 
-    The events see only the ``carry`` columns of ``dims``. The inner join lets Spark broadcast a small
-    ``dims`` side or filter the events early; slices of a heavy key are partly aggregated where they
-    are and only their partial results meet.
+    The events see only the ``carry`` columns of ``dims``. Slices of a heavy key are partly aggregated
+    where they are and only their partial results meet. ``dims`` is written once, because it is
+    counted, joined to the events and joined to their aggregates.
     """
-    joined = spread_join(events, dims.select(key, *carry), key, spread_by, "inner", rows_per_slice)
+    dims = cut_lineage(dims)
+    joined = spread_join(
+        events, dims.select(key, *carry), key, spread_by, "inner", rows_per_slice=rows_per_slice
+    )
     found = joined.groupBy(key).agg(*[c.alias(n) for n, c in aggregates.items()])
     return dims.join(found, key, "left").fillna(defaults)

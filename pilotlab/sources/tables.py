@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -55,10 +56,24 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+
+    Where none is set, as in local tests, a temporary folder becomes the checkpoint folder.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        configured = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder.
+
+    Computed once, kept through the loss of executors, and with a known size, so that later joins can
+    tell whether it is small.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
