@@ -99,8 +99,9 @@ def standardize_boolean(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.expr(_REFUND_TEXT)
     return (
         tv.view(spark, sf, "tx")
-        .select("client_id", "l_linenumber", text.parse_boolean(raw).cast("string").alias("is_refund"),
-                text.boolean_unrecognised(raw).alias("unrecognised"))
+        .select("client_id", "l_linenumber", raw.alias("raw"), text.parse_boolean(raw).alias("value"))
+        .select("client_id", "l_linenumber", F.col("value").cast("string").alias("is_refund"),
+                text.boolean_unrecognised(F.col("raw"), F.col("value")).alias("unrecognised"))
         .groupBy("client_id", "l_linenumber", "is_refund", "unrecognised")
         .agg(F.count("*").alias("n"))
     )

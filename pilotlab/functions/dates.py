@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ DATE_FORMATS = (
 
 _D = r"(3[01]|[12][0-9]|0[1-9]|[1-9])"
 _M = r"(1[0-2]|0[1-9]|[1-9])"
-_Y = r"([0-9]{4})"
+# Years of nanosecond timestamps; other years match no pattern.
+_Y = r"(16(?:7[89]|[89][0-9])|1[7-9][0-9]{2}|2[01][0-9]{2}|22(?:[0-5][0-9]|6[01]))"
 _H = r"(2[0-3]|[01][0-9]|[0-9])"
 _MS = r"([0-5][0-9]|[0-9])"
 
@@ -44,6 +47,7 @@ _SHAPES = {
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _DAY_SECONDS = 86_400
+SERIAL_OF_EPOCH = 25_569
 # 1900-01-01 and 2100-01-01 as days since 1899-12-30 and as seconds since 1970-01-01.
 SERIAL_RANGE = (2, 73_051)
 EPOCH_RANGE = (-2_208_988_800, 4_102_444_800)
@@ -74,41 +78,56 @@ def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def _by_shape(text: Column, result: Callable[[str], Column], missing: Column) -> Column:
+    """``result(format)`` of the pattern the text fits. Only ``/`` dates fit two: the day comes first.
+
+    A separator at a fixed place rules out most formats before any pattern is tried.
+    """
+
+    def first_hit(*names: str) -> Column:
+        hit = missing
+        for name in reversed(names):
+            hit = F.when(text.rlike(_SHAPES[name][0]), result(name)).otherwise(hit)
+        return hit
+
+    return (
+        F.when(F.substring(text, 5, 1) == "-", first_hit(*DATE_FORMATS[2::-1]))
+        .when(F.contains(text, F.lit("/")), first_hit("%d/%m/%Y", "%d/%m/%Y %H:%M", "%m/%d/%Y"))
+        .when(F.contains(text, F.lit("-")), first_hit("%d-%m-%Y"))
+        .otherwise(first_hit("%Y%m%d", "%d.%m.%Y"))
+    )
+
+
 def parse_date(c: Column) -> Column:
     """``struct<value timestamp_ntz, format string>`` of a date in any of ``DATE_FORMATS``.
 
-    The shape of the text picks one format, the text is rewritten once and cast once. What no
-    pattern reads is tried as a spreadsheet serial, then epoch seconds, then epoch milliseconds.
+    The shape of the text picks one pattern, the text is rewritten once and cast once. What no pattern
+    reads is tried as a spreadsheet serial, then epoch seconds, then epoch milliseconds.
     """
     text = strip_blanks(c)
-    canonical = F.lit(None).cast("struct<text:string,format:string>")
-    for name, (shape, rewrite) in reversed(_SHAPES.items()):
-        hit = F.struct(
-            F.regexp_replace(text, shape, rewrite).alias("text"), F.lit(name).alias("format")
-        )
-        canonical = F.when(text.rlike(shape), hit).otherwise(canonical)
-    parsed = canonical["text"].try_cast("timestamp_ntz")
-    by_pattern = F.when(
-        F.year(parsed).between(1678, 2261),
-        F.struct(parsed.alias("value"), canonical["format"].alias("format")),
+    no_text = F.lit(None).cast("string")
+    rewritten = _by_shape(text, lambda name: F.regexp_replace(text, *_SHAPES[name]), no_text)
+    by_pattern = rewritten.try_cast("timestamp_ntz")
+
+    number = text.try_cast("double")
+    serial = number.between(*SERIAL_RANGE)
+    epoch = number.between(*EPOCH_RANGE)
+    epoch_ms = number.between(EPOCH_RANGE[0] * 1000, EPOCH_RANGE[1] * 1000)
+    seconds = (
+        F.when(serial, (number - SERIAL_OF_EPOCH) * _DAY_SECONDS)
+        .when(epoch, number)
+        .when(epoch_ms, number / 1000)
     )
-
-    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-
-    def numeric(low: float, high: float, origin: str, seconds_per_unit: float, name: str) -> Column:
-        value = add_seconds(ntz(origin), number * seconds_per_unit)
-        return F.when(
-            number.between(low, high), F.struct(value.alias("value"), F.lit(name).alias("format"))
-        )
-
-    return F.coalesce(
-        by_pattern,
-        numeric(*SERIAL_RANGE, "1899-12-30 00:00:00", _DAY_SECONDS, "excel_serial"),
-        numeric(*EPOCH_RANGE, "1970-01-01 00:00:00", 1.0, "unix_epoch_segundos"),
-        numeric(
-            EPOCH_RANGE[0] * 1000, EPOCH_RANGE[1] * 1000, "1970-01-01 00:00:00", 0.001,
-            "unix_epoch_milisegundos",
-        ),
+    by_number = F.when(text.rlike(_NUMBER), add_seconds(ntz("1970-01-01 00:00:00"), seconds))
+    number_format = F.when(
+        text.rlike(_NUMBER),
+        F.when(serial, F.lit("excel_serial"))
+        .when(epoch, F.lit("unix_epoch_segundos"))
+        .when(epoch_ms, F.lit("unix_epoch_milisegundos")),
+    )
+    return F.struct(
+        F.coalesce(by_pattern, by_number).alias("value"),
+        F.when(by_pattern.isNotNull(), _by_shape(text, F.lit, no_text)).otherwise(number_format).alias("format"),
     )
 
 

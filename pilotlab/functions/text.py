@@ -22,24 +22,30 @@ FALSE_WORDS = ("0", "false", "no", "n", "falso")
 NULL_WORDS = ("nan", "none", "null", "n/a", "na", "")
 
 # Unicode blanks plus the four ASCII separators that count as blanks in text data.
-_BLANKS = r"(?U)[\s\x1c-\x1f]+"
-_EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
-
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 def strip_blanks(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), _EDGE_BLANKS, "")
+    return F.trim(c.cast("string"), F.lit(BLANKS))
 
 
 def collapse_text(c: Column) -> Column:
     """Lower case, underscores to blanks, runs of blanks to one, no blanks at the ends."""
-    lowered = F.translate(F.lower(c.cast("string")), "_", " ")
-    return F.trim(F.regexp_replace(lowered, _BLANKS, " "))
+    other = "_" + BLANKS[1:]
+    plain = F.translate(F.lower(c.cast("string")), other, " " * len(other))
+    return F.trim(F.regexp_replace(plain, "  +", " "))
+
+
+def drop_placeholders(collapsed: Column) -> Column:
+    """Null for a null placeholder. The array form evaluates its argument once."""
+    kept = F.array_except(F.array(collapsed), F.array(*[F.lit(p) for p in NULL_PLACEHOLDERS]))
+    return F.get(kept, 0)
 
 
 def normalize_text(c: Column) -> Column:
     """``collapse_text`` with null placeholders turned into real nulls."""
-    t = collapse_text(c)
-    return F.when(~t.isin(*NULL_PLACEHOLDERS), t)
+    return drop_placeholders(collapse_text(c))
 
 
 @lru_cache(maxsize=1)
@@ -98,9 +104,7 @@ def parse_boolean(c: Column, dtype: str = "string") -> Column:
     return F.when(folded.isin(*TRUE_WORDS), F.lit(True)).when(folded.isin(*FALSE_WORDS), F.lit(False))
 
 
-def boolean_unrecognised(c: Column, dtype: str = "string") -> Column:
-    """True where a value is present, is no null word and has no boolean reading."""
-    missing = parse_boolean(c, dtype).isNull() & c.isNotNull()
-    if dtype != "string":
-        return missing
-    return missing & ~_folded(c).isin(*NULL_WORDS)
+def boolean_unrecognised(c: Column, value: Column, dtype: str = "string") -> Column:
+    """True where ``c`` is present, is no null word and ``value``, its boolean reading, is null."""
+    missing = value.isNull() & c.isNotNull()
+    return missing & ~_folded(c).isin(*NULL_WORDS) if dtype == "string" else missing

@@ -11,56 +11,63 @@ from pyspark.sql import functions as F
 from ..functions import dates, ids, numbers, text
 
 MAX_UNRECOGNISED = 50
-Expression = Callable[[Column, str], Column]
+
+
+def _as_is(c: Column) -> Column:
+    return c
 
 
 @dataclass(frozen=True)
 class Step:
-    """One cleaner. ``apply`` and ``unrecognised`` get the column and its Spark type name."""
+    """One cleaner.
+
+    ``apply(column, type name)`` does the work once per value; ``value`` and ``format`` read its
+    outcome. ``unrecognised(source, value, type name)`` marks values the cleaner could not read.
+    """
 
     name: str
-    apply: Expression
-    unrecognised: Expression | None = None
-    format: Expression | None = None
+    apply: Callable[[Column, str], Column]
+    value: Callable[[Column], Column] = _as_is
+    format: Callable[[Column], Column] | None = None
+    unrecognised: Callable[[Column, Column, str], Column] | None = None
     out_type: str = "string"
 
 
-def _lost(apply: Expression) -> Expression:
-    return lambda c, t: c.isNotNull() & apply(c, t).isNull()
+def _lost(source: Column, value: Column, dtype: str) -> Column:
+    return source.isNotNull() & value.isNull()
 
 
 def text_step() -> Step:
-    return Step("normalize_text", lambda c, t: text.normalize_text(c))
+    return Step("normalize_text", lambda c, t: text.collapse_text(c), text.drop_placeholders)
 
 
 def date_step() -> Step:
-    apply: Expression = lambda c, t: dates.date_value(c)
     return Step(
-        "parse_date", apply, _lost(apply), lambda c, t: dates.date_format(c), "timestamp_ntz"
+        "parse_date", lambda c, t: dates.parse_date(c), lambda d: d["value"], lambda d: d["format"],
+        _lost, "timestamp_ntz",
     )
 
 
 def boolean_step() -> Step:
-    return Step("parse_boolean", text.parse_boolean, text.boolean_unrecognised, None, "boolean")
+    return Step(
+        "parse_boolean", text.parse_boolean, unrecognised=text.boolean_unrecognised, out_type="boolean"
+    )
 
 
 def prefix_step(labels: dict[str, str]) -> Step:
-    apply: Expression = lambda c, t: text.classify_prefix(c, labels)
-    return Step("classify_prefix", apply, _lost(apply))
+    return Step("classify_prefix", lambda c, t: text.classify_prefix(c, labels), unrecognised=_lost)
 
 
 def number_step() -> Step:
     def apply(c: Column, t: str) -> Column:
         return numbers.parse_number(c) if t == "string" else c.cast("double")
 
-    return Step("parse_number", apply, _lost(apply), None, "double")
+    return Step("parse_number", apply, unrecognised=_lost, out_type="double")
 
 
 def id_step() -> Step:
     return Step(
-        "format_id",
-        lambda c, t: ids.format_id(c),
-        lambda c, t: ids.id_unrecognised(ids.format_id(c)),
+        "format_id", lambda c, t: ids.format_id(c), unrecognised=lambda c, v, t: ids.id_unrecognised(v)
     )
 
 
@@ -71,28 +78,42 @@ Plan = list[tuple[str, tuple[Step, ...]]]
 @dataclass(frozen=True)
 class _Stage:
     position: int
+    level: int
     column: str
     step: Step
     source: Column
     source_type: str
+    outcome: Column
     result: Column
 
 
-def _stages(df: DataFrame, plan: Plan) -> list[_Stage]:
-    stages = []
-    for column, chain in plan:
-        value, dtype = F.col(column), df.schema[column].dataType.typeName()
-        for step in chain:
-            result = step.apply(value, dtype)
-            stages.append(_Stage(len(stages), column, step, value, dtype, result))
-            value, dtype = result, step.out_type
-    return stages
+def _staged(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[_Stage]]:
+    """``df`` with the result of every step as a column, one projection per depth of the chains."""
+    stages: list[_Stage] = []
+    depth = max((len(chain) for _, chain in plan), default=0)
+    out = df
+    current = {column: (F.col(column), df.schema[column].dataType.typeName()) for column, _ in plan}
+    for level in range(depth):
+        outcomes, results = {}, {}
+        for position, (column, chain) in enumerate(plan):
+            if level < len(chain):
+                source, dtype = current[column]
+                step, name = chain[level], f"{position}_{level}"
+                outcome = F.col(f"_outcome_{name}")
+                outcomes[f"_outcome_{name}"] = step.apply(source, dtype)
+                results[f"_result_{name}"] = step.value(outcome)
+                current[column] = (F.col(f"_result_{name}"), step.out_type)
+                stages.append(_Stage(position, level, column, step, source, dtype, outcome, current[column][0]))
+        out = out.select("*", *[c.alias(n) for n, c in outcomes.items()])
+        out = out.select("*", *[c.alias(n) for n, c in results.items()])
+    return out, sorted(stages, key=lambda s: (s.position, s.level))
 
 
 def clean_table(df: DataFrame, plan: Plan) -> DataFrame:
-    """Every column of ``df`` with its chain applied, as a single projection."""
-    final = {stage.column: stage.result for stage in _stages(df, plan)}
-    return df.select(*[final[c].alias(c) if c in final else F.col(c) for c in df.columns])
+    """Every column of ``df`` with its chain of steps applied."""
+    staged, stages = _staged(df, plan)
+    final = {s.column: s.result for s in stages}
+    return staged.select(*[final[c].alias(c) if c in final else F.col(c) for c in df.columns])
 
 
 def date_audit(df: DataFrame, columns: list[str], as_of: Column) -> DataFrame:
@@ -102,82 +123,68 @@ def date_audit(df: DataFrame, columns: list[str], as_of: Column) -> DataFrame:
         low, high = dates.plausible_range(dates.role_of(c), as_of)
         parsed = dates.parse_date(F.col(c))
         out = out.select(
-            "*",
-            parsed["value"].alias(f"{c}_value"),
-            parsed["format"].alias(f"{c}_format"),
-            dates.out_of_range(parsed["value"], low, high).alias(f"{c}_out_of_range"),
-        )
+            "*", parsed["value"].alias(f"{c}_value"), parsed["format"].alias(f"{c}_format")
+        ).withColumn(f"{c}_out_of_range", dates.out_of_range(F.col(f"{c}_value"), low, high))
     return out
 
 
 def quality_report(df: DataFrame, table: str, plan: Plan) -> DataFrame:
-    """One row per (column, step), in plan order, from two aggregates over the raw table.
+    """One row per (column, step), in plan order, from one pass over the raw table.
 
-    Formats and unrecognised values are counted by value before any shuffle; the fifty most frequent
-    unrecognised values per step are kept in the report, and ``n_unrecognised`` counts all rows.
+    Each row gives one mark per step: nulls in and out, the detected format, the value that was not
+    recognised. Equal marks are counted before the shuffle. The fifty most frequent unrecognised
+    values per step are listed; ``n_unrecognised`` counts all rows.
     """
-    stages = _stages(df, plan)
-    counts = df.agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(s.source.isNull()).alias(f"in{s.position}") for s in stages],
-        *[F.count_if(s.result.isNull()).alias(f"out{s.position}") for s in stages],
-    ).select(F.inline(F.array(*[
-        F.struct(
-            F.lit(s.position).alias("position"),
-            F.lit(table).alias("table"),
-            F.lit(s.step.name).alias("function"),
-            F.lit(s.column).alias("column"),
-            F.col("rows").alias("rows_in"),
-            F.col("rows").alias("rows_out"),
-            F.col(f"in{s.position}").alias("nulls_in"),
-            F.col(f"out{s.position}").alias("nulls_out"),
-        )
-        for s in stages
-    ])))
-
-    def mark(stage: _Stage, kind: str, value: Column) -> Column:
-        return F.struct(
-            F.lit(stage.position).alias("position"), F.lit(kind).alias("kind"),
-            value.cast("string").alias("value"),
-        )
-
+    staged, stages = _staged(df, plan)
     marks = []
-    for s in stages:
+    for i, s in enumerate(stages):
+        found, lost = F.lit(None).cast("string"), F.lit(None).cast("string")
         if s.step.format is not None:
-            detected = F.coalesce(s.step.format(s.source, s.source_type), F.lit("none"))
-            marks.append(mark(s, "format", detected))
+            found = F.coalesce(s.step.format(s.outcome), F.lit("none"))
         if s.step.unrecognised is not None:
-            lost = s.step.unrecognised(s.source, s.source_type)
-            marks.append(F.when(lost, mark(s, "value", s.source)))
-    if not marks:
-        return _report_columns(counts.withColumns({
-            "formats": F.expr("CAST(NULL AS map<string,bigint>)"),
-            "unrecognised": F.expr("CAST(NULL AS map<string,bigint>)"),
-            "n_unrecognised": F.lit(0).cast("bigint"),
-        }))
-
+            unread = s.step.unrecognised(s.source, s.result, s.source_type)
+            lost = F.when(unread, s.source.cast("string"))
+        marks.append(F.struct(
+            F.lit(i).alias("position"),
+            s.source.isNull().alias("null_in"),
+            s.result.isNull().alias("null_out"),
+            found.alias("format"),
+            lost.alias("lost"),
+        ))
     tally = (
-        df.select(F.explode(F.array(*marks)).alias("m")).where("m IS NOT NULL").select("m.*")
-        .groupBy("position", "kind", "value").agg(F.count("*").alias("n"))
+        staged.select(F.explode(F.array(*marks)).alias("m")).select("m.*")
+        .groupBy("position", "null_in", "null_out", "format", "lost").agg(F.count("*").alias("n"))
     )
-    top = Window.partitionBy("position", "kind").orderBy(F.desc("n"), "value")
-    listed = (
-        tally.withColumn("place", F.row_number().over(top))
-        .where(F.col("place") <= MAX_UNRECOGNISED)
-        .groupBy("position", "kind")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("value", "n")))).alias("found"))
-        .groupBy("position")
-        .agg(
-            F.max_by("found", F.when(F.col("kind") == "format", 1)).alias("formats"),
-            F.max_by("found", F.when(F.col("kind") == "value", 1)).alias("unrecognised"),
-        )
-    )
-    totals = tally.groupBy("position").agg(
-        F.sum(F.when(F.col("kind") == "value", F.col("n")).otherwise(0)).alias("n_unrecognised")
+    counts = tally.groupBy("position").agg(
+        F.sum("n").alias("rows_in"),
+        F.sum("n").alias("rows_out"),
+        F.coalesce(F.sum(F.when(F.col("null_in"), F.col("n"))), F.lit(0)).alias("nulls_in"),
+        F.coalesce(F.sum(F.when(F.col("null_out"), F.col("n"))), F.lit(0)).alias("nulls_out"),
+        F.coalesce(F.sum(F.when(F.col("lost").isNotNull(), F.col("n"))), F.lit(0)).alias("n_unrecognised"),
     )
+
+    def listed(column: str, name: str) -> DataFrame:
+        """Map of the most frequent values of a mark column per step."""
+        top = Window.partitionBy("position").orderBy(F.desc("n"), column)
+        return (
+            tally.where(F.col(column).isNotNull()).groupBy("position", column).agg(F.sum("n").alias("n"))
+            .withColumn("place", F.row_number().over(top))
+            .where(F.col("place") <= MAX_UNRECOGNISED)
+            .groupBy("position")
+            .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(name))
+        )
+
+    # The step names come from the plan, one row per step, so that an empty table is reported as well.
+    names = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(s.step.name).alias("function"), F.lit(s.column).alias("column"))
+        for i, s in enumerate(stages)
+    ])
+    steps = df.sparkSession.range(1).select(F.inline(names)).withColumn("table", F.lit(table))
     return _report_columns(
-        counts.join(listed, "position", "left").join(totals, "position", "left")
-        .withColumn("n_unrecognised", F.coalesce("n_unrecognised", F.lit(0)).cast("bigint"))
+        steps.join(counts, "position", "left")
+        .join(listed("format", "formats"), "position", "left")
+        .join(listed("lost", "unrecognised"), "position", "left")
+        .fillna(0, ["rows_in", "rows_out", "nulls_in", "nulls_out", "n_unrecognised"])
     )
 
 

@@ -21,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Largest table for which the silhouette uses plain distances between all rows.
 EXACT_SILHOUETTE_ROWS = 20_000
 PARALLEL_FITS = 8
+# Centres that move less than this have converged; the features have deviations of about one.
+TOLERANCE = 2e-3
 
 
 def best_kmeans(
@@ -39,7 +41,7 @@ def best_kmeans(
     @inheritable_thread_target(df.sparkSession)
     def fit(job: tuple[int, int]) -> KMeansModel:
         k, start = job
-        return KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol=features).fit(df)
+        return KMeans(k=k, seed=seed + start, maxIter=max_iter, tol=TOLERANCE, featuresCol=features).fit(df)
 
     jobs = [(k, start) for k in candidates for start in range(starts)]
     with ThreadPool(PARALLEL_FITS) as pool:
