@@ -11,19 +11,27 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def duplicate_summary(df: DataFrame) -> DataFrame:
-    """``rows_in, rows_out, removed, pct`` of dropping exact duplicates, in one pass."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-    return groups.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("rows_in"),
-        F.count("*").alias("rows_out"),
-    ).select(
+def duplicate_summary(df: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+    """``rows_in, rows_out, removed, pct`` of dropping exact duplicates.
+
+    With ``unique``, the stored result of ``drop_exact_duplicates``, two row counts are enough, and
+    Parquet answers those from its footers. Without it the groups are counted in one pass.
+    """
+    if unique is None:
+        groups = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+        counts = groups.agg(
+            F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("rows_in"),
+            F.count("*").alias("rows_out"),
+        )
+    else:
+        rows_out = unique.agg(F.count("*")).scalar()
+        counts = df.agg(F.count("*").alias("rows_in")).withColumn("rows_out", rows_out)
+    removed = F.col("rows_in") - F.col("rows_out")
+    return counts.select(
         "rows_in",
         "rows_out",
-        (F.col("rows_in") - F.col("rows_out")).alias("removed"),
-        F.coalesce(
-            F.try_divide((F.col("rows_in") - F.col("rows_out")) * 100.0, F.col("rows_in")), F.lit(0.0)
-        ).alias("pct"),
+        removed.alias("removed"),
+        F.coalesce(F.try_divide(removed * 100.0, F.col("rows_in")), F.lit(0.0)).alias("pct"),
     )
 
 

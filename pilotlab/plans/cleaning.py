@@ -139,7 +139,7 @@ def run_cleaning(
         cleaned_path = f"{zones.folder('trusted')}/_cleaned/{table}.parquet"
         write_table(cleaning.clean_table(unique, plans[table]), cleaned_path)
         cleaned[table] = spark.read.parquet(cleaned_path)
-        reports.append(cleaning.dedup_report(duplicate_summary(df), table))
+        reports.append(cleaning.dedup_report(duplicate_summary(df, unique), table))
         reports.append(cleaning.quality_report(unique, table, plans[table]))
     flagged = add_flags(cleaned, as_of)
     summaries = []

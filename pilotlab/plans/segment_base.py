@@ -20,6 +20,12 @@ def today(tx: DataFrame) -> Column:
     return ev.valid(tx, "flag_orphan_client", "flag_future").agg(F.max("ts")).scalar()
 
 
+def horizon(tx: DataFrame, spec: SegmentSpec) -> Column:
+    """Start of the longest possible window. As a bare scalar subquery it is pushed into the scans."""
+    last = ev.valid(tx, "flag_orphan_client", "flag_future").agg(F.max("ts").alias("last"))
+    return last.select(add_days(F.col("last"), -spec.window_days)).scalar()
+
+
 def exclusions(card: DataFrame, tx: DataFrame, contact: DataFrame) -> DataFrame:
     """Rows dropped from each table by its flags, stage by stage."""
     orphan = ("orphan client", F.col("flag_orphan_client"))
@@ -91,14 +97,14 @@ def segment_base(
     """One row per eligible client with its monthly rates and card state."""
     now = today(tx)
     eligible = eligible_clients(client, card, tx, spec)
-    horizon = add_days(now, -spec.window_days)
+    start = horizon(tx, spec)
     virtual = ev.valid(card, "flag_orphan_client", "flag_activation_order").where(
         F.col("card_type") == spec.labels.virtual
     )
     # No window starts before the horizon, so older transactions and contacts never reach the shuffle.
     stream = ev.client_events(
-        ev.valid_transactions(tx).where(F.col("ts") >= horizon),
-        ev.valid_contacts(contact).where(F.col("contacted_ts") >= horizon),
+        ev.valid_transactions(tx).where(F.col("ts") >= start),
+        ev.valid_contacts(contact).where(F.col("contacted_ts") >= start),
         virtual.where(F.col("issued_ts") < now),
     )
     in_window = F.col("at") >= F.col("window_start")
@@ -151,9 +157,8 @@ def transaction_rates(
     client: DataFrame, card: DataFrame, tx: DataFrame, spec: SegmentSpec = SegmentSpec()
 ) -> DataFrame:
     """Monthly frequency and net amount per eligible client, from transactions alone."""
-    now = today(tx)
     eligible = eligible_clients(client, card, tx, spec)
-    stream = ev.client_events(ev.valid_transactions(tx).where(F.col("ts") >= add_days(now, -spec.window_days)))
+    stream = ev.client_events(ev.valid_transactions(tx).where(F.col("ts") >= horizon(tx, spec)))
     hit = (F.col("kind") == ev.TX) & (F.col("at") >= F.col("window_start"))
     aggregates = {
         "n_transactions": F.count_if(hit),

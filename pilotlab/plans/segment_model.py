@@ -13,6 +13,7 @@ from ..operators.features import FeatureColumns, fit_features, with_features
 from ..operators.ranking import (
     UNKNOWN_LABEL, population_stats, priority_labels, rank_clusters, with_priority_score, z_sum,
 )
+from ..operators.skew import SMALL_DIMS_ROWS
 from . import spec
 
 SEGMENT_FEATURES = FeatureColumns(spec.SEGMENT_NUMERIC, spec.CATEGORICAL, spec.SEGMENT_BOOLEAN)
@@ -139,11 +140,18 @@ def segment_clients(
 
 
 def lookup_clients(requests: DataFrame, segmented: DataFrame, key: str = "client_id") -> DataFrame:
-    """Stored result per requested id, with ``found``; ids compare as text."""
+    """Stored result per requested id, with ``found``; ids compare as text.
+
+    The stored table is first reduced to the requested ids: a short list of ids, counted first, is
+    broadcast to the scan, so only matching rows are moved.
+    """
     stored = segmented.withColumn("_key", F.col(key).cast("string")).drop(key).withColumn("_found", F.lit(True))
     wanted = requests.withColumn("_key", F.col(key).cast("string"))
+    ids = wanted.select("_key")
+    if ids.count() <= SMALL_DIMS_ROWS:
+        ids = F.broadcast(ids)
     return (
-        wanted.join(stored, "_key", "left")
+        wanted.join(stored.join(ids, "_key", "left_semi"), "_key", "left")
         .withColumn("found", F.coalesce("_found", F.lit(False)))
         .drop("_key", "_found")
     )
