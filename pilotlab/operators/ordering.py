@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
 
-BUCKETS = 256
+# Buckets of a distributed ranking: at least the first number, more for about a million runs each.
+BUCKETS, MAX_BUCKETS, RUNS_PER_BUCKET = 256, 4_096, 1_000_000
 # Up to this many rows, counted first, the built-in exact percentile holds all values of a column.
 SMALL_ROWS = 200_000
 
@@ -47,13 +48,15 @@ def with_rows_before(runs: DataFrame, buckets: int = BUCKETS, small_rows: int =
     Values are cut into buckets at approximate quantiles, counted within each bucket, and shifted by
     the totals of the lower buckets. The cut points only balance the work; the counts are exact. The
     bucketed runs are written once, because the totals and the running counts must see the same cuts.
-    Both broadcast frames have at most ``buckets`` rows per variable. Few runs, counted first, need no
+    Both broadcast frames have at most ``MAX_BUCKETS`` rows per variable. Few runs, counted first, need no
     buckets.
     """
     runs = cut_lineage(runs)
-    if runs.count() <= small_rows:
+    n_runs = runs.count()
+    if n_runs <= small_rows:
         lower = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         return runs.withColumn("before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
+    buckets = max(buckets, min(MAX_BUCKETS, n_runs // RUNS_PER_BUCKET))
     grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = runs.groupBy("variable").agg(F.percentile_approx("value", grid, 10_000).alias("cuts"))
     bucketed = cut_lineage(_bucket_of(runs.join(F.broadcast(cuts), "variable"), buckets))

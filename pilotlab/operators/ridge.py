@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -83,15 +85,27 @@ def fit_t_learner(
 
     ``base`` is read several times; pass a stored or persisted table.
     """
-    evaluator = RegressionEvaluator(metricName="r2", predictionCol="predicted")
-    arms, scores = {}, []
-    for name, value in (("control", 0), ("treated", 1)):
-        rows = base.where(F.col(arm) == value)
-        held = holdout(key, seed)
-        trial = _fit_arm(rows.where(~held), columns, outcomes, alpha)
+    held = holdout(key, seed)
+    rows = {name: base.where(F.col(arm) == value) for name, value in (("control", 0), ("treated", 1))}
+
+    @inheritable_thread_target(base.sparkSession)
+    def trial(name: str) -> list[tuple[str, str, float]]:
+        model = _fit_arm(rows[name].where(~held), columns, outcomes, alpha)
+        scores = []
         for y in outcomes:
-            predicted = trial.predict(rows.where(held), y, "predicted")
-            scores.append((name, y, float(evaluator.setLabelCol(y).evaluate(predicted))))
-        arms[name] = _fit_arm(rows, columns, outcomes, alpha)
+            predicted = model.predict(rows[name].where(held), y, "predicted")
+            evaluator = RegressionEvaluator(metricName="r2", predictionCol="predicted", labelCol=y)
+            scores.append((name, y, float(evaluator.evaluate(predicted))))
+        return scores
+
+    @inheritable_thread_target(base.sparkSession)
+    def final(name: str) -> ArmModel:
+        return _fit_arm(rows[name], columns, outcomes, alpha)
+
+    # Four independent fits, submitted side by side.
+    with ThreadPool(4) as pool:
+        trials, finals = pool.map_async(trial, list(rows), 1), pool.map_async(final, list(rows), 1)
+        scores = [score for part in trials.get() for score in part]
+        arms = dict(zip(rows, finals.get()))
     r2 = base.sparkSession.createDataFrame(scores, "arm string, outcome string, r2 double")
     return TLearner(arms["control"], arms["treated"], r2)

@@ -63,6 +63,9 @@ def run_segmentation(
     _store(result.clients, zones, SEGMENTED, "segment_base")
     result.model.save(spark, f"{zones.folder('models')}/{MODEL}")
     write_table(result.ranking, zones.table("reports", "segment_ranking"))
+    write_table(result.profile(), zones.table("reports", "segment_profile"))
+    write_table(result.modes(), zones.table("reports", "segment_modes"))
+    write_table(result.choice.table(base), zones.table("reports", "silhouette_by_k"))
     return result
 
 

@@ -8,8 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cluster import KChoice, choose_k
+from ..operators.cluster import KChoice, choose_k, cluster_profile
 from ..operators.features import FeatureColumns, fit_features, with_features
+from ..operators.profile import category_shares, mode_by_group
 from ..operators.ranking import (
     UNKNOWN_LABEL, population_stats, priority_labels, rank_clusters, with_priority_score, z_sum,
 )
@@ -96,6 +97,24 @@ class Segmentation:
     clients: DataFrame
     ranking: DataFrame
 
+    def profile(self) -> DataFrame:
+        """Size and mean of each numeric feature per cluster, in the features' own units."""
+        return cluster_profile(self.clients, "cluster_id", list(spec.SEGMENT_NUMERIC))
+
+    def modes(self) -> DataFrame:
+        """Most frequent city and channel per cluster: ``cluster_id, variable, value, n``."""
+        out = None
+        for c in spec.CATEGORICAL:
+            part = mode_by_group(self.clients, "cluster_id", c).select(
+                "cluster_id", F.lit(c).alias("variable"), F.col(c).alias("value"), "n"
+            )
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def distribution(self) -> DataFrame:
+        """Number and share of clients per segment."""
+        return category_shares(self.clients, ["segment"])
+
 
 def segment_clients(
     base: DataFrame,

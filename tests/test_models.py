@@ -169,6 +169,9 @@ def test_segmentation(spark, clients, segmentation):
     assert sorted(map(sorted, groups.values())) == [[0], [1], [2]]
     means = [r["mean_score"] for r in segmentation.ranking.orderBy("cluster_id").collect()]
     assert means == sorted(means, reverse=True)
+    assert {r["n"] for r in segmentation.profile().collect()} == {80}
+    assert segmentation.modes().count() == 6
+    assert sum(r["n"] for r in segmentation.distribution().collect()) == 240
     pdf = clients.toPandas()
     z = sum(((pdf[c] - pdf[c].mean()) / pdf[c].std()).fillna(0) for c in segmentation.model.priority)
     score = {r["client_id"]: r["priority_score"] for r in rows}
