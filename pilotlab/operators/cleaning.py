@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, text
+from ..sources.tables import cut_lineage
 
 MAX_UNRECOGNISED = 50
 
@@ -151,7 +152,8 @@ def quality_report(df: DataFrame, table: str, plan: Plan) -> DataFrame:
             found.alias("format"),
             lost.alias("lost"),
         ))
-    tally = (
+    # Written once: filters on the marks would otherwise send each use below back to the raw table.
+    tally = cut_lineage(
         staged.select(F.explode(F.array(*marks)).alias("m")).select("m.*")
         .groupBy("position", "null_in", "null_out", "format", "lost").agg(F.count("*").alias("n"))
     )

@@ -60,24 +60,31 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct values per text column, with the sorted values where there are at most thirty.
 
-    Distinct (column, value) pairs are counted in parallel; only columns already known to have few
-    values are collected into a list.
+    Distinct (column, value) pairs are counted in parallel. Only columns already known to have few
+    values are then collected into sets, which are combined before the shuffle.
     """
     columns = columns if columns is not None else text_columns(df.schema)
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ])
-    distinct = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
-    sizes = distinct.groupBy("column").agg(F.count("value").alias("n_distinct"))
-    few = sizes.where(F.col("n_distinct") <= MAX_LISTED).select("column")
-    # One row per text column: the broadcast is bounded by the schema.
-    lists = (
-        distinct.where("value IS NOT NULL").join(F.broadcast(few), "column", "left_semi")
-        .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    counted = (
+        df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+        .groupBy("column").agg(F.count("value").alias("n")).collect()
     )
-    return sizes.join(F.broadcast(lists), "column", "left").select(
-        "column", "n_distinct", (F.col("n_distinct") > MAX_LISTED).alias("high_cardinality"), "values"
+    sizes = {r["column"]: r["n"] for r in counted}
+    few = [c for c in columns if sizes.get(c, 0) <= MAX_LISTED]
+    values = df.agg(
+        F.count("*").alias("_rows"), *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in few]
     )
+    return values.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(sizes.get(c, 0)).cast("bigint").alias("n_distinct"),
+            F.lit(c not in few).alias("high_cardinality"),
+            (F.col(c) if c in few else F.lit(None).cast("array<string>")).alias("values"),
+        )
+        for c in columns
+    ])))
 
 
 def date_format_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -95,7 +95,7 @@ def add_flags(tables: dict[str, DataFrame], as_of: Column) -> dict[str, DataFram
 def build_trusted(
     raw: dict[str, DataFrame], as_of: Column, plans: dict[str, cleaning.Plan] | None = None
 ) -> Trusted:
-    """Trusted tables and their reports, all lazy."""
+    """Trusted tables and their reports without writing any zone; for tables that fit a session."""
     plans = plans or bank_plans()
     reports, cleaned = [], {}
     for table, df in raw.items():
