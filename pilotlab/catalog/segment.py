@@ -193,6 +193,20 @@ def score_new_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def score_new_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """The priority part of ``score_new_rows``, which does not depend on the clusters found."""
+    return score_new_rows(spark, sf).select("client_id", "priority_score")
+
+
+_NEW_Z = " + ".join(
+    f"coalesce(({c} - (SELECT avg({c}) FROM trained)) / nullif((SELECT stddev_samp({c}) FROM trained), 0), 0)"
+    for c in PRIORITY_COLUMNS
+)
+_SQL_NEW = f"""{SEGMENT_BASE.replace('base AS (', 'base AS MATERIALIZED (')},
+trained AS (SELECT * FROM base WHERE acquisition_channel <> 'MACHINERY')
+SELECT client_id, round({_NEW_Z}, 4) AS priority_score FROM base WHERE acquisition_channel = 'MACHINERY'"""
+
+
 def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose score changes when the model is saved and loaded: all counts should agree."""
     base = cut_lineage(_features(spark, sf))
@@ -221,11 +235,15 @@ def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     requests = request_stream(spark, f"{folder}/requests")
     for query in start_scoring(requests, model, f"{folder}/out", f"{folder}/state"):
         query.awaitTermination()
-    scored = spark.read.parquet(f"{folder}/out/scored").groupBy("segment").agg(F.count("*").alias("n"))
-    rejected = spark.read.parquet(f"{folder}/out/rejected").agg(
-        F.lit("rejected").alias("segment"), F.count("*").alias("n")
-    )
-    return scored.unionByName(rejected)
+    out = None
+    for name in ("scored", "rejected"):
+        part = spark.read.parquet(f"{folder}/out/{name}").agg(F.lit(name).alias("status"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SQL_STREAM = f"""{ELIGIBLE} SELECT 'scored' AS status, count(*) FILTER (client_id % 10 <> 0) AS n FROM eligible
+UNION ALL SELECT 'rejected', count(*) FILTER (client_id % 10 = 0) FROM eligible"""
 
 
 def lookup_clients(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,8 +290,9 @@ QUERIES = {
     "kmeans_segments": (kmeans_segments, None),
     "choose_k": (choose_k, None),
     "score_new_rows": (score_new_rows, None),
-    "model_round_trip": (model_round_trip, None),
-    "stream_scores": (stream_scores, None),
+    "score_new_priority": (score_new_priority, _SQL_NEW),
+    "model_round_trip": (model_round_trip, f"{ELIGIBLE} SELECT count(*) AS n, count(*) AS n_same FROM eligible"),
+    "stream_scores": (stream_scores, _SQL_STREAM),
     "lookup_clients": (lookup_clients, _SQL_LOOKUP),
     "write_and_read": (write_and_read, _SQL_SEGMENT),
 }

@@ -16,11 +16,3 @@ def test_query_equals_oracle(spark, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", ["model_round_trip", "stream_scores"])
-def test_rows_only(spark, name):
-    row = QUERIES[name](spark, SF).first()
-    assert row["n"] > 0
-    if name == "model_round_trip":
-        assert row["n"] == row["n_same"]
