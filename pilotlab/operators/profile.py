@@ -161,11 +161,13 @@ def foreign_key_report(relations: list[tuple[str, DataFrame, str, DataFrame, str
 
 
 def category_shares(df: DataFrame, columns: list[str], within: list[str] | None = None) -> DataFrame:
-    """Counts and proportions of a category, overall or within groups.
+    """Counts and proportions of a category, overall or within groups; rows without a group are left out.
 
     The proportions use the counted rows, so the raw rows are shuffled once.
     """
     within = within or []
+    for c in within:
+        df = df.where(F.col(c).isNotNull())
     counts = df.groupBy(*within, *columns).agg(F.count("*").alias("n"))
     totals = counts.groupBy(*within).agg(F.sum("n").alias("_total"))
     if within:
