@@ -59,21 +59,29 @@ def write_table(df: DataFrame, path: str) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Where none is set, as in local tests, a temporary folder becomes the checkpoint folder.
+    Where none is set, a local session (as in tests) gets a temporary folder. Any other session is
+    refused, because its executors would not see each other's files.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
+        if configured is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
     Computed once, kept through the loss of executors, and with a known size, so that later joins can
     tell whether it is small.
     """
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    path = stage_path(df.sparkSession)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
