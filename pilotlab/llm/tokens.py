@@ -34,18 +34,21 @@ class Cache:
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """For each text's strings, their bytes in one."""
         recent, older = self.recent, self.older
+        found = [list(map(recent.get, words)) for words in texts]
+        lacking = [(words, values) for words, values in zip(texts, found) if None in values]
         new = []
-        for w in {w for words in texts for w in words if w not in recent}:
+        for w in {w for words, values in lacking for w, v in zip(words, values) if v is None}:
             if w in older:
                 recent[w] = older[w]
             else:
                 new.append(w)
         if new:
             recent.update(zip(new, self.compute(new)))
-        out = [b"".join(map(recent.__getitem__, words)) for words in texts]
+        for words, values in lacking:
+            values[:] = map(recent.__getitem__, words)
         if len(recent) > CACHED_WORDS // 2:
             self.older, self.recent = recent, {}
-        return out
+        return list(map(b"".join, found))
 
 
 class WordTokenizer:
