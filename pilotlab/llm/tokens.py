@@ -75,7 +75,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache = Cache(self._new_words)
-        self.by_word = bool(self.ends.any())
+        self.by_word = bool(self.ends.any()) and self._library(["\xc9T\xc9 X"]) == self._library(["\xe9t\xe9 x"])
         self.by_word = self.by_word and self.encode([self.PROBE]) == self._library([self.PROBE])
         self.cache = Cache(self._new_words)
 
@@ -91,13 +91,23 @@ class WordTokenizer:
         block: list[list[str]] = []
         size = 0
         for text in texts:
-            block.append(text.replace("\n", " ").split(" "))
+            block.append(self._words(text))
             size += len(text)
             if size > BLOCK_CHARS:
                 out += self.cache.join(block)
                 block, size = [], 0
         return out + self.cache.join(block)
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """What lies between blanks and line ends; in lower case where that is as the normaliser's."""
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").split(" ")
+
     def _new_words(self, words: list[str]) -> list[bytes]:
         plain: list[str] = []
         pieces: list[int] = []
