@@ -26,7 +26,16 @@ NONE = np.int32(2**31 - 1)
 # Longer pieces are merged with a heap: a matrix row would take quadratic time.
 MATRIX_BYTES = 512
 BLOCK_CHARS = 1 << 20
-MATRIX_CELLS = 1 << 21
+MATRIX_CELLS = 1 << 20
+ROWS_AT_ONCE = 512
+CACHED_PIECES = 400_000
+
+
+@functools.cache
+def token_bytes(ranks_path: str) -> dict[int, bytes]:
+    """Bytes of each token id."""
+    with open(ranks_path, "rb") as lines:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
 
 
 class PairTable:
@@ -73,8 +82,7 @@ class ByteBPE:
     """Encoder and decoder for a rank file (base64 token and rank on each line)."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
-        with open(ranks_path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = {token: rank for rank, token in token_bytes(ranks_path).items()}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.pairs = {
@@ -84,8 +92,7 @@ class ByteBPE:
             if token[:k] in self.ranks and token[k:] in self.ranks
         }
         self.table = PairTable(self.pairs)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.cache = Cache(self._new_pieces)
+        self.cache = Cache(self._new_pieces, CACHED_PIECES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -100,9 +107,6 @@ class ByteBPE:
                 block, size = [], 0
         return out + self.cache.join(block)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
     def _new_pieces(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
         lengths = np.array([len(r) for r in raw])
@@ -194,8 +198,10 @@ def encode(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
         for batch in batches:
-            ids = bpe.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                ids = bpe.encode(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -203,20 +209,22 @@ def encode(
 
 
 def decode(
-    encoded: DataFrame, ranks_path: str | None = None, pattern: str | None = None,
+    encoded: DataFrame, ranks_path: str | None = None,
     key: str = "doc_id", ids: str = "ids",
 ) -> DataFrame:
     """``key``, ``ids`` and ``decoded``, the bytes of the text, of each row of ``encode``."""
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
-    pattern = pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(ranks_path, pattern)
+        token = token_bytes(ranks_path).__getitem__
         for batch in batches:
-            decoded = [bpe.decode(x or b"") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], ["key", "ids", "decoded"]
-            )
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                raw = [np.frombuffer(x or b"", dtype="<u4") for x in part.column(1).to_pylist()]
+                decoded = [b"".join(map(token, ids.tolist())) for ids in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(decoded, pa.binary())], ["key", "ids", "decoded"]
+                )
 
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -24,6 +24,7 @@ LANES = 1024
 SEGMENT_STEPS = 256  # a checkpoint after so many ids of each lane
 BLOCK_IDS = 2 * LANES * SEGMENT_STEPS
 SCALE_BITS = 20  # frequencies add up to 2 ** SCALE_BITS
+ROWS_AT_ONCE = 1024
 LOW = np.uint64(1 << 31)  # states stay in [2 ** 31, 2 ** 63)
 WORD = np.uint64(32)
 
@@ -156,15 +157,17 @@ def token_rows(
         end = np.array([end_id], dtype=words.code).tobytes()
         width = len(end)
         for batch in batches:
-            ids = [x + end for x in words.encode(batch.column(1).to_pylist())]
-            counts = np.array([len(x) // width for x in ids], dtype=np.int64)
-            ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(ids), part)), pa.array(row + np.arange(len(ids))),
-                 pa.array(before + ends - counts), pa.array(counts), pa.array(ids, pa.binary())],
-                ["key", "part", "row", "before", "n", "ids"],
-            )
-            row, before = row + len(ids), before + int(counts.sum())
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.slice(first, ROWS_AT_ONCE)
+                ids = [x + end for x in words.encode(some.column(1).to_pylist())]
+                counts = np.array([len(x) // width for x in ids], dtype=np.int64)
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(np.full(len(ids), part)), pa.array(row + np.arange(len(ids))),
+                     pa.array(before + ends - counts), pa.array(counts), pa.array(ids, pa.binary())],
+                    ["key", "part", "row", "before", "n", "ids"],
+                )
+                row, before = row + len(ids), before + int(counts.sum())
 
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     schema = "key long, part long, row long, before long, n long, ids binary"

@@ -26,8 +26,8 @@ def default_tokenizer() -> str:
 class Cache:
     """Bytes for strings, computed once for each; bounded, with the recently used half kept."""
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]]) -> None:
-        self.compute = compute
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = CACHED_WORDS) -> None:
+        self.compute, self.limit = compute, limit
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -46,7 +46,7 @@ class Cache:
             recent.update(zip(new, self.compute(new)))
         for words, values in lacking:
             values[:] = map(recent.__getitem__, words)
-        if len(recent) > CACHED_WORDS // 2:
+        if len(recent) > self.limit // 2:
             self.older, self.recent = recent, {}
         return list(map(b"".join, found))
 
