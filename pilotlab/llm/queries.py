@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, packing, rans
+from . import bpe, jaccard, packing, quality, rans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,18 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_pack_hilbert": (packed_documents, None),
+    "op4_decision_list": (quality_rules, None),
     "op8_byte_bpe": (byte_bpe, None),
+    "op9_trie_jaccard": (jaccard_classes, None),
     "op10_rans_tokens": (token_files, None),
 }
