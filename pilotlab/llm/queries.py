@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, jaccard, packing, quality, rans
+from . import bpe, jaccard, knn, packing, quality, rans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,26 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+NEAREST_SQL = """
+WITH rows AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM rows q JOIN rows x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -47,6 +67,7 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_pack_hilbert": (packed_documents, None),
     "op4_decision_list": (quality_rules, None),
+    "op7_voronoi_topk": (nearest_vectors, NEAREST_SQL),
     "op8_byte_bpe": (byte_bpe, None),
     "op9_trie_jaccard": (jaccard_classes, None),
     "op10_rans_tokens": (token_files, None),
