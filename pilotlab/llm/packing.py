@@ -7,6 +7,7 @@ alike, share sequences.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ BUCKETS = 256
 DIMENSIONS = 4
 BITS = 15  # for each dimension of the key
 SEQUENCE = 2048
+ROWS_AT_ONCE = 1024
 
 PIECE_SCHEMA = (
     "key long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -68,12 +70,16 @@ def _directions() -> np.ndarray:
     return np.where(mix(cells) >> np.uint64(63), 1.0, -1.0).reshape(BUCKETS, DIMENSIONS)
 
 
-def project(ids: list[np.ndarray]) -> np.ndarray:
-    """Unit vectors of the square roots of hashed id counts, projected."""
-    counts = np.array([len(x) for x in ids])
-    bucket = (mix(np.concatenate(ids).astype(np.uint64)) >> np.uint64(56)).astype(np.int64)
-    cells = np.repeat(np.arange(len(ids)) * BUCKETS, counts) + bucket
-    vectors = np.sqrt(np.bincount(cells, minlength=len(ids) * BUCKETS)).reshape(len(ids), BUCKETS)
+@functools.cache
+def _buckets() -> np.ndarray:
+    return (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(56)).astype(np.int64)
+
+
+def project(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Unit vectors of the square roots of hashed id counts, projected; one row for each run of ids."""
+    n = len(counts)
+    cells = np.repeat(np.arange(n) * BUCKETS, counts) + _buckets()[ids & 0xFFFF]
+    vectors = np.sqrt(np.bincount(cells, minlength=n * BUCKETS)).reshape(n, BUCKETS)
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors @ _directions() / np.maximum(lengths, 1e-9)
 
@@ -84,15 +90,13 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokens.tokenizer(tokenizer_path)
-        end = np.array([end_id], dtype=words.code).tobytes()
         for batch in batches:
-            for first in range(0, len(batch), 1024):
-                part = batch.slice(first, 1024)
-                raw = [x + end for x in words.encode(part.column(1).to_pylist())]
-                ids = [np.frombuffer(x, dtype=words.code) for x in raw]
-                places = project(ids)
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                ids, counts = tokens.with_end(*words.encode(part.column(1)), end_id)
+                places = project(ids, counts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())]
+                    [part.column(0), pa.array(counts), tokens.binary_rows(ids, counts)]
                     + [pa.array(places[:, d]) for d in range(DIMENSIONS)],
                     ["key", "n", "ids"] + [f"p{d}" for d in range(DIMENSIONS)],
                 )

@@ -154,20 +154,17 @@ def token_rows(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokens.tokenizer(path)
         part, row, before = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], dtype=words.code).tobytes()
-        width = len(end)
         for batch in batches:
             for first in range(0, len(batch), ROWS_AT_ONCE):
                 some = batch.slice(first, ROWS_AT_ONCE)
-                ids = [x + end for x in words.encode(some.column(1).to_pylist())]
-                counts = np.array([len(x) // width for x in ids], dtype=np.int64)
+                ids, counts = tokens.with_end(*words.encode(some.column(1)), end_id)
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(np.full(len(ids), part)), pa.array(row + np.arange(len(ids))),
-                     pa.array(before + ends - counts), pa.array(counts), pa.array(ids, pa.binary())],
+                    [some.column(0), pa.array(np.full(len(some), part)), pa.array(row + np.arange(len(some))),
+                     pa.array(before + ends - counts), pa.array(counts), tokens.binary_rows(ids, counts)],
                     ["key", "part", "row", "before", "n", "ids"],
                 )
-                row, before = row + len(ids), before + int(counts.sum())
+                row, before = row + len(some), before + len(ids)
 
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     schema = "key long, part long, row long, before long, n long, ids binary"
