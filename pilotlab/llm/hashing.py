@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes hashed at once; bounds the working arrays of a task (about 60 bytes for each).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,11 +70,13 @@ def chunks(offsets: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in order, and for each text the number of words before it (``n + 1`` values)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word in order, for each text the number of words before it (``n + 1`` values), and the
+    words' lengths in bytes."""
     n = len(offsets) - 1
+    none = np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return none
     inside = ~_is_space()[data]
     starts_here = inside.copy()
     starts_here[1:] &= ~inside[:-1]
@@ -83,7 +85,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     starts_here[cuts] = inside[cuts]
     starts = np.flatnonzero(starts_here)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return none
     places = np.flatnonzero(inside)
     first = np.searchsorted(places, starts)
     lengths = np.diff(np.append(first, len(places)))
@@ -92,17 +94,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     longest = 1 << int(lengths.max()).bit_length()
     sums = np.add.reduceat(values * _powers(longest)[within], first)
     hashes = mix(sums ^ (lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), lengths
+
+
+def windows(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows of ``size`` words inside a text, and the ``n + 1`` bounds between texts."""
+    bounds = np.concatenate([[0], np.cumsum(np.maximum(np.diff(counts) - size + 1, 0))])
+    return np.repeat(counts[:-1] - bounds[:-1], np.diff(bounds)) + np.arange(bounds[-1]), bounds
 
 
 def gram_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words inside a text, and the ``n + 1`` bounds between texts."""
-    bounds = np.concatenate([[0], np.cumsum(np.maximum(np.diff(counts) - size + 1, 0))])
+    first, bounds = windows(counts, size)
     if len(words) < size:
         return np.zeros(0, np.uint64), bounds
     total = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
         total += mix(words[k : k + len(total)] + np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-    lengths = np.diff(bounds)
-    keep = np.repeat(counts[:-1] - bounds[:-1], lengths) + np.arange(bounds[-1])
-    return mix(total[keep] + np.uint64(size)), bounds
+    return mix(total[first] + np.uint64(size)), bounds

@@ -3,8 +3,9 @@
 Exact at every size, by these steps:
 
 1. Each document's set of 64-bit shingle hashes gets a 128-bit digest. Equal sets are one node.
-2. Filter by length-extended prefixes in hash order. Two sets with Jaccard t share at least m hashes
-   among their ``n - ceil(t n) + m`` least ones; a set without so many in common with others is alone.
+2. Filter by extended prefixes in a fixed order, longest shingles first. Two sets with Jaccard t share
+   at least m hashes among their ``n - ceil(t n) + m`` first ones; a set that has fewer in common with
+   others is alone.
 3. For the sets left, hashes are counted. A hash that no other set has adds nothing to an overlap, so
    a set needs ``ceil(t n)`` shared ones. The global order is rarest first. Sets that have a hash of
    their prefixes in this order in common form candidate groups.
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window
 from ..sources.tables import cut_lineage
 from . import exchange
 from .components import components
-from .hashing import chunks, gram_hashes, mix, text_bytes, word_hashes
+from .hashing import chunks, gram_hashes, mix, text_bytes, windows, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
@@ -38,6 +39,7 @@ EXTENSION = 16  # a prefix is longer by one hash for so many of the set
 BLOCK_SETS = 8192
 CHUNK_SETS = 256  # a candidate group of more than two chunks is cut
 PIVOTS = 8
+BROADCAST_ROWS = 1_000_000  # two numbers each; beyond, the texts to read again are found by a shuffle
 
 
 def _least_share(n: np.ndarray, percent: int) -> np.ndarray:
@@ -53,23 +55,37 @@ def needed_in_prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(1, np.minimum(n, _least_share(n, percent)) // EXTENSION)
 
 
-def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The ascending distinct shingle hashes of each text. Fewer words than ``size`` are one shingle;
-    a text without words has none."""
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ascending distinct shingle hashes of each text, and their lengths in bytes. Fewer words than
+    ``size`` are one shingle; a text without words has none."""
     data, offsets = text_bytes(texts)
     for first, last in chunks(offsets):
         own = offsets[first : last + 1] - offsets[first]
-        words, counts = word_hashes(data[offsets[first] : offsets[last]], own, lower=True)
+        words, counts, widths = word_hashes(data[offsets[first] : offsets[last]], own, lower=True)
         grams, bounds = gram_hashes(words, counts, size)
+        before = np.concatenate([[0], np.cumsum(widths)])
+        starts, _ = windows(counts, size)
+        spans = before[starts + size] - before[starts] if len(starts) else starts
         for i in range(last - first):
             n = counts[i + 1] - counts[i]
             if 0 < n < size:
                 total = np.uint64(n)
                 for w in words[counts[i] : counts[i + 1]]:
                     total = mix(np.array([total]) * np.uint64(0x9FB21C651E98DF25) + w)[0]
-                yield np.array([total], dtype=np.uint64)
+                yield np.array([total], dtype=np.uint64), np.ones(1, np.int64)
             else:
-                yield np.unique(grams[bounds[i] : bounds[i + 1]])
+                found, at = np.unique(grams[bounds[i] : bounds[i + 1]], return_index=True)
+                yield found, spans[bounds[i] : bounds[i + 1]][at]
+
+
+def prefix(hashes: np.ndarray, lengths: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` first hashes in the order of the filter, ascending: longest shingles first, which few
+    texts share by chance, then by hash."""
+    if count >= len(hashes):
+        return hashes
+    order = np.minimum(lengths, 255).astype(np.uint64) ^ np.uint64(255)
+    order = order << np.uint64(56) | hashes >> np.uint64(8)
+    return hashes[np.sort(np.argpartition(order, count)[:count])]
 
 
 def digest(hashes: np.ndarray) -> bytes:
@@ -82,11 +98,11 @@ def _signatures(size: int, percent: int) -> Callable:
             for first in range(0, len(batch), 1024):
                 part = batch.slice(first, 1024)
                 sets = list(shingle_sets(part.column(2), size))
-                n = np.array([len(s) for s in sets], dtype=np.int64)
+                n = np.array([len(s) for s, _ in sets], dtype=np.int64)
                 cut = prefix_lengths(n, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n), pa.array([digest(s) for s in sets], pa.binary()),
-                     pa.array([s[:c].tobytes() for s, c in zip(sets, cut)], pa.binary())],
+                    [part.column(0), part.column(1), pa.array(n), pa.array([digest(s) for s, _ in sets], pa.binary()),
+                     pa.array([prefix(*s, c).tobytes() for s, c in zip(sets, cut)], pa.binary())],
                     ["key", "text_hash", "n", "node", "prefix"],
                 )
 
@@ -338,12 +354,15 @@ def join(
         filled.join(near, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "text_hash")).alias("p"))
         .select(F.col("p.key").alias("pick"), F.col("p.text_hash").alias("pick_hash"))
     )
-    again = rows.join(cut_lineage(picks), F.col("key").eqNullSafe(F.col("pick")) & (F.col("text_hash") == F.col("pick_hash")), "left_semi")
+    picks = cut_lineage(picks)
+    if picks.count() <= BROADCAST_ROWS:
+        picks = F.broadcast(picks)
+    again = rows.join(picks, F.col("key").eqNullSafe(F.col("pick")) & (F.col("text_hash") == F.col("pick_hash")), "left_semi")
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 2048):
-                sets = list(shingle_sets(batch.column(0).slice(first, 2048), size))
+                sets = [s for s, _ in shingle_sets(batch.column(0).slice(first, 2048), size)]
                 yield from _blocks_of(sets)
 
     def _blocks_of(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
