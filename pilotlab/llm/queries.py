@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, jaccard, knn, packing, quality, rans
+from . import bpe, jaccard, knn, packing, pii, quality, rans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,22 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+    def listed(spans: str) -> Column:
+        shown = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(shown, ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select(
+        "doc_id", *[count(kind) for kind in pii.BASE],
+        F.sha2(listed("pii_base").cast("binary"), 256).alias("base_sha256"), listed("pii_spans").alias("spans"),
+    )
+
+
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -67,6 +83,7 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_pack_hilbert": (packed_documents, None),
     "op4_decision_list": (quality_rules, None),
+    "op5_boosted_pii": (personal_data, None),
     "op7_voronoi_topk": (nearest_vectors, NEAREST_SQL),
     "op8_byte_bpe": (byte_bpe, None),
     "op9_trie_jaccard": (jaccard_classes, None),
