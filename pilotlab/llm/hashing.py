@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes hashed at once; bounds the working arrays of a task (about 60 bytes for each).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
