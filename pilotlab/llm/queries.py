@@ -8,13 +8,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, jaccard, knn, packing, pii, quality, rans
+from . import bpe, jaccard, knn, packing, pii, quality, rans, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+LINES_SQL = rf"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS place
+    FROM documents
+), tokens AS (
+    SELECT doc_id, place, list_transform(
+        list_filter(string_split_regex(raw, '[ 	-
+]+'), lambda w: w <> ''),
+        lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.WILD}' ELSE w END) AS t
+    FROM lines
+), usable AS (
+    SELECT *, [CAST(len(t) AS VARCHAR)] || t[1:{templates.LEADING}] AS leaf FROM tokens
+    WHERE len(t) >= {templates.MIN_TOKENS}
+      AND 100 * len(list_filter(t, lambda w: w <> '{templates.WILD}')) >= {templates.MIN_CONSTANT} * len(t)
+), kinds AS (SELECT DISTINCT leaf, t FROM usable
+), broad AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > {templates.MAX_CHILDREN}
+), wild AS (
+    SELECT leaf, list(pos) AS wild FROM (
+        SELECT leaf, pos FROM (
+            SELECT DISTINCT leaf, unnest(t) AS value, generate_subscripts(t, 1) AS pos FROM kinds JOIN broad USING (leaf)
+        ) GROUP BY leaf, pos HAVING count(*) > {templates.MAX_CHILDREN}
+    ) GROUP BY leaf
+), general AS (
+    SELECT leaf, t, list_transform(t, lambda w, i: CASE WHEN list_contains(wild, i) THEN '{templates.WILD}' ELSE w END) AS g
+    FROM kinds JOIN wild USING (leaf)
+), placed AS (
+    SELECT doc_id, place, coalesce(
+        CASE WHEN 100 * len(list_filter(g, lambda w: w <> '{templates.WILD}')) >= {templates.MIN_CONSTANT} * len(g) THEN g END,
+        u.t) AS template
+    FROM usable u LEFT JOIN general ON u.leaf = general.leaf AND u.t = general.t
+), firsts AS (
+    SELECT template, min(doc_id) AS f FROM placed GROUP BY template HAVING min(doc_id) <> max(doc_id)
+), gone AS (
+    SELECT doc_id, place FROM placed JOIN firsts USING (template) WHERE doc_id <> f
+)
+SELECT doc_id, count(*) AS n_lines, count(g.place) AS n_dropped,
+       md5(coalesce(string_agg(raw, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '')) AS text_md5
+FROM lines l LEFT JOIN gone g USING (doc_id, place) GROUP BY doc_id
+"""
+
+
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -81,6 +127,7 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_line_templates": (recurring_lines, LINES_SQL),
     "op3_pack_hilbert": (packed_documents, None),
     "op4_decision_list": (quality_rules, None),
     "op5_boosted_pii": (personal_data, None),
