@@ -8,13 +8,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, jaccard, knn, packing, pii, quality, rans, templates
+from . import bpe, jaccard, knn, licences, packing, pii, quality, rans, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Documents as files of a source tree: folders by source, language and number; the shortest texts of a
+# folder stand for its licence files.
+PATH_SQL = """
+concat(source, '/', lang, '/', CAST(floor(doc_id / 500) AS INT),
+       CASE WHEN length(text) < 600 THEN '/LICENSE.' ELSE concat('/', CAST(doc_id % 5 AS STRING), '/') END, CAST(doc_id AS STRING))
+"""
+
+
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.expr(PATH_SQL).alias("path"), "text")
+    score = F.coalesce("licence_score", F.lit(0)).alias("licence_score")
+    return licences.scan(files).select("doc_id", "licence", score, "licence_from")
+
+
 def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -127,6 +142,7 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_licence_scan": (licence_scan, licences.sql(f"SELECT doc_id, {PATH_SQL} AS path, text FROM documents")),
     "op2_line_templates": (recurring_lines, LINES_SQL),
     "op3_pack_hilbert": (packed_documents, None),
     "op4_decision_list": (quality_rules, None),
