@@ -25,7 +25,7 @@ BUCKETS = 256
 DIMENSIONS = 4
 BITS = 15  # for each dimension of the key
 SEQUENCE = 2048
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE = 2048
 
 PIECE_SCHEMA = (
     "key long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -24,7 +24,7 @@ LANES = 1024
 SEGMENT_STEPS = 256  # a checkpoint after so many ids of each lane
 BLOCK_IDS = 2 * LANES * SEGMENT_STEPS
 SCALE_BITS = 20  # frequencies add up to 2 ** SCALE_BITS
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE = 2048
 LOW = np.uint64(1 << 31)  # states stay in [2 ** 31, 2 ** 63)
 WORD = np.uint64(32)
 

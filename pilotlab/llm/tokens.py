@@ -1,11 +1,9 @@
-"""Token ids of whole texts by a ``tokenizers`` file, with an exact cache of words."""
+"""Token ids of whole texts by a ``tokenizers`` file, each distinct word encoded once by a worker."""
 
 from __future__ import annotations
 
 import functools
 import os
-import re
-from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -14,10 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-# Words kept by a worker, about 200 bytes each. When full, those of the last half stay.
-CACHED_WORDS = 900_000
+# Words kept by a worker, about 40 bytes each. When there are more, those not met lately go.
+KEPT_WORDS = 1_000_000
+KEPT_BATCHES = 8
 # Letters that keep their count when normalised, then signs that make one piece of their own.
-PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?*$%&|#]*)")
+PLAIN_WORD = r"^[a-zA-ZÀ-ÖØ-öø-ÿ]+[.,;:!?*$%&|#]*$"
+SIGN_AT_END = r"[.,;:!?*$%&|#]$"
 
 
 def default_tokenizer() -> str:
@@ -27,19 +27,13 @@ def default_tokenizer() -> str:
 class Cache:
     """Bytes for strings, computed once for each; bounded, with the recently used half kept."""
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = CACHED_WORDS) -> None:
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int) -> None:
         self.compute, self.limit = compute, limit
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def find(self, words: list[str]) -> list[bytes]:
-        return self._find([words])[0]
-
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """For each text's strings, their bytes in one."""
-        return list(map(b"".join, self._find(texts)))
-
-    def _find(self, texts: list[list[str]]) -> list[list[bytes]]:
         recent, older = self.recent, self.older
         found = [list(map(recent.get, words)) for words in texts]
         lacking = [(words, values) for words, values in zip(texts, found) if None in values]
@@ -55,7 +49,7 @@ class Cache:
             values[:] = map(recent.__getitem__, words)
         if len(recent) > self.limit // 2:
             self.older, self.recent = recent, {}
-        return found
+        return list(map(b"".join, found))
 
 
 class WordTokenizer:
@@ -63,10 +57,10 @@ class WordTokenizer:
 
     Such a tokenizer's pieces never cross a blank or line end, and its normaliser looks at no
     neighbour beyond one, so a text's ids are those of what lies between blanks and line ends, in
-    turn. Each such word is encoded by the library once and then looked up. Words of plain letters,
-    or of letters and trailing signs, are one or two pieces: many are encoded in one call and cut
-    where a token ends a piece. ``__init__`` checks all this on a probe text and uses whole texts for
-    any other tokenizer file.
+    turn. Words are split and numbered in Arrow. Each distinct one is encoded by the library and kept.
+    Words of plain letters, or of letters and trailing signs, are one or two pieces: many are encoded
+    in one call and cut where a token ends a piece. ``__init__`` checks all this on a probe text and
+    uses whole texts for any other tokenizer file.
     """
 
     PROBE = " It's  A test,\n\nÉcole ΣΑΣ é x\t y 12.5 we!! don't <|endoftext|> İx a% straße.\n"
@@ -78,64 +72,86 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocabulary = self.tokenizer.get_vocab()
-        self.code = "H" if max(vocabulary.values(), default=0) < 1 << 16 else "I"
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        largest = max(vocabulary.values(), default=0)
+        self.dtype = np.dtype("<u2" if largest < 1 << 16 else "<u4")
+        self.ends = np.zeros(largest + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache = Cache(self._new_words)
-        self.by_word = bool(self.ends.any()) and self._library(["TeST X"]) == self._library(["test x"])
+        self._forget()
+        self.by_word = bool(self.ends.any()) and self._same("TeST X", "test x")
         if self.by_word:
-            self.by_word = self.encode(pa.array([self.PROBE]))[0].tobytes() == self._library([self.PROBE])[0]
-        self.cache = Cache(self._new_words)
+            self.by_word = self.encode(pa.array([self.PROBE]))[0].tolist() == self._library([self.PROBE])[0].tolist()
+        self._forget()
+
+    def _same(self, a: str, b: str) -> bool:
+        return self._library([a])[0].tolist() == self._library([b])[0].tolist()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.ids, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int32)
+        self.used, self.batch = np.zeros(0, np.int32), 0
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in encoded]
+        ids = [np.array(e.ids, dtype=self.dtype) for e in encoded]
+        return np.concatenate([np.zeros(0, self.dtype), *ids]), np.array([len(x) for x in ids], dtype=np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (no nulls) in one array, and the number of ids of each.
-
-        Words are split and numbered in Arrow, so that each distinct word of the batch is looked up once.
-        """
+        """The ids of all texts (no nulls) in one array, and the number of ids of each."""
         if not self.by_word:
-            whole = self._library(texts.to_pylist())
-            return np.frombuffer(b"".join(whole), dtype=self.code), self._sizes(whole)
+            return self._library(texts.to_pylist())
         folded = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         split = pc.split_pattern(folded, " ")
         coded = split.flatten().dictionary_encode()
-        known = self.cache.find(coded.dictionary.to_pylist())
-        ids, sizes = np.frombuffer(b"".join(known), dtype=self.code), self._sizes(known)
-        words = coded.indices.to_numpy()
-        lengths = sizes[words]
-        ends = np.cumsum(lengths)
-        source = np.repeat((np.cumsum(sizes) - sizes)[words] - (ends - lengths), lengths)
-        source += np.arange(len(source))
+        place = self._places(coded.dictionary.cast(pa.string()))[coded.indices.to_numpy()]
+        lengths = self.sizes[place]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        shift = starts[place] - (ends - lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(self.ids)) < 1 << 31 else np.int64
+        source = np.repeat(shift.astype(kind), lengths)
+        source += np.arange(total, dtype=kind)
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return ids[source], np.diff(bounds)
-
-    def _sizes(self, raw: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(self.code).itemsize
-
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        plain: list[str] = []
-        pieces: list[int] = []
-        other: list[str] = []
-        for w in words:
-            match = PLAIN_WORD.fullmatch(w)
-            if match:
-                plain.append(w)
-                pieces.append(2 if match[1] else 1)
-            else:
-                other.append(w)
-        known = dict(zip(other, self._library(other)))
-        if plain:
-            ids = np.array(
-                self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids,
-                dtype=self.code,
-            )
-            ends = ((np.flatnonzero(self.ends[ids])[np.cumsum(pieces) - 1] + 1) * ids.itemsize).tolist()
-            raw = ids.tobytes()
-            known.update(zip(plain, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-        return [known[w] for w in words]
+        return self.ids[source], np.diff(bounds)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among those kept; new ones are encoded and added."""
+        if len(self.words) > KEPT_WORDS:
+            self._evict()
+        self.batch += 1
+        found = pc.index_in(words, value_set=self.words)
+        place = found.fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            added = words.take(pa.array(new))
+            plain = pc.match_substring_regex(added, PLAIN_WORD).to_numpy(zero_copy_only=False)
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            added = added.take(pa.array(order))
+            n = int(plain.sum())
+            for part, encode in ((added.slice(0, n), self._plain), (added.slice(n), self._other)):
+                if len(part):
+                    ids, sizes = encode(part)
+                    self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            place[new[order]] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, added])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int32)])
+        self.used[place] = self.batch
+        return place
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces = 1 + pc.match_substring_regex(words, SIGN_AT_END).to_numpy(zero_copy_only=False).astype(np.int64)
+        joined = " ".join(words.to_pylist())
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = np.flatnonzero(self.ends[ids])[np.cumsum(pieces) - 1] + 1
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
+
+    def _other(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._library(words.to_pylist())
+
+    def _evict(self) -> None:
+        keep = self.used > self.batch - KEPT_BATCHES
+        self.ids = self.ids[np.repeat(keep, self.sizes)]
+        self.words, self.sizes, self.used = self.words.filter(pa.array(keep)), self.sizes[keep], self.used[keep]
 
 
 def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
