@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, jaccard, knn, licences, packing, pii, quality, rans, templates
+from . import bpe, jaccard, knn, licences, lm, packing, pii, quality, rans, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,48 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+BACKOFF_SQL = rf"""
+WITH tokens AS (
+    SELECT doc_id, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM (
+        SELECT doc_id, list_filter(string_split_regex(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
+        FROM documents)
+), placed AS (
+    SELECT *, lag(c) OVER d AS b, lag(c, 2) OVER d AS a FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), n AS (SELECT count(*) AS n FROM tokens
+), own AS (SELECT doc_id, count(*) AS n_words FROM tokens GROUP BY doc_id
+), c1 AS (SELECT doc_id, c, sum(count(*)) OVER (PARTITION BY c) - count(*) AS k FROM placed GROUP BY doc_id, c
+), c2 AS (SELECT doc_id, b, c, sum(count(*)) OVER (PARTITION BY b, c) - count(*) AS k FROM placed WHERE b IS NOT NULL GROUP BY doc_id, b, c
+), c3 AS (SELECT doc_id, a, b, c, sum(count(*)) OVER (PARTITION BY a, b, c) - count(*) AS k FROM placed WHERE a IS NOT NULL GROUP BY doc_id, a, b, c
+), joined AS (
+    SELECT p.doc_id, least(p.i - 1, 2) AS depth, greatest(1, n.n - own.n_words) AS rest,
+           c3.k AS abc, ab.k AS ab, bc.k AS bc, b1.k AS kb, u.k AS kc
+    FROM placed p CROSS JOIN n JOIN own USING (doc_id)
+    JOIN c1 u ON u.doc_id = p.doc_id AND u.c = p.c
+    LEFT JOIN c1 b1 ON b1.doc_id = p.doc_id AND b1.c = p.b
+    LEFT JOIN c2 bc ON bc.doc_id = p.doc_id AND bc.b = p.b AND bc.c = p.c
+    LEFT JOIN c2 ab ON ab.doc_id = p.doc_id AND ab.b = p.a AND ab.c = p.b
+    LEFT JOIN c3 ON c3.doc_id = p.doc_id AND c3.a = p.a AND c3.b = p.b AND c3.c = p.c
+), scored AS (
+    SELECT doc_id, CASE WHEN abc > 0 THEN 3 WHEN bc > 0 THEN 2 WHEN kc > 0 THEN 1 ELSE 0 END AS level,
+           CASE WHEN abc > 0 THEN CAST(abc AS DOUBLE) / ab
+                WHEN bc > 0 THEN pow({lm.BACKOFF}, depth - 1) * (CAST(bc AS DOUBLE) / kb)
+                WHEN kc > 0 THEN pow({lm.BACKOFF}, depth) * (CAST(kc AS DOUBLE) / rest)
+                ELSE pow({lm.BACKOFF}, depth) / (rest + 1.0e0) END AS s
+    FROM joined
+)
+SELECT d.doc_id, count(s) AS n_words, count(*) FILTER (WHERE level = 3) AS n_trigrams, count(*) FILTER (WHERE level = 2) AS n_bigrams,
+       count(*) FILTER (WHERE level = 1) AS n_unigrams, count(*) FILTER (WHERE level = 0) AS n_unseen,
+       CAST(coalesce(sum(round(1000 * ln(s))), 0) AS BIGINT) AS score_millinats
+FROM documents d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -147,6 +189,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_pack_hilbert": (packed_documents, None),
     "op4_decision_list": (quality_rules, None),
     "op5_boosted_pii": (personal_data, None),
+    "op6_stupid_backoff": (backoff_scores, BACKOFF_SQL),
     "op7_voronoi_topk": (nearest_vectors, NEAREST_SQL),
     "op8_byte_bpe": (byte_bpe, None),
     "op9_trie_jaccard": (jaccard_classes, None),
