@@ -22,6 +22,7 @@ WILD = "<*>"
 
 # Blanks inside a line other than single spaces; tokens with a digit, from their start.
 LOOSE_BLANKS = r"[\x20\x09\x0B-\x0D]{2,}+|[\x09\x0B-\x0D]"
+HAS_LOOSE_BLANKS = r"\x20\x20|[\x09\x0B-\x0D]"
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
@@ -44,24 +45,29 @@ def masked_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     ``line`` has single blanks between its tokens and a wildcard for each token with a digit.
     """
-    tidy = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), LOOSE_BLANKS, " ")
-    tidy = F.regexp_replace(tidy, VARIABLE, WILD)
-    each = docs.select(_document(key, text).alias("doc"), F.posexplode(lines(tidy)).alias("place", "raw"))
+    each = docs.where(F.col(text).isNotNull()).select(
+        _document(key, text).alias("doc"), F.posexplode(lines(F.col(text))).alias("place", "raw")
+    )
     each = each.select("doc", "place", F.btrim("raw", F.lit(SPACES)).alias("line"))
+    # Few lines need the patterns, and a test for that costs much less than a replacement.
+    tidy = F.when(F.col("line").rlike(HAS_LOOSE_BLANKS), F.regexp_replace("line", LOOSE_BLANKS, " ")).otherwise(F.col("line"))
+    each = each.select("doc", "place", tidy.alias("line"))
     each = each.withColumn("n", _count("line", " ") + 1).where(F.col("n") >= MIN_TOKENS)
+    varied = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, WILD)).otherwise(F.col("line"))
+    each = each.select("doc", "place", "n", varied.alias("line"))
     each = each.where(100 * (F.col("n") - _count("line", WILD)) >= MIN_CONSTANT * F.col("n"))
     leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING))
     return each.select("doc", "place", leaf.alias("leaf"), "line")
 
 
 def line_templates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc``, ``place``, ``template`` (a key) of each line that can recur. Stored as keys.
+    """``doc``, ``place``, ``template`` (a key) of each line that can recur. Stored.
 
-    Tokens are looked at only for leaves with more than ``MAX_CHILDREN`` different lines; there is a
-    second pass over the texts only if there are such leaves.
+    Tokens are looked at only for leaves with more than ``MAX_CHILDREN`` different lines.
     """
     found = masked_lines(docs, key, text)
-    keyed = cut_lineage(found.select("doc", "place", "leaf", _key(F.col("line")).alias("template")))
+    stored = cut_lineage(found.withColumn("template", _key(F.col("line"))), "zstd")
+    keyed = stored.select("doc", "place", "leaf", "template")
     broad = (
         keyed.groupBy("leaf", "template").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n"))
         .where(F.col("n") > MAX_CHILDREN).select("leaf")
@@ -69,7 +75,7 @@ def line_templates(docs: DataFrame, key: str, text: str) -> DataFrame:
     broad = cut_lineage(broad)
     if broad.isEmpty():
         return keyed.drop("leaf")
-    kinds = cut_lineage(found.join(broad, "leaf", "left_semi").select("leaf", "line").distinct(), "zstd")
+    kinds = cut_lineage(stored.join(broad, "leaf", "left_semi").select("leaf", "line").distinct(), "zstd")
     kinds = kinds.withColumn("tokens", F.split("line", " "))
     values = kinds.select("leaf", F.posexplode("tokens").alias("at", "value")).distinct()
     wild = values.groupBy("leaf", "at").agg(F.count("*").alias("n")).where(F.col("n") > MAX_CHILDREN)
