@@ -325,16 +325,9 @@ def _group_links(shared: DataFrame, percent: int) -> DataFrame:
     return first.union(second)
 
 
-def join(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """``key``, ``n_shingles`` and ``component_id``, the least key of the rows linked with a row.
-
-    Rows link when ``100 * intersection >= percent * union`` of their sets of ``size``-word shingles,
-    A-Z lower-cased. A null text, or one without words, has an empty set and is linked with nothing. Rows that
-    repeat a key stay apart rows. A null key takes no part in the least key; a class of null keys only
-    has a null id. Other columns are left out.
-    """
+def classes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """``key``, ``text_hash``, ``n`` (size of its set) and ``class`` of every row; a row without shingles
+    has a null class."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     signed = cut_lineage(
@@ -381,10 +374,48 @@ def join(
     )
     found = components(_group_links(shared, percent))
 
-    labelled = filled.select("key", "n", "node").join(found, "node", "left").select(
-        "key", "n", F.coalesce("component", "node").alias("class")
+    return signed.select("key", "text_hash", "n", "node").join(found, "node", "left").select(
+        "key", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class")
     )
+
+
+def join(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """``key``, ``n_shingles`` and ``component_id``, the least key of the rows linked with a row.
+
+    Rows link when ``100 * intersection >= percent * union`` of their sets of ``size``-word shingles,
+    A-Z lower-cased. A null text, or one without words, has an empty set and is linked with nothing. Rows that
+    repeat a key stay apart rows. A null key takes no part in the least key; a class of null keys only
+    has a null id. Other columns are left out.
+    """
+    rows = classes(docs, key, text, size, percent)
+    labelled, empty = rows.where(F.col("class").isNotNull()), rows.where(F.col("class").isNull())
     least = labelled.groupBy("class").agg(F.min("key").alias("component_id"))
-    empty = signed.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    joined = labelled.join(least, "class").select("key", "n", "component_id").union(empty)
+    joined = labelled.join(least, "class").select("key", "n", "component_id")
+    joined = joined.union(empty.select("key", "n", F.col("key").alias("component_id")))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """The row of each class with the least key (null last), then text hash; rows without shingles all stay.
+
+    Of rows equal in key and text one stays.
+    """
+    rows = cut_lineage(classes(docs, key, text, size, percent))
+    named = F.struct("key", "text_hash")
+    first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(
+        F.min_by(named, F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("r")
+    )
+    stay = first.select("r.*").union(rows.where(F.col("class").isNull()).select("key", "text_hash").distinct())
+    stay = stay.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"))
+    own_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    kept = docs.withColumn("_own_hash", own_hash).join(
+        stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own_hash") == F.col("_hash")), "left_semi"
+    )
+    repeated = rows.groupBy("key", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([key, "_own_hash"])
+    return kept.drop("_own_hash")

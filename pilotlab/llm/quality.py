@@ -233,12 +233,13 @@ def _prune(rows: DataFrame, rule: list[Condition]) -> list[Condition]:
 def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DecisionList]:
     """``key``, ``BASE``, ``base_failed`` and ``kept`` of every row, and the list that was learned.
 
-    A null or blank text has no words and fails the base rule. Repeated rows are judged each. Without
+    Rules are learned on labelled rows that pass the base rule, which they need not repeat. A null or
+    blank text has no words and fails the base rule. Repeated rows are judged each. Without
     labels, or with one class only, the base rule alone decides. Other columns are left out.
     """
     statistics = cut_lineage(add_statistics(docs.select(key, text), text).drop(text))
-    rules = fit(labelled(statistics, labels, key))
     failed = base_failed()
+    rules = fit(labelled(statistics.where(~failed), labels, key))
     return statistics.select(key, *BASE, failed.alias("base_failed"), (~failed & rules.keeps()).alias("kept")), rules
 
 
@@ -248,5 +249,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     renamed = docs.toDF(*names)
     at = names[docs.columns.index(key)]
     staged = cut_lineage(add_statistics(renamed, names[docs.columns.index(text)]))
-    rules = fit(labelled(staged.withColumnRenamed(at, key), labels, key))
-    return staged.where(~base_failed() & rules.keeps()).select(*names).toDF(*docs.columns)
+    passed = staged.where(~base_failed())
+    rules = fit(labelled(passed.withColumnRenamed(at, key), labels, key))
+    return passed.where(rules.keeps()).select(*names).toDF(*docs.columns)
