@@ -32,6 +32,8 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 ]
+# Words so common that they are taken as anchors last.
+COMMON = set("a all and any are as be by for from in is it of or that the this to under use with you".split())
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)[^/]*$"
 THRESHOLD = 700  # per mille of the cosine
 
@@ -62,12 +64,13 @@ def weights(notices: list[tuple[str, str]]) -> list[tuple[int, str, str, float]]
 
 
 def anchors(notices: list[tuple[str, str]], threshold: int) -> list[str]:
-    """Terms of which a text must have one to reach the threshold for any notice."""
+    """Terms of which a text must have one to reach the threshold for any notice; rare ones first."""
     found: set[str] = set()
+    idf = frequencies(notices)
     for i in range(len(notices)):
-        own = sorted(((w, t) for n, _, t, w in weights(notices) if n == i), reverse=True)
-        rest = sum(w * w for w, _ in own)
-        for w, t in own:
+        own = sorted((t in COMMON, -idf[t], -w, t) for n, _, t, w in weights(notices) if n == i)
+        rest = sum(w * w for _, _, w, _ in own)
+        for _, _, w, t in own:
             if sqrt(max(0.0, rest)) * 1000 < threshold - 1:
                 break
             found.add(t)
