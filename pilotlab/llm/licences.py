@@ -1,6 +1,6 @@
 """Licence scan: TF-IDF cosine of lines and licence files to templates, then inheritance by directory.
 
-Terms are runs of ASCII letters and digits, lower-cased. Inverse document frequencies come from the
+Terms are runs of ASCII letters and digits, lower-cased, but for common words. Inverse document frequencies come from the
 templates; a term of none has the highest. A line can only reach the threshold if it has one of a few
 anchor terms: without them the rest of a template's weight is too small. So lines are first filtered
 by these, which loses nothing, and only the rest is taken apart.
@@ -32,14 +32,16 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 ]
-# Words so common that they are taken as anchors last.
-COMMON = set("a all and any are as be by for from in is it of or that the this to under use with you".split())
+# Common words, which are no terms.
+COMMON = tuple(
+    "a all an and any are as at be by can for from have in is it may not of on or that the this to under use was with you".split()
+)
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)[^/]*$"
 THRESHOLD = 700  # per mille of the cosine
 
 
 def terms(text: str) -> list[str]:
-    return [t.lower() for t in re.findall("[A-Za-z0-9]+", text)]
+    return [t for t in map(str.lower, re.findall("[A-Za-z0-9]+", text)) if t not in COMMON]
 
 
 def frequencies(notices: list[tuple[str, str]]) -> dict[str, float]:
@@ -68,9 +70,9 @@ def anchors(notices: list[tuple[str, str]], threshold: int) -> list[str]:
     found: set[str] = set()
     idf = frequencies(notices)
     for i in range(len(notices)):
-        own = sorted((t in COMMON, -idf[t], -w, t) for n, _, t, w in weights(notices) if n == i)
-        rest = sum(w * w for _, _, w, _ in own)
-        for _, _, w, t in own:
+        own = sorted((-idf[t], -w, t) for n, _, t, w in weights(notices) if n == i)
+        rest = sum(w * w for _, w, _ in own)
+        for _, w, t in own:
             if sqrt(max(0.0, rest)) * 1000 < threshold - 1:
                 break
             found.add(t)
@@ -96,7 +98,8 @@ def own_licences(files: DataFrame, path: str, text: str, notices: list[tuple[str
     units = near.select("file", F.posexplode(F.concat(whole, F.filter(lines(F.col("text")), lambda x: x.rlike(pattern)))).alias("place", "unit"))
     counted = (
         units.select("file", "place", F.explode(F.regexp_extract_all("unit", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("term"))
-        .groupBy("file", "place", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
+        .withColumn("term", F.lower("term")).where(~F.col("term").isin(*COMMON))
+        .groupBy("file", "place", "term").agg(F.count("*").alias("n"))
         .join(idf, "term", "left")
         .withColumn("value", F.col("n") * F.coalesce("idf", F.lit(unseen_frequency(notices))))
     )
@@ -185,7 +188,8 @@ units AS (
 ), counted AS (
     SELECT doc_id, place, term, n, n * coalesce(idf, {unseen_frequency(notices)!r}e0) AS value FROM (
         SELECT doc_id, place, lower(term) AS term, count(*) AS n
-        FROM (SELECT doc_id, place, unnest(regexp_extract_all(unit, '[A-Za-z0-9]+')) AS term FROM units) GROUP BY ALL
+        FROM (SELECT doc_id, place, unnest(regexp_extract_all(unit, '[A-Za-z0-9]+')) AS term FROM units)
+        WHERE lower(term) NOT IN ({', '.join(repr(w) for w in COMMON)}) GROUP BY doc_id, place, lower(term)
     ) LEFT JOIN idf USING (term)
 ), lengths AS (SELECT doc_id, place, sqrt(sum(value * value)) AS length FROM counted GROUP BY ALL
 ), shared AS (
