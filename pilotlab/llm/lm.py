@@ -23,8 +23,8 @@ from .hashing import chunks, gram_hashes, mix, text_bytes, windows, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_WORDS = 1 << 20
-BLOCK_DOCS = 4096
+BLOCK_WORDS = 1 << 18
+BLOCK_DOCS = 2048
 DOCS_PER_BUCKET = 4096
 
 BLOCK_SCHEMA = "block long, docs array<long>, n_words long, counts binary, vocabulary binary, codes binary"
