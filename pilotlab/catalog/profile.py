@@ -230,7 +230,7 @@ def bucketed_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Quantiles by the way taken for large tables."""
     lines = load(spark, sf, "lineitem")
     columns = {c: F.col(c) for c in ("l_extendedprice", "l_quantity", "l_discount")}
-    found = ordering.exact_quantiles(lines, columns, [0.0, 0.01, 0.5, 0.9, 1.0], small_rows=0)
+    found = ordering.exact_quantiles(lines, columns, [0.0, 0.01, 0.5, 0.9, 1.0])
     return rounded(found, {"value": 4})
 
 
@@ -243,7 +243,7 @@ _SQL_QUANTILES = "\nUNION ALL ".join(
 def running_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Lines cheaper than each price: the bucketed running count behind ranks and quantiles."""
     runs = ordering.value_runs(load(spark, sf, "lineitem"), {"price": F.col("l_extendedprice")})
-    return ordering.with_rows_before(runs, small_rows=0).select(
+    return ordering.with_rows_before(runs).select(
         F.round("value", 2).alias("price"), "n", F.col("before").cast("bigint").alias("before")
     )
 

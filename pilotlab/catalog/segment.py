@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from ..operators import cluster, ranking
 from ..plans import segment_base as sb
 from ..plans import segment_model as sm
 from ..plans.spec import PRIORITY_COLUMNS
-from ..sources.tables import cut_lineage, write_table
+from ..sources.tables import cut_lineage, stage_path, write_table
 from ..streaming.scoring import request_stream, start_scoring
 from .common import ELIGIBLE, SEGMENT, SEGMENT_BASE, load, rounded, trusted
 from .profile import describe_sql
@@ -145,32 +143,22 @@ c AS (SELECT label, list(m ORDER BY i) AS c FROM p GROUP BY label)
 SELECT vec_id, arg_min(c.label, list_distance(x, c)) AS nearest FROM v, c GROUP BY vec_id"""
 
 
-def _silhouette(spark: SparkSession, sf: str, exact_rows: int) -> DataFrame:
+def silhouette_squared(spark: SparkSession, sf: str) -> DataFrame:
     rows = _vectors(spark, sf).select(array_to_vector("x").alias("features"), F.col("label").alias("prediction"))
-    value, measure = cluster.silhouette(rows.persist(), exact_rows=exact_rows)
+    value, measure = cluster.silhouette(rows.persist())
     rows.unpersist()
     return spark.createDataFrame([(round(value, 6), measure)], "silhouette double, measure string")
 
 
-def silhouette_squared(spark: SparkSession, sf: str) -> DataFrame:
-    """The measure for tables of any size: squared distances from per-cluster aggregates."""
-    return _silhouette(spark, sf, exact_rows=0)
-
-
-def silhouette_euclidean(spark: SparkSession, sf: str) -> DataFrame:
-    return _silhouette(spark, sf, cluster.EXACT_SILHOUETTE_ROWS)
-
-
-def _silhouette_sql(power: int, measure: str) -> str:
-    return f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+_SQL_SILHOUETTE = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 n AS (SELECT label, count(*) AS size FROM v GROUP BY label),
-d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x) ** {power}) AS total
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x) ** 2) AS total
   FROM v a, v b GROUP BY ALL),
 s AS (SELECT vec_id, own, any_value(o.size) AS own_size,
     sum(total) FILTER (own = other) / nullif(any_value(o.size) - 1, 0) AS a, min(total / n.size) FILTER (own <> other) AS b
   FROM d JOIN n ON n.label = other JOIN n o ON o.label = own GROUP BY vec_id, own)
 SELECT round(avg(CASE WHEN own_size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
-  '{measure}' AS measure FROM s"""
+  'squaredEuclidean' AS measure FROM s"""
 
 
 def kmeans_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +199,7 @@ def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose score changes when the model is saved and loaded: all counts should agree."""
     base = cut_lineage(_features(spark, sf))
     model = sm.segment_clients(base, (3,), starts=2).model
-    folder = tempfile.mkdtemp(prefix="model-")
+    folder = stage_path(spark, "model")
     model.save(spark, folder)
     before = model.score(base).select("client_id", "cluster_id", "segment", "priority_score")
     after = sm.SegmentModel.load(spark, folder).score(base)
@@ -225,7 +213,7 @@ def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Clients as JSON requests through the scoring stream; some lack a field and are rejected."""
     base = cut_lineage(_features(spark, sf))
     model = sm.segment_clients(base, (3,), starts=2).model
-    folder = tempfile.mkdtemp(prefix="stream-")
+    folder = stage_path(spark, "stream")
     required = F.struct(*model.required)
     partial = F.struct(*model.required[1:])
     body = F.when(F.col("client_id") % 10 == 0, F.to_json(partial, {"ignoreNullFields": "false"})).otherwise(
@@ -269,8 +257,8 @@ LEFT JOIN etx ON etx.client_id = e.client_id"""
 
 def write_and_read(spark: SparkSession, sf: str) -> DataFrame:
     """The segmentation table written as Parquet, replaced once, and read back."""
-    path = f"{tempfile.mkdtemp(prefix='table-')}/segment_base.parquet"
-    write_table(_features(spark, sf).limit(0), path)
+    path = f"{stage_path(spark, 'table')}/segment_base.parquet"
+    write_table(spark.range(1), path)
     write_table(_features(spark, sf), path)
     return rounded(spark.read.parquet(path), _DIGITS)
 
@@ -285,8 +273,7 @@ QUERIES = {
     "label_segments": (label_segments, _SQL_LABEL),
     "cluster_profile": (cluster_profile, _SQL_PROFILE),
     "assign_nearest_centroid": (assign_nearest_centroid, _SQL_NEAREST),
-    "silhouette_squared": (silhouette_squared, _silhouette_sql(2, "squaredEuclidean")),
-    "silhouette_euclidean": (silhouette_euclidean, _silhouette_sql(1, "euclidean")),
+    "silhouette_squared": (silhouette_squared, _SQL_SILHOUETTE),
     "kmeans_segments": (kmeans_segments, None),
     "choose_k": (choose_k, None),
     "score_new_rows": (score_new_rows, None),

@@ -91,7 +91,7 @@ def _by_shape(text: Column, result: Callable[[str], Column], missing: Column) ->
         return hit
 
     return (
-        F.when(F.substring(text, 5, 1) == "-", first_hit(*DATE_FORMATS[2::-1]))
+        F.when(F.substring(text, 5, 1) == "-", first_hit(*DATE_FORMATS[2::-1], "%d-%m-%Y"))
         .when(F.contains(text, F.lit("/")), first_hit("%d/%m/%Y", "%d/%m/%Y %H:%M", "%m/%d/%Y"))
         .when(F.contains(text, F.lit("-")), first_hit("%d-%m-%Y"))
         .otherwise(first_hit("%Y%m%d", "%d.%m.%Y"))
@@ -148,7 +148,7 @@ def plausible_range(role: str, as_of: Column) -> tuple[Column, Column]:
 
 
 def role_of(column: str) -> str:
-    """Role of a date column by its name."""
+    """Role of a date column by its name; the words are fixed values."""
     name = column.lower()
     if any(word in name for word in ("nacimiento", "birth")):
         return "birth"

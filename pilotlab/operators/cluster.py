@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Largest table for which the silhouette uses plain distances between all rows.
-EXACT_SILHOUETTE_ROWS = 20_000
 PARALLEL_FITS = 8
 # Centres that move less than this have converged; the features have deviations of about one.
 TOLERANCE = 2e-3
@@ -53,53 +44,11 @@ def best_kmeans(
     return best
 
 
-def _euclidean_silhouette(df: DataFrame, features: str, cluster: str) -> float:
-    rows = df.select(vector_to_array(features).alias("x"), F.col(cluster).cast("int").alias("c"))
-    points = rows.toPandas()
-    matrix = np.array(points["x"].tolist(), dtype=float)
-    codes, owner = np.unique(points["c"].to_numpy(), return_inverse=True)
-    member = np.eye(len(codes))[owner]
-    shared = df.sparkSession.sparkContext.broadcast((matrix, codes, member))
-
-    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_rows, names, members = shared.value
-        sizes = members.sum(axis=0)
-        norms = (all_rows**2).sum(axis=1)
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                x = np.array(part["x"].tolist(), dtype=float)
-                squared = (x**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * x @ all_rows.T
-                sums = np.sqrt(np.maximum(squared, 0.0)) @ members
-                own = np.searchsorted(names, part["c"].to_numpy())
-                at = np.arange(len(own))
-                own_size = sizes[own]
-                inside = sums[at, own] / np.maximum(own_size - 1, 1)
-                means = sums / sizes
-                means[at, own] = np.inf
-                outside = means.min(axis=1)
-                s = np.where(own_size > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0.0)
-                yield pd.DataFrame({"s": s})
-
-    result = rows.mapInPandas(values, "s double").agg(F.avg("s")).first()[0]
-    shared.unpersist()
-    return float(result)
-
-
-def silhouette(
-    df: DataFrame,
-    features: str = "features",
-    cluster: str = "prediction",
-    exact_rows: int = EXACT_SILHOUETTE_ROWS,
-) -> tuple[float, str]:
-    """Mean silhouette and the distance it used.
-
-    Plain Euclidean distances need every pair of rows, so they are used only for tables of at most
-    ``exact_rows`` rows (counted first). Larger tables use squared distances, which come from one
-    aggregate per cluster and one pass over the rows.
+def silhouette(df: DataFrame, features: str = "features", cluster: str = "prediction") -> tuple[float, str]:
+    """Mean silhouette by squared Euclidean distances, the same measure for tables of any size.
+
+    It takes one aggregate per cluster and one pass over the rows.
     """
-    if df.count() <= exact_rows:
-        return _euclidean_silhouette(df, features, cluster), "euclidean"
     evaluator = ClusteringEvaluator(
         featuresCol=features, predictionCol=cluster, distanceMeasure="squaredEuclidean"
     )
@@ -122,13 +71,12 @@ def choose_k(
     candidates: tuple[int, ...] = (3, 4, 5, 6),
     seed: int = 42,
     starts: int = 10,
-    exact_rows: int = EXACT_SILHOUETTE_ROWS,
 ) -> KChoice:
     """The candidate with the highest silhouette, the smallest on ties; ``df`` should be persisted."""
     models = best_kmeans(df, tuple(sorted(candidates)), seed, starts)
     scores = []
     for k, model in models.items():
-        value, measure = silhouette(model.transform(df), exact_rows=exact_rows)
+        value, measure = silhouette(model.transform(df))
         scores.append((k, value, measure))
     best = max(scores, key=lambda s: (s[1], -s[0]))[0]
     return KChoice(best, models[best], scores)

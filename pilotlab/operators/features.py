@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..sources.bindings import MISSING_CATEGORY
 from .ordering import exact_quantiles
 
-MAX_CATEGORIES = 10_000
-
 
 @dataclass(frozen=True)
 class FeatureColumns:
@@ -65,12 +63,9 @@ def _filled(column: str) -> str:
 
 
 def category_levels(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories, the label for missing ones included where it occurs."""
+    """Sorted categories, the label for missing ones included where it occurs. They are part of the model."""
     levels = df.select(F.expr(_filled(column)).alias("level")).distinct()
-    found = [r["level"] for r in levels.limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"column {column!r} has over {MAX_CATEGORIES} categories; it is no category")
-    return sorted(found)
+    return sorted(r["level"] for r in levels.collect())
 
 
 def fit_features(df: DataFrame, columns: FeatureColumns, output: str = "features") -> PipelineModel:
@@ -82,7 +77,7 @@ def fit_features(df: DataFrame, columns: FeatureColumns, output: str = "features
     moments = _moments(df, columns)
     expressions, inputs = [], []
     for c in columns.numeric:
-        median = medians.get(c, 0.0)
+        median = medians[c] if medians[c] is not None else 0.0  # a column without numbers is all zeros
         mean, deviation = _imputed_moments(moments, c, median)
         expressions.append(
             f"(coalesce(CAST(`{c}` AS DOUBLE), {median!r}D) - {mean!r}D) / {deviation!r}D AS `_num_{c}`"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
 
-# Buckets of a distributed ranking: at least the first number, more for about a million runs each.
-BUCKETS, MAX_BUCKETS, RUNS_PER_BUCKET = 256, 4_096, 1_000_000
-# Up to this many rows, counted first, the built-in exact percentile holds all values of a column.
-SMALL_ROWS = 200_000
+# Distinct values of a bucket of a distributed ranking.
+RUNS_PER_BUCKET = 1_000_000
+# A quantile is looked for between the approximate percentiles this far below and above it.
+BRACKET, ACCURACY = 3e-4, 10_000
 
 
 def value_runs(df: DataFrame, columns: dict[str, Column], **extra: Column) -> DataFrame:
@@ -18,6 +18,8 @@ def value_runs(df: DataFrame, columns: dict[str, Column], **extra: Column) -> Da
 
     ``extra`` are aggregates over the rows of a run. Equal values are combined before the shuffle.
     """
+    if not columns:
+        raise ValueError("no columns are given")
     pairs = F.array(
         *[F.struct(F.lit(k).alias("variable"), c.cast("double").alias("value")) for k, c in columns.items()]
     )
@@ -42,21 +44,16 @@ def _bucket_of(runs: DataFrame, buckets: int) -> DataFrame:
     return out.drop("cuts")
 
 
-def with_rows_before(runs: DataFrame, buckets: int = BUCKETS, small_rows: int = SMALL_ROWS) -> DataFrame:
+def with_rows_before(runs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Adds ``before``, the number of rows with a smaller value of the same variable.
 
     Values are cut into buckets at approximate quantiles, counted within each bucket, and shifted by
     the totals of the lower buckets. The cut points only balance the work; the counts are exact. The
     bucketed runs are written once, because the totals and the running counts must see the same cuts.
-    Both broadcast frames have at most ``MAX_BUCKETS`` rows per variable. Few runs, counted first, need no
-    buckets.
+    There is a bucket for each ``RUNS_PER_BUCKET`` runs, and both broadcast frames have a row for each.
     """
     runs = cut_lineage(runs)
-    n_runs = runs.count()
-    if n_runs <= small_rows:
-        lower = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return runs.withColumn("before", F.coalesce(F.sum("n").over(lower), F.lit(0)))
-    buckets = max(buckets, min(MAX_BUCKETS, n_runs // RUNS_PER_BUCKET))
+    buckets = buckets or max(2, -(-runs.count() // RUNS_PER_BUCKET))
     grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = runs.groupBy("variable").agg(F.percentile_approx("value", grid, 10_000).alias("cuts"))
     bucketed = cut_lineage(_bucket_of(runs.join(F.broadcast(cuts), "variable"), buckets))
@@ -77,53 +74,81 @@ def with_rows_before(runs: DataFrame, buckets: int = BUCKETS, small_rows: int =
     )
 
 
-def _small_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    values = {n: c.cast("double") for n, c in columns.items()}
-    found = df.agg(*[F.percentile(F.when(~F.isnan(c), c), wanted).alias(n) for n, c in values.items()])
-    return found.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("variable"), F.lit(float(p)).alias("p"), F.col(n)[i].alias("value"))
-        for n in columns for i, p in enumerate(probs)
-    ])))
+def _numbers(columns: dict[str, Column]) -> dict[str, Column]:
+    """The columns as doubles, with nulls for what is no number."""
+    doubles = {n: c.cast("double") for n, c in columns.items()}
+    return {n: F.when(~F.isnan(c), c) for n, c in doubles.items()}
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: dict[str, Column],
-    probs: list[float],
-    buckets: int = BUCKETS,
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> DataFrame:
     """``(variable, p, value)``: quantiles with linear interpolation between order statistics.
 
-    The table is counted first. A small one goes through the built-in percentile, whose state is then
-    bounded; for a larger one the ranks come from bucketed running counts.
+    Every asked variable has a row for each probability; the value is null if it has no numbers. Two
+    approximate percentiles bracket a wanted rank. One aggregate counts the rows below and inside
+    each bracket, and only the values inside are ranked. A bracket that misses its rank, which the
+    counts show, is widened to all values. The driver sees a few numbers for each variable and
+    probability.
     """
-    if df.count() <= small_rows:
-        return _small_quantiles(df, columns, probs)
-    runs = value_runs(df, columns)
-    ranked = with_rows_before(runs, buckets, small_rows)
-    totals = ranked.groupBy("variable").agg(F.max(F.col("before") + F.col("n")).alias("total"))
-    targets = totals.select(
-        "variable",
-        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
-        ((F.col("total") - 1)).alias("last"),
-    ).withColumn("position", F.col("last") * F.col("p"))
+    values, probs = _numbers(columns), [float(p) for p in probs]
+    if not values or not probs:
+        return df.sparkSession.createDataFrame([], "variable string, p double, value double")
+    grid = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-BRACKET, BRACKET)])
+    ends = df.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(values.values())],
+        *[F.percentile_approx(c, grid, ACCURACY).alias(f"q{i}") for i, c in enumerate(values.values())],
+    ).first()
+    brackets: dict[tuple[int, int], tuple[float | None, float | None]] = {
+        (i, j): (ends[f"q{i}"][2 * j], ends[f"q{i}"][2 * j + 1])
+        for i in range(len(values)) for j in range(len(probs)) if ends[f"n{i}"]
+    }
+    listed = list(values.values())
+
+    def inside(i: int, j: int) -> Column:
+        low, high = brackets[i, j]
+        return listed[i].isNotNull() if low is None else listed[i].between(low, high)
+
+    below: dict[tuple[int, int], int] = {}
+    if brackets:
+        counts = df.agg(*[
+            f.alias(f"{name}{i}_{j}") for (i, j), (low, _) in brackets.items()
+            for name, f in (("b", F.count_if(listed[i] < low)), ("w", F.count_if(inside(i, j))))
+        ]).first()
+        for i, j in brackets:
+            position = (ends[f"n{i}"] - 1) * probs[j]
+            first = counts[f"b{i}_{j}"]
+            if first <= int(position) and position <= first + counts[f"w{i}_{j}"] - 1:
+                below[i, j] = first
+            else:
+                brackets[i, j], below[i, j] = (None, None), 0
+
+    names = list(values)
+    nothing = [(names[i], p, None) for i in range(len(names)) if not ends[f"n{i}"] for p in probs]
+    out = df.sparkSession.createDataFrame(nothing, "variable string, p double, value double")
+    if not brackets:
+        return out
+    pairs = F.array_compact(F.array(*[
+        F.when(inside(i, j), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), listed[i].alias("value")))
+        for i, j in brackets
+    ]))
+    runs = df.select(F.explode(pairs).alias("x")).select("x.*").groupBy("i", "j", "value").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("i", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    targets = df.sparkSession.createDataFrame(
+        [(i, j, names[i], probs[j], below[i, j], (ends[f"n{i}"] - 1) * probs[j]) for i, j in brackets],
+        "i int, j int, variable string, p double, below bigint, position double",
+    )
+    ranked = runs.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(F.broadcast(targets), ["i", "j"])
+    rank = F.col("below") + F.col("before")
     low, high = F.floor("position"), F.ceil("position")
-    last_in_run = F.col("before") + F.col("n") - 1
 
-    def holds(position: Column) -> Column:
-        return (F.col("before") <= position) & (position <= last_in_run)
+    def holds(place: Column) -> Column:
+        return (rank <= place) & (place <= rank + F.col("n") - 1)
 
-    # One target row per variable and probability: broadcast is bounded by the caller's lists.
-    hits = ranked.join(F.broadcast(targets), "variable").where(
-        holds(low) | holds(high)
-    )
     value_low = F.max(F.when(holds(low), F.col("value")))
     value_high = F.max(F.when(holds(high), F.col("value")))
-    return hits.groupBy("variable", "p").agg(
+    found = ranked.groupBy("variable", "p").agg(
         (value_low + (value_high - value_low) * F.max(F.col("position") - low)).alias("value")
     )
+    return found.union(out)
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

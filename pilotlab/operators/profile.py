@@ -57,13 +57,16 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("_repeats"), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct values per text column, with the sorted values where there are at most thirty.
+def cardinality(df: DataFrame, columns: list[str] | None = None, max_listed: int = MAX_LISTED) -> DataFrame:
+    """Distinct values per text column, with the sorted values where there are at most ``max_listed``.
 
     Distinct (column, value) pairs are counted in parallel. Only columns already known to have few
     values are then collected into sets, which are combined before the shuffle.
     """
     columns = columns if columns is not None else text_columns(df.schema)
+    if not columns:
+        schema = "column string, n_distinct bigint, high_cardinality boolean, values array<string>"
+        return df.sparkSession.createDataFrame([], schema)
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ])
@@ -72,7 +75,7 @@ def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         .groupBy("column").agg(F.count("value").alias("n")).collect()
     )
     sizes = {r["column"]: r["n"] for r in counted}
-    few = [c for c in columns if sizes.get(c, 0) <= MAX_LISTED]
+    few = [c for c in columns if sizes.get(c, 0) <= max_listed]
     values = df.agg(
         F.count("*").alias("_rows"), *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in few]
     )
@@ -90,6 +93,8 @@ def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def date_format_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, format, n``; values that no format reads are counted under ``unparsed``."""
     columns = columns if columns is not None else date_columns(df.schema)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, format string, n bigint")
     formats = F.array(*[
         F.struct(
             F.lit(c).alias("column"),

@@ -15,15 +15,23 @@ from pyspark.sql import functions as F
 from .features import FeatureColumns, fit_features, with_features
 
 
+# Widest table of the normal-equation solver.
+NORMAL_FEATURES = 4096
+
+
 def fit_ridge(df: DataFrame, label: str, alpha: float = 1.0, features: str = "features") -> LinearRegressionModel:
     """Minimises ``sum of squared errors + alpha * |coefficients|^2``.
 
     The normal-equation solver sums the Gram matrix in one pass. It scales the penalty by the label's
-    deviation and divides the loss by the row count, hence the ``regParam``.
+    deviation and divides the loss by the row count, hence the ``regParam``. It takes up to
+    ``NORMAL_FEATURES`` features; wider tables go through the iterative solver with the same penalty.
     """
+    first = df.select(features).first()
+    wide = first is not None and first[0].size > NORMAL_FEATURES
     size = df.agg(F.count("*").alias("n"), F.stddev_pop(label).alias("deviation")).first()
     return LinearRegression(
-        featuresCol=features, labelCol=label, solver="normal", standardization=False,
+        featuresCol=features, labelCol=label, standardization=False,
+        solver="l-bfgs" if wide else "normal", maxIter=1000, tol=1e-12,
         regParam=alpha * (size["deviation"] or 0.0) / size["n"],
     ).fit(df)
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..sources.tables import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
-MAX_HEAVY_KEYS = 1_000
+SKETCH_ITEMS = 1_000
 SKETCH_GROUPS = 256
 # Largest side that is broadcast: a key and a few fixed-width columns per row.
 SMALL_DIMS_ROWS = 100_000
@@ -21,12 +21,11 @@ def heavy_keys(
     """``(key, slices)`` of keys with more than ``rows_per_slice`` rows; the null key included.
 
     One scan of the key column with frequent-items sketches, merged in ``SKETCH_GROUPS`` groups whose
-    top items are then added up. At most ``MAX_HEAVY_KEYS`` rows reach the driver whatever the size of
-    the table. The estimates only decide how finely a key is cut, never which rows are kept: a key
+    top items are then added up. The keys found are at most rows / ``rows_per_slice``. The estimates only decide how finely a key is cut, never which rows are kept: a key
     that is missed is joined uncut.
     """
     group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
-    sketch = F.expr(f"approx_top_k(`{key}`, {MAX_HEAVY_KEYS}, {10 * MAX_HEAVY_KEYS})")
+    sketch = F.expr(f"approx_top_k(`{key}`, {SKETCH_ITEMS}, {10 * SKETCH_ITEMS})")
     item_type = events.schema[key].dataType.simpleString()
     null_item = F.struct(F.lit(None).cast(item_type).alias("item"), F.col("nulls").alias("count"))
     counts = (
@@ -36,7 +35,6 @@ def heavy_keys(
         .select(F.explode(F.concat("top", F.array(null_item))).alias("t"))
         .groupBy("t.item").agg(F.sum("t.count").alias("n"))
         .where(F.col("n") > rows_per_slice)
-        .orderBy(F.desc("n")).limit(MAX_HEAVY_KEYS)
     )
     return [(r["item"], -(-r["n"] // rows_per_slice)) for r in counts.collect()]
 

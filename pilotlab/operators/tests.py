@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .ordering import SMALL_ROWS, describe, exact_quantiles, value_runs, with_rows_before
+from .ordering import describe, exact_quantiles, value_runs, with_rows_before
 
 # Lets the Arrow functions below run on workers that do not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,7 +98,7 @@ def t_statistic(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def wilcoxon_statistic(df: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> DataFrame:
+def wilcoxon_statistic(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """``n_nonzero, w_plus, w_minus, w, z, p_wilcoxon``: signed-rank test against zero.
 
     Zeros are dropped and ties get their average rank. Equal absolute values are combined first and
@@ -108,7 +108,7 @@ def wilcoxon_statistic(df: DataFrame, column: str, small_rows: int = SMALL_ROWS)
     nonzero = df.select(x.alias("x")).where("x IS NOT NULL AND x <> 0")
     runs = value_runs(nonzero, {"x": F.abs("x")}, n_plus=F.count_if(F.col("x") > 0))
     n, rank = F.col("n").cast("double"), F.col("before") + (F.col("n") + 1) / 2
-    sums = with_rows_before(runs, small_rows=small_rows).agg(
+    sums = with_rows_before(runs, buckets).agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_nonzero"),
         F.coalesce(F.sum(F.col("n_plus") * rank), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum((F.col("n") - F.col("n_plus")) * rank), F.lit(0.0)).alias("w_minus"),

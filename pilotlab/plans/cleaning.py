@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +44,6 @@ def bank_plans(card_prefixes: dict[str, str] = bindings.CARD_PREFIXES) -> dict[s
     }
 
 
-@dataclass(frozen=True)
-class Trusted:
-    tables: dict[str, DataFrame]
-    quality: DataFrame
-    flag_summary: DataFrame
-
-
 FLAGS = {
     "client": ["flag_minor", "flag_invalid_id"],
     "card": ["flag_activation_order", "flag_orphan_client"],
@@ -92,25 +83,6 @@ def add_flags(tables: dict[str, DataFrame], as_of: Column) -> dict[str, DataFram
     return out
 
 
-def build_trusted(
-    raw: dict[str, DataFrame], as_of: Column, plans: dict[str, cleaning.Plan] | None = None
-) -> Trusted:
-    """Trusted tables and their reports without writing any zone; for tables that fit a session."""
-    plans = plans or bank_plans()
-    reports, cleaned = [], {}
-    for table, df in raw.items():
-        distinct = drop_exact_duplicates(df)
-        reports.append(cleaning.dedup_report(duplicate_summary(df), table))
-        reports.append(cleaning.quality_report(distinct, table, plans[table]))
-        cleaned[table] = cleaning.clean_table(distinct, plans[table])
-    flagged = add_flags(cleaned, as_of)
-    summaries = [
-        flags.flag_summary(flagged[t], t, [f for f in FLAGS[t] if f in flagged[t].columns])
-        for t in FLAGS if t in flagged
-    ]
-    return Trusted(flagged, _union(reports), _union(summaries))
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -184,17 +184,22 @@ REQUEST_TYPES = {**dict.fromkeys(spec.SEGMENT_NUMERIC + spec.SEGMENT_BOOLEAN, "d
 def parse_requests(
     requests: DataFrame, body: str, required: tuple[str, ...] = tuple(SEGMENT_FEATURES.all)
 ) -> tuple[DataFrame, DataFrame]:
-    """JSON requests as feature rows, and the rejected ones with their missing fields.
+    """JSON requests as feature rows, and the rejected ones with ``missing`` and ``unreadable`` fields.
 
-    A field may be null but must be there; text that is no JSON object lacks every field.
+    A field may be null but must be there; text that is no JSON object lacks every field. A value that
+    is there and is not of the field's type is unreadable.
     """
     schema = ", ".join(f"`{c}` {REQUEST_TYPES.get(c, 'double')}" for c in required)
     wanted = F.array(*[F.lit(c) for c in required])
     present = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
-    checked = requests.withColumn("missing", F.array_except(wanted, present))
-    valid = (
-        checked.where(F.size("missing") == 0)
-        .withColumn("_row", F.from_json(body, schema))
-        .select(*requests.columns, "_row.*")
+    texts = ", ".join(f"`{c}` string" for c in required)
+    read = requests.withColumn("_row", F.from_json(body, schema)).withColumn("_text", F.from_json(body, texts))
+    unreadable = F.array_compact(F.array(*[
+        F.when(F.col(f"_text.`{c}`").isNotNull() & F.col(f"_row.`{c}`").isNull(), F.lit(c)) for c in required
+    ]))
+    checked = read.withColumn("missing", F.array_except(wanted, present)).withColumn("unreadable", unreadable)
+    good = (F.size("missing") == 0) & (F.size("unreadable") == 0)
+    return (
+        checked.where(good).select(*requests.columns, "_row.*"),
+        checked.where(~good).select(*requests.columns, "missing", "unreadable"),
     )
-    return valid, checked.where(F.size("missing") > 0)

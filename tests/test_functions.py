@@ -36,6 +36,11 @@ DATES = {
     "5/1/2024": (dt.datetime(2024, 1, 5), "%d/%m/%Y"),
     "02/13/2024": (dt.datetime(2024, 2, 13), "%m/%d/%Y"),
     "05-01-2024": (dt.datetime(2024, 1, 5), "%d-%m-%Y"),
+    "1-12-2020": (dt.datetime(2020, 12, 1), "%d-%m-%Y"),
+    "12-1-2020": (dt.datetime(2020, 1, 12), "%d-%m-%Y"),
+    "1-2-2020": (dt.datetime(2020, 2, 1), "%d-%m-%Y"),
+    "1.12.2020": (dt.datetime(2020, 12, 1), "%d.%m.%Y"),
+    "12.1.2020": (dt.datetime(2020, 1, 12), "%d.%m.%Y"),
     "05.01.2024": (dt.datetime(2024, 1, 5), "%d.%m.%Y"),
     "20240105": (dt.datetime(2024, 1, 5), "%Y%m%d"),
     "2024115": (dt.datetime(2024, 11, 5), "%Y%m%d"),

@@ -76,6 +76,30 @@ def test_ridge(spark):
     assert np.allclose(model.coefficients.toArray(), w) and model.intercept == pytest.approx(b)
 
 
+def test_ridge_on_many_categories(spark):
+    """Wider than the normal-equation solver takes: the iterative one finds the same minimum."""
+    n = ridge.NORMAL_FEATURES + 300
+    df = spark.range(3 * n).select(
+        (F.col("id") % n).cast("string").alias("c"), ((F.col("id") % 7) + (F.col("id") % n) / F.lit(float(n))).alias("y")
+    )
+    ready = with_features(df, fit_features(df, FeatureColumns((), ("c",)))).persist()
+    model = ridge.fit_ridge(ready, "y", alpha=1.0)
+    assert model.numFeatures == n - 1
+    # With one dummy a row, each coefficient is its level's residual sum over its size plus the penalty.
+    rows = ready.select("features", "y").collect()
+    hot = np.array([r["features"].indices[0] if len(r["features"].indices) else -1 for r in rows])
+    y = np.array([r["y"] for r in rows])
+    w, b = model.coefficients.toArray(), model.intercept
+    sums = np.bincount(hot + 1, weights=y - b, minlength=n)[1:]
+    assert np.allclose(w, sums / 4, atol=2e-3)
+    ready.unpersist()
+
+
+def test_features_of_a_column_without_numbers(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, 4.0)], "client_id long, x double, z double")
+    assert vectors(with_features(df, fit_features(df, FeatureColumns(("x", "z"))))).tolist() == [[0.0, -1.0], [0.0, 1.0]]
+
+
 @pytest.fixture(scope="module")
 def causal(spark):
     rng = np.random.default_rng(5)
@@ -127,26 +151,25 @@ def test_effect_does_not_depend_on_layout(spark, causal):
     assert runs[0] == runs[1]
 
 
-def test_silhouettes_against_brute_force(spark):
+def test_silhouette_against_brute_force(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(120, 4)) + (np.arange(120) % 3)[:, None] * 1.5
     c = np.arange(120) % 3
     c[0] = 9
     df = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, c)], "x array<double>, prediction int")
     df = df.select(array_to_vector("x").alias("features"), "prediction")
-    for exact_rows, power in ((1_000, 1), (0, 2)):
-        distance = np.linalg.norm(x[:, None] - x[None], axis=2) ** power
-        values = []
-        for i in range(120):
-            own = (c == c[i]).sum()
-            if own == 1:
-                values.append(0.0)
-                continue
-            a = distance[i, c == c[i]].sum() / (own - 1)
-            b = min(distance[i, c == k].mean() for k in set(c) if k != c[i])
-            values.append((b - a) / max(a, b))
-        value, measure = cluster.silhouette(df, exact_rows=exact_rows)
-        assert value == pytest.approx(np.mean(values)) and measure == ("euclidean" if power == 1 else "squaredEuclidean")
+    distance = np.linalg.norm(x[:, None] - x[None], axis=2) ** 2
+    values = []
+    for i in range(120):
+        own = (c == c[i]).sum()
+        if own == 1:
+            values.append(0.0)
+            continue
+        a = distance[i, c == c[i]].sum() / (own - 1)
+        b = min(distance[i, c == k].mean() for k in set(c) if k != c[i])
+        values.append((b - a) / max(a, b))
+    value, measure = cluster.silhouette(df)
+    assert value == pytest.approx(np.mean(values)) and measure == "squaredEuclidean"
 
 
 def test_labels():
@@ -195,7 +218,8 @@ def test_scoring(spark, clients, segmentation, tmp_path):
     lines = [json.dumps(r.asDict()) for r in clients.orderBy("client_id").collect()]
     incomplete = json.dumps({c: v for c, v in body.items() if c != "city"})
     (requests / "a.json").write_text("\n".join([*lines, json.dumps(body)]))
-    (requests / "b.json").write_text("\n".join([incomplete, "no json", "[1]"]))
+    unreadable = [json.dumps(body | {"age_years": v}) for v in ("abc", {"x": 1}, True)]
+    (requests / "b.json").write_text("\n".join([incomplete, "no json", "[1]", *unreadable]))
     for query in start_scoring(request_stream(spark, str(requests)), model, str(tmp_path / "out"), str(tmp_path / "cp")):
         query.awaitTermination()
     scored = spark.read.parquet(str(tmp_path / "out" / "scored"))
@@ -204,7 +228,8 @@ def test_scoring(spark, clients, segmentation, tmp_path):
     got = scored.where("age_years IS NOT NULL").select("cluster_id", "segment", "priority_score").collect()
     assert sorted(map(tuple, got)) == expected
     rejected = spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()
-    assert sorted(len(r["missing"]) for r in rejected) == [1, len(model.required), len(model.required)]
+    assert sorted(len(r["missing"]) for r in rejected) == [0, 0, 0, 1, len(model.required), len(model.required)]
+    assert [r["unreadable"] for r in rejected if not r["missing"]] == [["age_years"]] * 3
 
     # Files that arrive later are scored by the next run, earlier ones are not scored again.
     (requests / "c.json").write_text(lines[0])

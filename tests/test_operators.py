@@ -104,16 +104,16 @@ def test_unrecognised_top_list_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in report._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_exact_quantiles(spark, small_rows):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(0)
     x, y = np.round(rng.normal(size=3_001), 2), rng.exponential(size=3_001)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(7)
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    found = ordering.exact_quantiles(
-        df, {"x": F.col("x"), "y": F.col("y")}, probs, buckets=16, small_rows=small_rows
-    ).collect()
+    columns = {"x": F.col("x"), "y": F.col("y"), "one": F.lit(4), "none": F.lit(None)}
+    found = ordering.exact_quantiles(df, columns, probs).collect()
     got = {(r["variable"], r["p"]): r["value"] for r in found}
+    assert len(found) == len(got) == 4 * len(probs)
+    assert all(got["none", p] is None and got["one", p] == 4.0 for p in probs)
     for name, values in (("x", x), ("y", y)):
         assert np.allclose([got[name, p] for p in probs], np.quantile(values, probs), atol=1e-12)
 
@@ -131,12 +131,23 @@ def signed_ranks(x):
     return ranks[x > 0].sum(), ranks[x < 0].sum()
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**6])
-def test_wilcoxon_against_brute_force(spark, small_rows):
+def test_quantiles_of_empty_and_missed_brackets(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    empty = ordering.exact_quantiles(df.limit(0), {"x": F.col("x")}, [0.5]).collect()
+    assert [tuple(r) for r in empty] == [("x", 0.5, None)]
+    # Brackets of one approximate percentile miss ranks between two values and are widened.
+    monkeypatch.setattr(ordering, "BRACKET", 0.0)
+    monkeypatch.setattr(ordering, "ACCURACY", 10)
+    row = ordering.exact_quantiles(df, {"x": F.col("x")}, [0.333]).first()
+    assert row["value"] == pytest.approx(0.333 * 999)
+
+
+@pytest.mark.parametrize("buckets", [None, 16])
+def test_wilcoxon_against_brute_force(spark, buckets):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(0.1, 1.0, 2_000), 1)
     df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(9)
-    row = tests.wilcoxon_statistic(df, "x", small_rows=small_rows).first()
+    row = tests.wilcoxon_statistic(df, "x", buckets=buckets).first()
     plus, minus = signed_ranks(x)
     assert (row["w_plus"], row["w_minus"], row["n_nonzero"]) == (plus, minus, (x != 0).sum())
     assert 0 < row["p_wilcoxon"] < 1
