@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
+from .text import let
 
 # The base patterns, in order. Possessive repeats and starts at a run's edge (or where
 # the last match ended) match the same spans as the plain patterns, without retries inside a run.
@@ -49,11 +50,6 @@ FEATURES = [
 ]
 
 
-def _let(value: Column, use) -> Column:  # noqa: ANN001
-    """``use(value)`` with the value computed once for a row."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of all matches, in code points, end exclusive.
 
@@ -66,7 +62,7 @@ def found(text: Column, pattern: str) -> Column:
         steps = F.transform(
             hits, lambda h, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(0)
         )
-        return _let(F.struct(hits.alias("hits"), steps.alias("steps")), summed)
+        return let(F.struct(hits.alias("hits"), steps.alias("steps")), summed)
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0), lambda a, b: a + b)
@@ -77,7 +73,7 @@ def found(text: Column, pattern: str) -> Column:
             F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / block).cast("int")),
             lambda b: total(F.slice(steps, b * block + 1, F.lit(block))),
         )
-        return _let(F.struct(x["hits"].alias("hits"), steps.alias("steps"), blocks.alias("blocks")), spans)
+        return let(F.struct(x["hits"].alias("hits"), steps.alias("steps"), blocks.alias("blocks")), spans)
 
     def spans(x: Column) -> Column:
         def span(h: Column, i: Column) -> Column:
@@ -90,7 +86,7 @@ def found(text: Column, pattern: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     cut = F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("gaps"))
-    return _let(cut, lambda x: F.when(F.size(x["hits"]) == 0, none).otherwise(places(x)))
+    return let(cut, lambda x: F.when(F.size(x["hits"]) == 0, none).otherwise(places(x)))
 
 
 def _digits(match: Column) -> Column:
@@ -110,7 +106,7 @@ def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")
     if kind == "card":
-        return _let(_digits(match), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
+        return let(_digits(match), lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(_digits(match)).between(10, 15)
     return F.lit(True)
@@ -155,7 +151,7 @@ def _features() -> dict[str, Column]:
         "keyword": before.rlike(r"(?i)(?:pass|secret|token|key|mail|phone|tel|call|card|account|id)\W*$").cast("int"),
         "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("int"), "quoted": before.rlike("[\"']$").cast("int"),
         "digit_before": before.rlike("[0-9]$").cast("int"),
-        "checksum": _let(_digits(m), lambda d: F.when(F.length(d) > 7, _luhn(d)).otherwise(False)).cast("int"),
+        "checksum": let(_digits(m), lambda d: F.when(F.length(d) > 7, _luhn(d)).otherwise(False)).cast("int"),
     }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
-from .text import SPACES, lines
+from .text import SPACES, let, lines
 
 LEADING = 3  # tokens on the way to a leaf
 MIN_TOKENS = 6  # shorter lines recur by chance
@@ -36,8 +36,27 @@ def _document(key: str, text: str) -> Column:
     return F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
 
 
-def _count(line: str, part: str) -> Column:
-    return ((F.length(line) - F.length(F.replace(F.col(line), F.lit(part), F.lit("")))) / len(part)).cast("int")
+def _count(line: Column, part: str) -> Column:
+    return F.floor((F.length(line) - F.length(F.replace(line, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def _masked(line: Column) -> Column:
+    """(line, n, wild): the line in its form, its tokens and the wildcards among them.
+
+    Few lines need the patterns, and a test for that costs much less than a replacement.
+    """
+
+    def single(x: Column) -> Column:
+        return F.when(x.rlike(HAS_LOOSE_BLANKS), F.regexp_replace(x, LOOSE_BLANKS, " ")).otherwise(x)
+
+    def varied(x: Column) -> Column:
+        return F.when(x.rlike("[0-9]"), F.regexp_replace(x, VARIABLE, WILD)).otherwise(x)
+
+    def counted(x: Column) -> Column:
+        wild = F.when(F.contains(x, F.lit(WILD)), _count(x, WILD)).otherwise(0)
+        return F.struct(x.alias("line"), (_count(x, " ") + 1).alias("n"), wild.alias("wild"))
+
+    return let(F.btrim(line, F.lit(SPACES)), lambda x: let(single(x), lambda y: let(varied(y), counted)))
 
 
 def masked_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,17 +64,11 @@ def masked_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     ``line`` has single blanks between its tokens and a wildcard for each token with a digit.
     """
-    each = docs.where(F.col(text).isNotNull()).select(
-        _document(key, text).alias("doc"), F.posexplode(lines(F.col(text))).alias("place", "raw")
-    )
-    each = each.select("doc", "place", F.btrim("raw", F.lit(SPACES)).alias("line"))
-    # Few lines need the patterns, and a test for that costs much less than a replacement.
-    tidy = F.when(F.col("line").rlike(HAS_LOOSE_BLANKS), F.regexp_replace("line", LOOSE_BLANKS, " ")).otherwise(F.col("line"))
-    each = each.select("doc", "place", tidy.alias("line"))
-    each = each.withColumn("n", _count("line", " ") + 1).where(F.col("n") >= MIN_TOKENS)
-    varied = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, WILD)).otherwise(F.col("line"))
-    each = each.select("doc", "place", "n", varied.alias("line"))
-    each = each.where(100 * (F.col("n") - _count("line", WILD)) >= MIN_CONSTANT * F.col("n"))
+    # Inside the array, because a later filter would be pushed down with a copy of all this.
+    named = docs.where(F.col(text).isNotNull()).select(_document(key, text).alias("doc"), F.col(text).alias("text"))
+    each = named.select("doc", F.posexplode(F.transform(lines(F.col("text")), _masked)).alias("place", "m"))
+    each = each.select("doc", "place", "m.*").where(F.col("n") >= MIN_TOKENS)
+    each = each.where(100 * (F.col("n") - F.col("wild")) >= MIN_CONSTANT * F.col("n"))
     leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING))
     return each.select("doc", "place", leaf.alias("leaf"), "line")
 
@@ -125,7 +138,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.transform("_lines", lambda x, i: F.when(~F.array_contains("dropped", i), x))
     ), "\n")
     new_text = F.when(F.col("dropped").isNull(), F.col(at[text])).otherwise(kept)
-    n_lines = F.when(F.col(at[text]).isNull(), 0).otherwise(_count(at[text], "\n") + 1)
+    n_lines = F.when(F.col(at[text]).isNull(), 0).otherwise(_count(F.col(at[text]), "\n") + 1)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
         *[(new_text if c == text else F.col(at[c])).alias(c) for c in own],
