@@ -123,7 +123,7 @@ _DATE_TEXT = f"""CASE o_orderkey % 14
     WHEN 2 THEN date_format(o_orderdate, ' yyyy-MM-dd ')
     WHEN 3 THEN date_format({_MOMENT}, 'dd/MM/yyyy HH:mm')
     WHEN 4 THEN date_format(o_orderdate, 'd/M/yyyy')
-    WHEN 5 THEN date_format(o_orderdate, 'dd-MM-yyyy')
+    WHEN 5 THEN date_format(o_orderdate, if(o_orderkey % 4 = 1, 'd-M-yyyy', 'dd-MM-yyyy'))
     WHEN 6 THEN date_format(o_orderdate, 'dd.MM.yyyy')
     WHEN 7 THEN date_format(o_orderdate, 'MM/dd/yyyy')
     WHEN 8 THEN date_format(o_orderdate, 'yyyyMMdd')

@@ -234,6 +234,28 @@ _SQL_STREAM = f"""{ELIGIBLE} SELECT 'scored' AS status, count(*) FILTER (client_
 UNION ALL SELECT 'rejected', count(*) FILTER (client_id % 10 = 0) FROM eligible"""
 
 
+def reject_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as JSON requests; some lack a field, some hold a value of the wrong type."""
+    body = F.concat(
+        F.lit('{"age_years": '),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit('"abc"')).when(F.col("c_custkey") % 7 == 1, F.lit("null"))
+        .when(F.col("c_custkey") % 7 == 2, F.lit('{"x": 1}')).otherwise(F.col("c_acctbal").cast("string")),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.lit(', "city": "x"')), F.lit("}"),
+    )
+    requests = load(spark, sf, "customer").select("c_custkey", body.alias("value"))
+    valid, rejected = sm.parse_requests(requests, "value", ("age_years", "city"))
+    return valid.select(
+        "c_custkey", F.lit(True).alias("accepted"), F.lit("").alias("missing"), F.lit("").alias("unreadable")
+    ).union(rejected.select(
+        "c_custkey", F.lit(False), F.array_join("missing", ","), F.array_join("unreadable", ",")
+    ))
+
+
+_SQL_REJECT = """SELECT c_custkey, c_custkey % 5 <> 0 AND c_custkey % 7 NOT IN (0, 2) AS accepted,
+  CASE WHEN c_custkey % 5 = 0 THEN 'city' ELSE '' END AS missing,
+  CASE WHEN c_custkey % 7 IN (0, 2) THEN 'age_years' ELSE '' END AS unreadable FROM customer"""
+
+
 def lookup_clients(spark: SparkSession, sf: str) -> DataFrame:
     """Stored scores for every client id that occurs in the events or orders, as text."""
     client, card, tx, _ = trusted(spark, sf)
@@ -280,6 +302,7 @@ QUERIES = {
     "score_new_priority": (score_new_priority, _SQL_NEW),
     "model_round_trip": (model_round_trip, f"{ELIGIBLE} SELECT count(*) AS n, count(*) AS n_same FROM eligible"),
     "stream_scores": (stream_scores, _SQL_STREAM),
+    "reject_requests": (reject_requests, _SQL_REJECT),
     "lookup_clients": (lookup_clients, _SQL_LOOKUP),
     "write_and_read": (write_and_read, _SQL_SEGMENT),
 }

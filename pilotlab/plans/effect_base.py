@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import add_days, whole_days
 from ..operators.skew import aggregate_by_key
+from ..sources.tables import cut_lineage
 from . import events as ev
 from .spec import EffectSpec
 
@@ -116,12 +117,25 @@ def window_aggregates(
     tx: DataFrame,
     contact: DataFrame,
     spec: EffectSpec = EffectSpec(),
+    only_valid: bool = False,
 ) -> DataFrame:
-    """Every cohort client with its aggregates around the anchor, valid window or not."""
+    """Every cohort client with its aggregates around the anchor, or only those whose window is valid.
+
+    For the latter the anchors bound the times of the events that are read.
+    """
     last = data_range(tx).select("last_ts").scalar()
     cohort = anchored_cohort(client, card, contact, spec).withColumn(
         "window_valid", _window_fits(spec.window_days, last)
     )
+    if only_valid:
+        cohort = cut_lineage(cohort.where("window_valid"))
+        ends = cohort.agg(F.min("t0").alias("first"), F.max("t0").alias("last"))
+        # Bare scalar subqueries, which are pushed into the scans.
+        start = ends.select(add_days(F.col("first"), -spec.window_days - 1)).scalar()
+        end = ends.select(add_days(F.col("last"), spec.window_days + 1)).scalar()
+        tx = tx.where((F.col("ts") >= start) & (F.col("ts") < end))
+        contact = contact.where(F.col("contacted_ts") < end)
+        card = card.where(F.col("issued_ts") < end)
     # The card state before the anchor uses all virtual cards, flagged ones included.
     stream = ev.client_events(
         ev.valid_transactions(tx), ev.valid_contacts(contact),
@@ -166,8 +180,7 @@ def effect_base(
     t0 = F.col("t0")
     cash_share = ev.ratio(F.col("n_cash_pre"), F.col("frequency_pre"))
     return (
-        window_aggregates(client, card, tx, contact, spec)
-        .where(F.col("window_valid"))
+        window_aggregates(client, card, tx, contact, spec, only_valid=True)
         .withColumns({
             "y_frequency": (F.col("frequency_post") - F.col("frequency_pre")).cast("double"),
             "y_amount": F.col("amount_post") - F.col("amount_pre"),
