@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, ids, numbers, text
 from ..sources.tables import cut_lineage
 
-MAX_UNRECOGNISED = 50
+LISTED = 50  # values shown in a report's maps; the complete table is ``unrecognised_values``
 
 
 def _as_is(c: Column) -> Column:
@@ -129,14 +129,8 @@ def date_audit(df: DataFrame, columns: list[str], as_of: Column) -> DataFrame:
     return out
 
 
-def quality_report(df: DataFrame, table: str, plan: Plan) -> DataFrame:
-    """One row per (column, step), in plan order, from one pass over the raw table.
-
-    Each row gives one mark per step: nulls in and out, the detected format, the value that was not
-    recognised. Equal marks are counted before the shuffle. The fifty most frequent unrecognised
-    values per step are listed; ``n_unrecognised`` counts all rows.
-    """
-    staged, stages = _staged(df, plan)
+def _marks(stages: list[_Stage]) -> Column:
+    """Per step: nulls in and out, the detected format, the value that was not recognised."""
     marks = []
     for i, s in enumerate(stages):
         found, lost = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -152,11 +146,55 @@ def quality_report(df: DataFrame, table: str, plan: Plan) -> DataFrame:
             found.alias("format"),
             lost.alias("lost"),
         ))
-    # Written once: filters on the marks would otherwise send each use below back to the raw table.
-    tally = cut_lineage(
-        staged.select(F.explode(F.array(*marks)).alias("m")).select("m.*")
+    return F.array(*marks)
+
+
+def clean_and_mark(df: DataFrame, plan: Plan) -> DataFrame:
+    """The table of ``clean_table`` with a column ``_marks`` for ``tally_marks``, from one evaluation."""
+    staged, stages = _staged(df, plan)
+    final = {s.column: s.result for s in stages}
+    return staged.select(
+        *[final[c].alias(c) if c in final else F.col(c) for c in df.columns], _marks(stages).alias("_marks")
+    )
+
+
+def tally_marks(marked: DataFrame) -> DataFrame:
+    """How often each mark occurs; equal marks are counted before the shuffle. Stored, for its several uses."""
+    return cut_lineage(
+        marked.select(F.explode("_marks").alias("m")).select("m.*")
         .groupBy("position", "null_in", "null_out", "format", "lost").agg(F.count("*").alias("n"))
     )
+
+
+def unrecognised_values(tally: DataFrame, table: str, plan: Plan) -> DataFrame:
+    """``table, column, function, value, n``: every value that a step could not read."""
+    return (
+        tally.where(F.col("lost").isNotNull())
+        .groupBy("position", F.col("lost").alias("value")).agg(F.sum("n").alias("n"))
+        .join(F.broadcast(_steps(tally, table, plan)), "position")
+        .select("table", "column", "function", "value", "n")
+    )
+
+
+def _steps(frame: DataFrame, table: str, plan: Plan) -> DataFrame:
+    """One row per step of the plan, in the order of the marks."""
+    listed = [(column, step) for column, chain in plan for step in chain]
+    names = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(step.name).alias("function"), F.lit(column).alias("column"))
+        for i, (column, step) in enumerate(listed)
+    ])
+    return frame.sparkSession.range(1).select(F.inline(names)).withColumn("table", F.lit(table))
+
+
+def quality_report(df: DataFrame, table: str, plan: Plan, listed: int = LISTED) -> DataFrame:
+    """One row per (column, step), in plan order, from one pass over the raw table."""
+    staged, stages = _staged(df, plan)
+    return report_of(tally_marks(staged.select(_marks(stages).alias("_marks"))), table, plan, listed)
+
+
+def report_of(tally: DataFrame, table: str, plan: Plan, listed: int = LISTED) -> DataFrame:
+    """The quality report of a tally; its maps show the ``listed`` most frequent values per step, while
+    ``n_unrecognised`` counts all rows."""
     counts = tally.groupBy("position").agg(
         F.sum("n").alias("rows_in"),
         F.sum("n").alias("rows_out"),
@@ -165,27 +203,22 @@ def quality_report(df: DataFrame, table: str, plan: Plan) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("lost").isNotNull(), F.col("n"))), F.lit(0)).alias("n_unrecognised"),
     )
 
-    def listed(column: str, name: str) -> DataFrame:
+    def most_frequent(column: str, name: str) -> DataFrame:
         """Map of the most frequent values of a mark column per step."""
         top = Window.partitionBy("position").orderBy(F.desc("n"), column)
         return (
             tally.where(F.col(column).isNotNull()).groupBy("position", column).agg(F.sum("n").alias("n"))
             .withColumn("place", F.row_number().over(top))
-            .where(F.col("place") <= MAX_UNRECOGNISED)
+            .where(F.col("place") <= listed)
             .groupBy("position")
             .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(name))
         )
 
-    # The step names come from the plan, one row per step, so that an empty table is reported as well.
-    names = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(s.step.name).alias("function"), F.lit(s.column).alias("column"))
-        for i, s in enumerate(stages)
-    ])
-    steps = df.sparkSession.range(1).select(F.inline(names)).withColumn("table", F.lit(table))
+    # The step names come from the plan, so that an empty table is reported as well.
     return _report_columns(
-        steps.join(counts, "position", "left")
-        .join(listed("format", "formats"), "position", "left")
-        .join(listed("lost", "unrecognised"), "position", "left")
+        _steps(tally, table, plan).join(counts, "position", "left")
+        .join(most_frequent("format", "formats"), "position", "left")
+        .join(most_frequent("lost", "unrecognised"), "position", "left")
         .fillna(0, ["rows_in", "rows_out", "nulls_in", "nulls_out", "n_unrecognised"])
     )
 

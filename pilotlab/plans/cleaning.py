@@ -9,7 +9,7 @@ from ..operators import cleaning, flags
 from ..operators.cleaning import boolean_step, date_step, id_step, number_step, prefix_step, text_step
 from ..operators.dedup import drop_exact_duplicates, duplicate_summary
 from ..sources import bindings
-from ..sources.tables import Zones, read_tables, write_table
+from ..sources.tables import Zones, cut_lineage, read_tables, write_table
 
 
 def bank_plans(card_prefixes: dict[str, str] = bindings.CARD_PREFIXES) -> dict[str, cleaning.Plan]:
@@ -95,24 +95,22 @@ def run_cleaning(
 ) -> None:
     """Batch job: raw zone in, trusted zone and report tables out, under the bank's own names.
 
-    The deduplicated and cleaned tables are written first and read back for the flags and reports, so
-    no table is cleaned twice and a lost executor costs one stage, not the whole chain.
+    Each deduplicated table is cleaned once: the cleaned columns and the marks of the report come from
+    one evaluation, stored in the session's stage folder. Flags and reports are made from there.
     """
     as_of = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of
     names = bindings.TABLE_NAMES
     raw = read_tables(spark, zones, "raw", list(names.values()), required)
     raw = {t: bindings.to_package_names(raw[n], t) for t, n in names.items() if n in raw}
     plans = bank_plans()
-    reports, cleaned = [], {}
+    reports, unread, cleaned = [], [], {}
     for table, df in raw.items():
-        unique_path = f"{zones.folder('trusted')}/_unique/{table}.parquet"
-        write_table(drop_exact_duplicates(df), unique_path)
-        unique = spark.read.parquet(unique_path)
-        cleaned_path = f"{zones.folder('trusted')}/_cleaned/{table}.parquet"
-        write_table(cleaning.clean_table(unique, plans[table]), cleaned_path)
-        cleaned[table] = spark.read.parquet(cleaned_path)
-        reports.append(cleaning.dedup_report(duplicate_summary(df, unique), table))
-        reports.append(cleaning.quality_report(unique, table, plans[table]))
+        marked = cut_lineage(cleaning.clean_and_mark(drop_exact_duplicates(df), plans[table]))
+        cleaned[table] = marked.drop("_marks")
+        tally = cleaning.tally_marks(marked)
+        reports.append(cleaning.dedup_report(duplicate_summary(df, marked), table))
+        reports.append(cleaning.report_of(tally, table, plans[table]))
+        unread.append(cleaning.unrecognised_values(tally, table, plans[table]))
     flagged = add_flags(cleaned, as_of)
     summaries = []
     for table, df in flagged.items():
@@ -124,4 +122,5 @@ def run_cleaning(
                 stored, table, [f for f in FLAGS[table] if f in stored.columns]
             ))
     write_table(_union(reports), zones.table("reports", "quality_report"))
+    write_table(_union(unread), zones.table("reports", "unrecognised_values"))
     write_table(_union(summaries), zones.table("reports", "flag_summary"))
