@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -71,9 +73,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Paths given out in this process and not yet removed; the innermost open scope lists its own as well.
+_given: list[str] = []
+_scopes: list[list[str]] = []
+
+
 def stage_path(spark: SparkSession, name: str = "stage") -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It lasts until ``drop_stages`` removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for owner in (_given, *_scopes[-1:]):
+        owner.append(path)
+    return path
+
+
+@contextmanager
+def stage_scope() -> Iterator[list[str]]:
+    """Lists the stage paths that are given out inside."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def drop_stages(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Removes stage tables, all of this process by default. Frames that read them must not be used any more."""
+    for path in list(_given if paths is None else paths):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _given:
+            _given.remove(path)
 
 
 def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:

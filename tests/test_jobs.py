@@ -137,3 +137,18 @@ def test_missing_table(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "none.parquet"), required=False) is None
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_table(spark, str(tmp_path / "none.parquet"))
+
+
+def test_stage_tables_are_removed(spark):
+    from pilotlab.sources.tables import cut_lineage, drop_stages, stage_scope
+
+    with stage_scope() as made:
+        kept = cut_lineage(spark.range(3))
+        other = cut_lineage(spark.range(4))
+    outside = cut_lineage(spark.range(5))
+    assert len(made) == 2 and kept.count() == 3
+    drop_stages(spark, made)
+    assert outside.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(made[1]).count()
+    assert other.columns == ["id"]
