@@ -223,7 +223,7 @@ def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     points, ends exclusive. No rows give no rows. Columns named ``pii_...`` are reserved.
     """
     keep = docs.columns if keep is None else keep
-    scanned = cut_lineage(scan(docs, text).select(*keep, "pii_row", "pii_base", "pii_candidates"))
+    scanned = cut_lineage(scan(docs, text).select(*keep, "pii_row", "pii_base", "pii_candidates"), "zstd")
     chosen = select(proposals(scanned))
     span = F.struct("start", "rank", "end", "kind")
     added = chosen.groupBy("pii_row").agg(F.collect_list(span).alias("pii_added"))

@@ -248,7 +248,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     names = [f"c{i}" for i in range(len(docs.columns))]
     renamed = docs.toDF(*names)
     at = names[docs.columns.index(key)]
-    staged = cut_lineage(add_statistics(renamed, names[docs.columns.index(text)]))
+    staged = cut_lineage(add_statistics(renamed, names[docs.columns.index(text)]), "zstd")
     passed = staged.where(~base_failed())
     rules = fit(labelled(passed.withColumnRenamed(at, key), labels, key))
     return passed.where(rules.keeps()).select(*names).toDF(*docs.columns)
