@@ -191,6 +191,10 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SQL_HOLDOUT = """SELECT CAST('0x' || substr(md5(concat(c_custkey, ':42')), 1, 8) AS BIGINT) % 100 < 20 AS held_out,
+  count(*) AS n FROM customer GROUP BY 1"""
+
+
 def effect_summary(spark: SparkSession, sf: str) -> DataFrame:
     treated = cut_lineage(_base(spark, sf).where("treated = 1"))
     digits = {c: 4 for c in ("mean", "std", "min", "q25", "q50", "q75", "max", "pct_positive")}
@@ -263,7 +267,7 @@ QUERIES = {
     "category_balance": (category_balance, _SQL_CATEGORY),
     "feature_statistics": (feature_statistics, _SQL_FEATURES),
     "ridge_coefficients": (ridge_coefficients, _SQL_RIDGE),
-    "holdout_split": (holdout_split, None),
+    "holdout_split": (holdout_split, _SQL_HOLDOUT),
     "t_learner_effect": (t_learner_effect, None),
     "effect_decision": (effect_decision, None),
     "effect_summary": (effect_summary, _SQL_EFFECT_SUMMARY),

@@ -37,8 +37,12 @@ def fit_ridge(df: DataFrame, label: str, alpha: float = 1.0, features: str = "fe
 
 
 def holdout(key: str, seed: int, percent: int = 20) -> Column:
-    """True for about ``percent`` of the keys; depends on the key alone, not on partitioning."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < percent
+    """True for about ``percent`` of the keys; depends on the key's text alone, not on partitioning.
+
+    The first 32 bits of an MD5, which other engines have as well.
+    """
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % 100 < percent
 
 
 @dataclass(frozen=True)

@@ -205,3 +205,22 @@ def test_cardinality_lists_few_values_only(spark):
 def test_mode_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("g", "b"), ("g", "a"), ("h", "z")], "g string, c string")
     assert {r["g"]: r["c"] for r in profile.mode_by_group(df, "g", "c").collect()} == {"g": "a", "h": "z"}
+
+
+def test_profiles_of_tables_without_such_columns(spark):
+    numbers = spark.createDataFrame([(1, 2.0)], "a int, b double")
+    assert profile.cardinality(numbers).collect() == []
+    assert profile.date_format_profile(numbers).collect() == []
+    assert profile.null_profile(numbers).collect() == []
+
+
+def test_all_unrecognised_values_are_kept(spark):
+    df = spark.createDataFrame([("x" * (i + 1),) for i in range(70)] + [("xx",), ("7",)], "kind string")
+    plan = [("kind", (cleaning.number_step(),))]
+    marked = cleaning.clean_and_mark(df, plan)
+    assert marked.columns == ["kind", "_marks"] and marked.where("kind = 7.0").count() == 1
+    tally = cleaning.tally_marks(marked)
+    found = cleaning.unrecognised_values(tally, "t", plan)
+    assert found.count() == 70 and found.where("value = 'xx'").first()["n"] == 2
+    report = cleaning.report_of(tally, "t", plan, listed=5).first()
+    assert len(report["unrecognised"]) == 5 and report["n_unrecognised"] == 71
