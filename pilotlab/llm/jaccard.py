@@ -36,7 +36,7 @@ from .hashing import chunks, gram_hashes, mix, text_bytes, windows, word_hashes
 SHINGLE = 5
 PERCENT = 80
 EXTENSION = 16  # a prefix is longer by one hash for so many of the set
-BLOCK_SETS = 8192
+BLOCK_SETS = 4096
 CHUNK_SETS = 256  # a candidate group of more than two chunks is cut
 PIVOTS = 8
 BROADCAST_ROWS = 1_000_000  # two numbers each; beyond, the texts to read again are found by a shuffle
