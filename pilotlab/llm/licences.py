@@ -15,6 +15,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut_lineage
 from .text import lines
 
 # The usual notices of common licences.
@@ -66,13 +67,14 @@ def weights(notices: list[tuple[str, str]]) -> list[tuple[int, str, str, float]]
 
 
 def anchors(notices: list[tuple[str, str]], threshold: int) -> list[str]:
-    """Terms of which a text must have one to reach the threshold for any notice; rare ones first."""
+    """Terms of which a text must have one to reach the threshold for any notice; words before single
+    characters, and rare ones first."""
     found: set[str] = set()
     idf = frequencies(notices)
     for i in range(len(notices)):
-        own = sorted((-idf[t], -w, t) for n, _, t, w in weights(notices) if n == i)
-        rest = sum(w * w for _, w, _ in own)
-        for _, w, t in own:
+        own = sorted((len(t) < 2, -idf[t], -w, t) for n, _, t, w in weights(notices) if n == i)
+        rest = sum(w * w for _, _, w, _ in own)
+        for _, _, w, t in own:
             if sqrt(max(0.0, rest)) * 1000 < threshold - 1:
                 break
             found.add(t)
@@ -96,7 +98,7 @@ def own_licences(files: DataFrame, path: str, text: str, notices: list[tuple[str
     near = near.where(F.col("text").rlike(pattern))
     whole = F.when(F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = near.select("file", F.posexplode(F.concat(whole, F.filter(lines(F.col("text")), lambda x: x.rlike(pattern)))).alias("place", "unit"))
-    counted = (
+    counted = cut_lineage(
         units.select("file", "place", F.explode(F.regexp_extract_all("unit", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("term"))
         .withColumn("term", F.lower("term")).where(~F.col("term").isin(*COMMON))
         .groupBy("file", "place", "term").agg(F.count("*").alias("n"))
@@ -149,7 +151,7 @@ def scan(
     names = [f"c{i}" for i in range(len(files.columns))]
     at = dict(zip(files.columns, names))
     rows = files.toDF(*names)
-    own = own_licences(rows, at[path], at[text], notices, threshold)
+    own = cut_lineage(own_licences(rows, at[path], at[text], notices, threshold))
     own = own.select(F.col("file.path").alias("_path"), F.col("file.hash").alias("_hash"), F.col("licence").alias("_own"), F.col("score").alias("_own_score"))
     licensed = (
         own.where(F.col("_path").rlike(LICENCE_FILE)).groupBy(_folder(F.col("_path")).alias("origin"))
