@@ -237,7 +237,22 @@ FROM w, t"""
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     treated = cut_lineage(_base(spark, sf).where("treated = 1").select("client_id", "y_amount"))
-    return tests.bootstrap_interval(treated, "y_amount", "client_id")
+    return rounded(tests.bootstrap_interval(treated, "y_amount", "client_id"), {"ci_low": 3, "ci_high": 3})
+
+
+def _md5_sql(text: str) -> str:
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {tests.PRIME})"
+
+
+_DRAW_SQL = " ".join(f"WHEN u < {bound!r}e0 THEN {k}" for k, bound in enumerate(tests.poisson_bounds()))
+_SQL_BOOTSTRAP = f"""{EFFECT_BASE}, h AS (
+  SELECT {_md5_sql("concat(client_id, ':42')")} AS h, CAST(y_amount AS DOUBLE) AS x FROM base WHERE treated = 1),
+r AS (SELECT r, {_md5_sql("concat('a', r, ':42')")} % {tests.PRIME - 1} + 1 AS a, {_md5_sql("concat('b', r, ':42')")} AS b
+  FROM range(2000) t(r)),
+d AS (SELECT r, x, CAST((h * a + b) % {tests.PRIME} AS DOUBLE) / {tests.PRIME} AS u FROM h, r WHERE x IS NOT NULL),
+w AS (SELECT r, x, CASE {_DRAW_SQL} ELSE 18 END AS w FROM d),
+m AS (SELECT r, sum(x * w) / nullif(sum(w), 0) AS mean FROM w GROUP BY r)
+SELECT round(quantile_cont(mean, 0.025), 3) AS ci_low, round(quantile_cont(mean, 0.975), 3) AS ci_high FROM m"""
 
 
 def winsorize(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,6 +289,6 @@ QUERIES = {
     "t_statistic": (t_statistic, f"""SELECT count(*) AS n, round(avg(x), 6) AS mean,
         round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 6) AS t FROM (SELECT {_GAIN} AS x FROM lineitem)"""),
     "wilcoxon_statistic": (wilcoxon_statistic, _SQL_WILCOXON),
-    "bootstrap_ci": (bootstrap_ci, None),
+    "bootstrap_ci": (bootstrap_ci, _SQL_BOOTSTRAP),
     "winsorize": (winsorize, _SQL_WINSORIZE),
 }

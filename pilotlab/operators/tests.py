@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,17 +130,23 @@ def wilcoxon_statistic(df: DataFrame, column: str, buckets: int | None = None) -
     )
 
 
-def _poisson_one(uniform: Column) -> Column:
-    """Poisson(1) draw by inverting its distribution function."""
-    total, weight, draw = 0.0, math.exp(-1.0), F.lit(18)
-    bounds = []
+# Modulus of the draws; a product of two numbers below it fits 64 bits.
+PRIME = 2**31 - 1
+
+
+def md5_number(text: str) -> int:
+    """First 32 bits of an MD5, modulo ``PRIME``."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % PRIME
+
+
+def poisson_bounds() -> list[float]:
+    """Distribution function of Poisson(1) at 0 … 17."""
+    total, weight, bounds = 0.0, math.exp(-1.0), []
     for k in range(18):
         total += weight
-        bounds.append((k, total))
+        bounds.append(total)
         weight /= k + 1
-    for k, bound in reversed(bounds):
-        draw = F.when(uniform < bound, F.lit(k)).otherwise(draw)
-    return draw
+    return bounds
 
 
 def bootstrap_means(
@@ -145,19 +154,34 @@ def bootstrap_means(
 ) -> DataFrame:
     """``replicate, mean``: the mean under Poisson(1) row weights, per replicate.
 
-    Weights are a hash of key, replicate and seed, so the result does not depend on partitioning, and
-    a task passes on at most one row per replicate.
+    A row's draw is ``(h * a + b) mod PRIME / PRIME`` with ``h`` from the MD5 of key and seed and ``a``, ``b`` from
+    that of replicate and seed, so the result does not depend on partitioning. A task adds up the
+    weights and weighted values of its rows and passes on one row per replicate.
     """
-    value = df.select(F.col(key), F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
-    drawn = value.select(
-        key, "x", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    )
-    uniform = F.pmod(F.xxhash64(key, "replicate", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    weight = _poisson_one(uniform)
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
+    hashed = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % PRIME
+    value = df.select(hashed.alias("h"), F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    a = np.array([md5_number(f"a{r}:{seed}") % (PRIME - 1) + 1 for r in range(replicates)], dtype=np.int64)
+    b = np.array([md5_number(f"b{r}:{seed}") for r in range(replicates)], dtype=np.int64)
+    bounds = np.array(poisson_bounds())
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, sums = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            h, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first in range(0, len(h), 256):
+                part = slice(first, first + 256)
+                draws = (h[part, None] * a + b) % PRIME / PRIME
+                w = np.searchsorted(bounds, draws, side="right")
+                weights += w.sum(axis=0)
+                sums += x[part] @ w
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(replicates)), pa.array(weights), pa.array(sums)], ["replicate", "w", "wx"]
+        )
+
     return (
-        drawn.select("replicate", "x", weight.alias("w")).where("w > 0")
-        .groupBy("replicate")
-        .agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"))
+        value.mapInArrow(add_up, "replicate bigint, w double, wx double").groupBy("replicate")
+        .agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("mean"))
     )
 
 
