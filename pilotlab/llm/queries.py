@@ -183,6 +183,27 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+JACCARD_SQL = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.SHINGLE} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {jaccard.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {jaccard.SHINGLE - 1}], ' ')) END) AS g
+    FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * k >= {jaccard.PERCENT} * (x.n + y.n - k)
+), reached AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(b) AS component_id
+FROM reached LEFT JOIN sizes ON a = doc_id GROUP BY a
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_licence_scan": (licence_scan, licences.sql(f"SELECT doc_id, {PATH_SQL} AS path, text FROM documents")),
     "op2_line_templates": (recurring_lines, LINES_SQL),
@@ -192,6 +213,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_stupid_backoff": (backoff_scores, BACKOFF_SQL),
     "op7_voronoi_topk": (nearest_vectors, NEAREST_SQL),
     "op8_byte_bpe": (byte_bpe, None),
-    "op9_trie_jaccard": (jaccard_classes, None),
+    "op9_trie_jaccard": (jaccard_classes, JACCARD_SQL),
     "op10_rans_tokens": (token_files, None),
 }

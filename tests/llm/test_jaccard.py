@@ -7,7 +7,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from pilotlab.llm import jaccard
+from compare import differences, oracle
+from pilotlab.llm import jaccard, queries
 from pilotlab.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,3 +127,10 @@ def test_components(spark):
     found = components(spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {tuple(r) for r in found} == expected and len(found) == len(expected)
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query(spark, sf):
+    query, sql = queries.QUERIES["op9_trie_jaccard"]
+    path = f"/root/testdata/sf{sf}"
+    assert differences(query(spark, path).toPandas(), oracle(sql, path)) is None
