@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import bindings
-from ..sources.tables import Zones, read_table, write_table
+from ..sources.tables import Zones, cut_lineage, read_table, write_table
 from . import effect_base as eb
 from . import segment_base as sb
 from .effect_model import EffectResult, measure_effect
@@ -34,8 +34,21 @@ def _modelling(spark: SparkSession, zones: Zones, name: str, binding: str) -> Da
     return bindings.to_package_names(read_table(spark, zones.table("modelling", name)), binding)
 
 
-def build_effect_base(spark: SparkSession, zones: Zones, spec: EffectSpec = EffectSpec()) -> None:
-    _store(eb.effect_base(*_four(spark, zones), spec), zones, EFFECT_BASE, "effect_base")
+WINDOW_CANDIDATES = (30, 60, 90)
+
+
+def build_effect_base(
+    spark: SparkSession, zones: Zones, spec: EffectSpec = EffectSpec(),
+    window_candidates: tuple[int, ...] = WINDOW_CANDIDATES,
+) -> None:
+    """Stores the causal table, the sizes of cohort and arms, and how many windows of each length fit."""
+    client, card, tx, contact = _four(spark, zones)
+    cohort = eb.pilot_cohort(client, contact, spec.campaign)
+    arms = cut_lineage(eb.with_arms(cohort, eb.first_activation(card, spec.labels.physical)))
+    write_table(eb.arm_sizes(arms), zones.table("reports", "cohort_sizes"))
+    windows = eb.window_sensitivity(eb.anchored(arms), tx, sorted({*window_candidates, spec.window_days}))
+    write_table(windows, zones.table("reports", "window_sensitivity"))
+    _store(eb.effect_base(client, card, tx, contact, spec), zones, EFFECT_BASE, "effect_base")
 
 
 def run_effect(spark: SparkSession, zones: Zones, replicates: int = 2_000, seed: int = 42) -> EffectResult:
@@ -65,6 +78,7 @@ def run_segmentation(
     write_table(result.ranking, zones.table("reports", "segment_ranking"))
     write_table(result.profile(), zones.table("reports", "segment_profile"))
     write_table(result.modes(), zones.table("reports", "segment_modes"))
+    write_table(result.distribution(), zones.table("reports", "segment_distribution"))
     write_table(result.choice.table(base), zones.table("reports", "silhouette_by_k"))
     return result
 

@@ -166,7 +166,7 @@ def lookup_clients(requests: DataFrame, segmented: DataFrame, key: str = "client
     """
     stored = segmented.withColumn("_key", F.col(key).cast("string")).drop(key).withColumn("_found", F.lit(True))
     wanted = requests.withColumn("_key", F.col(key).cast("string"))
-    ids = wanted.select("_key")
+    ids = wanted.select("_key").distinct()
     if ids.count() <= SMALL_DIMS_ROWS:
         ids = F.broadcast(ids)
     return (

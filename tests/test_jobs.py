@@ -131,6 +131,12 @@ def test_modelling_jobs(spark, zones):
     jobs.build_effect_base(spark, zones, EffectSpec())
     effect = read_table(spark, zones.table("modelling", "base_modelo"))
     assert effect.columns[:5] == ["cliente_id", "T", "t0", "Y_frecuencia", "Y_monto"] and effect.count() > 5
+    sizes = read_table(spark, zones.table("reports", "cohort_sizes")).first()
+    assert sizes["cohort"] == sizes["active_before"] + sizes["treated"] + sizes["control"]
+    windows = {r["window_days"]: r for r in read_table(spark, zones.table("reports", "window_sensitivity")).collect()}
+    assert windows[60]["n_valid"] == effect.count() and windows[60]["n_clients"] == sizes["treated"] + sizes["control"]
+    shares = read_table(spark, zones.table("reports", "segment_distribution")).collect()
+    assert sum(r["n"] for r in shares) == base.count()
 
 
 def test_missing_table(spark, tmp_path):
