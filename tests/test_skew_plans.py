@@ -1,5 +1,6 @@
 """The modelling tables must not change when every client is treated as a heavy key."""
 
+import re
 from functools import partial
 
 from pilotlab.catalog import common
@@ -27,3 +28,10 @@ def test_sliced_tables_equal_broadcast_tables(spark, monkeypatch):
     monkeypatch.setattr(segment_base, "aggregate_by_key", sliced)
     monkeypatch.setattr(effect_base, "aggregate_by_key", sliced)
     assert both() == plain and all(plain)
+
+
+def test_anchors_bound_the_events_that_are_read(spark):
+    client, card, tx, contact = (cut_lineage(t) for t in common.trusted(spark, SF))
+    plan = effect_base.effect_base(client, card, tx, contact, common.EFFECT)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "net_amount" not in line and ",ts#" in line]
+    assert [s for s in scans if re.search(r"ts#\d+ >= Sub", s)], scans[0]
