@@ -32,6 +32,8 @@ def test_sliced_tables_equal_broadcast_tables(spark, monkeypatch):
 
 def test_anchors_bound_the_events_that_are_read(spark):
     client, card, tx, contact = (cut_lineage(t) for t in common.trusted(spark, SF))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = effect_base.effect_base(client, card, tx, contact, common.EFFECT)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     scans = [line for line in plan.splitlines() if "FileScan" in line and "net_amount" not in line and ",ts#" in line]
     assert [s for s in scans if re.search(r"ts#\d+ >= Sub", s)], scans[0]
