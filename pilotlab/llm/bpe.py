@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import Cache
+from .memory import releasing
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
@@ -205,7 +206,7 @@ def encode(
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(releasing(run), f"key {kind}, ids binary").withColumnRenamed("key", key)
 
 
 def decode(
@@ -228,4 +229,4 @@ def decode(
 
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(releasing(run), f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memory import releasing, releasing_group
+
 KEYS_PER_RANGE = 1 << 20
 LEAST_RANGES = 64
 
@@ -68,8 +70,8 @@ def totals(blocks: DataFrame, keys_of: Keys, n_ranges: int) -> DataFrame:
             "totals": pa.array([sums[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
         })
 
-    sent = blocks.mapInArrow(send, "range long, block long, keys binary, counts binary")
-    return sent.groupBy("range").applyInArrow(add_up, "block long, range long, totals binary")
+    sent = blocks.mapInArrow(releasing(send), "range long, block long, keys binary, counts binary")
+    return sent.groupBy("range").applyInArrow(releasing_group(add_up), "block long, range long, totals binary")
 
 
 def joined(replies: pa.Table) -> np.ndarray:

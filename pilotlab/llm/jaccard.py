@@ -32,6 +32,7 @@ from ..sources.tables import cut_lineage
 from . import exchange
 from .components import components
 from .hashing import chunks, gram_hashes, mix, text_bytes, windows, word_hashes
+from .memory import releasing, releasing_group, releasing_pair
 
 SHINGLE = 5
 PERCENT = 80
@@ -298,7 +299,7 @@ def _group_links(shared: DataFrame, percent: int) -> DataFrame:
     columns = ["grp", "part", "node", "n", "hashes", "counts"]
     first = (
         sets.select(*columns).union(shown.select(*columns))
-        .groupBy("grp", "part").applyInArrow(_link_table(percent), "u binary, v binary")
+        .groupBy("grp", "part").applyInArrow(releasing_group(_link_table(percent)), "u binary, v binary")
     )
     first = cut_lineage(first)
     if large.isEmpty():
@@ -320,7 +321,7 @@ def _group_links(shared: DataFrame, percent: int) -> DataFrame:
     columns = ["grp", "part", "visit", "node", "n", "hashes", "counts", "guest"]
     second = (
         hosts.select(*columns).union(visits.withColumn("guest", F.lit(True)).select(*columns))
-        .groupBy("grp", "part", "visit").applyInArrow(_link_table(percent), "u binary, v binary")
+        .groupBy("grp", "part", "visit").applyInArrow(releasing_group(_link_table(percent)), "u binary, v binary")
     )
     return first.union(second)
 
@@ -331,15 +332,15 @@ def classes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Da
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     signed = cut_lineage(
-        rows.mapInArrow(_signatures(size, percent), f"key {kind}, text_hash long, n long, node binary, prefix binary")
+        rows.mapInArrow(releasing(_signatures(size, percent)), f"key {kind}, text_hash long, n long, node binary, prefix binary")
     )
     filled = signed.where("n > 0")
     nodes = filled.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    blocks = cut_lineage(nodes.select("node", "n", "prefix").mapInArrow(_blocks, BLOCK_SCHEMA), "none")
+    blocks = cut_lineage(nodes.select("node", "n", "prefix").mapInArrow(releasing(_blocks), BLOCK_SCHEMA), "none")
     n_keys = (blocks.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 8
     replies = exchange.totals(blocks, _block_keys, exchange.ranges(n_keys))
     near = cut_lineage(
-        blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_with_partner(percent), "node binary")
+        blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(releasing_pair(_with_partner(percent)), "node binary")
     )
 
     # One row of each node that is left, to read its text again.
@@ -365,12 +366,12 @@ def classes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> Da
             ["node", "n", "hashes"],
         )
 
-    whole = again.select("text").mapInArrow(lambda b: _blocks(full(b)), BLOCK_SCHEMA)
+    whole = again.select("text").mapInArrow(releasing(lambda b: _blocks(full(b))), BLOCK_SCHEMA)
     whole = cut_lineage(whole, "none")
     n_keys = (whole.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 8
     replies = exchange.totals(whole, _block_keys, exchange.ranges(n_keys))
     shared = cut_lineage(
-        whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_shared(percent), SHARED_SCHEMA)
+        whole.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(releasing_pair(_shared(percent)), SHARED_SCHEMA)
     )
     found = components(_group_links(shared, percent))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import cut_lineage
+from .memory import releasing, releasing_pair
 
 PIVOTS = 64
 PIVOT_SAMPLE = 4096  # rows, by hash of the key, from which pivots are chosen
@@ -170,7 +171,7 @@ def search(
     pivots = _choose_pivots(rows.select("id", "v"), width)
     data = cut_lineage(
         rows.select("id", "v", "asks", F.monotonically_increasing_id().alias("row"))
-        .mapInArrow(_assign(pivots), "id long, v array<long>, asks boolean, row long, cell int, away double")
+        .mapInArrow(releasing(_assign(pivots)), "id long, v array<long>, asks boolean, row long, cell int, away double")
     )
     summary = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("reach"), F.count_if("asks").alias("asking")).orderBy("cell").collect()
     cells = np.array([r["cell"] for r in summary], dtype=np.int64)
@@ -194,7 +195,7 @@ def search(
         (F.col("grp0") + F.pmod(salt, F.col("share"))).cast("int").alias("grp"),
     )
     asked = cut_lineage(asked)
-    bounds = asked.select("query", "v").mapInArrow(_bounds(pivots, cells, reach), "query long, cell int, bound double, place int")
+    bounds = asked.select("query", "v").mapInArrow(releasing(_bounds(pivots, cells, reach)), "query long, cell int, bound double, place int")
     bounds = cut_lineage(bounds.join(layout.select("cell", "blocks"), "cell"))
     held = data.select("cell", "block", "id", "v", "row")
     pairing = "query long, id long, row long, score long"
@@ -207,7 +208,7 @@ def search(
         hosts = held.join(wanted, ["cell", "block"])
         hosts = hosts.toDF(*hosts.columns)  # columns of its own, apart from those of the guests
         keys = ["grp", "cell", "block"]
-        return guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(_meet(width, k), pairing)
+        return guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInArrow(releasing_pair(_meet(width, k)), pairing)
 
     first = cut_lineage(_best(meet(bounds.where(F.col("place") < FIRST_CELLS)), k))
     reached = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut_lineage, stage_path
 from . import exchange
 from .hashing import chunks, gram_hashes, mix, text_bytes, windows, word_hashes
+from .memory import releasing, releasing_pair
 
 ORDER = 3
 BACKOFF = 0.4
@@ -193,7 +194,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = int(min(4096, max(16, rows.count() // DOCS_PER_BUCKET)))
     name = f"lm_blocks_{uuid.uuid4().hex}"
-    packed = rows.mapInArrow(_pack, BLOCK_SCHEMA)
+    packed = rows.mapInArrow(releasing(_pack), BLOCK_SCHEMA)
     # Bucketed, so that the answers travel to the blocks and not the blocks to the answers.
     packed.write.option("path", stage_path(spark, "blocks")).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
@@ -204,7 +205,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
         exchange.totals(blocks, _words, exchange.ranges(n_keys)).withColumn("n", F.lit(1)), "zstd"
     )
     for n in range(2, ORDER + 1):
-        out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_send_next(n), "block long, keys binary, counts binary")
+        out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(releasing_pair(_send_next(n)), "block long, keys binary, counts binary")
         more = exchange.totals(out, _sent, exchange.ranges(n_corpus)).withColumn("n", F.lit(n))
         replies = replies.union(cut_lineage(more, "zstd"))
 
@@ -216,5 +217,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
             parts.append(pa.table(dict(zip(names, map(pa.array, columns)))))
         return pa.concat_tables(parts)
 
-    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, SCORE_SCHEMA)
+    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(releasing_pair(finish), SCORE_SCHEMA)
     return scored.withColumnRenamed("doc", key)

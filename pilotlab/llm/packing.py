@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut_lineage
 from . import tokens
 from .hashing import mix
+from .memory import releasing
 
 BUCKETS = 256
 DIMENSIONS = 4
@@ -102,7 +103,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, key: str, text
                 )
 
     schema = "key long, n long, ids binary" + "".join(f", p{d} double" for d in range(DIMENSIONS))
-    return cut_lineage(rows.mapInArrow(run, schema), "zstd")
+    return cut_lineage(rows.mapInArrow(releasing(run), schema), "zstd")
 
 
 def curve_order(rows: DataFrame) -> DataFrame:
@@ -185,5 +186,5 @@ def pack(
         yield rows(rest)
 
     ordered = curve_order(token_rows(docs, path, end_id, key, text))
-    pieces = ordered.select("key", "n", "ids").mapInArrow(run, PIECE_SCHEMA)
+    pieces = ordered.select("key", "n", "ids").mapInArrow(releasing(run), PIECE_SCHEMA)
     return pieces.withColumnRenamed("key", key)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
 from . import tokens
+from .memory import releasing
 
 LANES = 1024
 SEGMENT_STEPS = 256  # a checkpoint after so many ids of each lane
@@ -168,7 +169,7 @@ def token_rows(
 
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     schema = "key long, part long, row long, before long, n long, ids binary"
-    return cut_lineage(ordered.mapInArrow(run, schema), "zstd")
+    return cut_lineage(ordered.mapInArrow(releasing(run), schema), "zstd")
 
 
 def _count_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def write(rows: DataFrame, path: str) -> None:
     vocabulary and by the number of partitions.
     """
     spark = rows.sparkSession
-    counted = rows.select("n", "ids").mapInArrow(_count_ids, "id long, count long")
+    counted = rows.select("n", "ids").mapInArrow(releasing(_count_ids), "id long, count long")
     counts = counted.groupBy("id").agg(F.sum("count").alias("count")).collect()
     table = FrequencyTable(np.array([r["id"] for r in counts], np.int64), np.array([r["count"] for r in counts], np.int64))
     pairs = list(zip(table.ids.tolist(), table.frequencies.tolist()))
@@ -212,7 +213,7 @@ def write(rows: DataFrame, path: str) -> None:
         if held:
             yield _block(table, held, starts)
 
-    blocks = rows.select("key", "part", "row", "before", "n", "ids").mapInArrow(run, BLOCK_SCHEMA)
+    blocks = rows.select("key", "part", "row", "before", "n", "ids").mapInArrow(releasing(run), BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -256,4 +257,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids binary")
