@@ -3,9 +3,9 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. High-recall generators
 propose further, overlapping spans: anything around an ``@``, runs of digit groups, long mixed tokens.
 Boosted trees score each candidate by its form and its context. They are trained here on a bounded
-sample of candidates: those that overlap a base span, or that have a known key form or follow a word
-such as "password" and a sign, are positive, and the others negative. For each kind the threshold is
-the least score from which the held-out candidates are precise.
+sample of distinct candidates of each kind: those that overlap a base span, or that have a known key
+form or follow a word such as "password" and a sign, are positive, and the others negative. For each
+kind the threshold is the least score from which all held-out candidates are precise.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ KEY_FORM = r"^(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}$"
 KEY_WORD = r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?$"
 CONTEXT = 32
 
-SAMPLE_ROWS = 20_000  # candidates that the trees are trained on, by hash of their place
+SAMPLE_ROWS = 20_000  # candidates that the trees are trained on, by hash of their form
 TREES, DEPTH = 20, 3
 PRECISION = 0.99
 FEATURES = [
@@ -166,29 +166,51 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def proposals(scanned: DataFrame) -> DataFrame:
-    """One row for each candidate with its features, ``positive`` (see above) and ``inside`` (it overlaps a base span)."""
+    """One row for each candidate with ``match`` and ``before``, ``positive`` (see above), ``inside`` (it overlaps a
+    base span), ``form`` (a hash of all that its features and class come from) and ``held`` (not for training, by form)."""
     one = scanned.select("pii_row", "pii_base", F.explode("pii_candidates").alias("c")).select("pii_row", "pii_base", "c.*")
     inside = F.exists("pii_base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     known = (F.col("kind") == "secret") & (F.col("match").rlike(KEY_FORM) | F.col("before").rlike(KEY_WORD))
-    one = one.withColumn("inside", inside).withColumn("known", known)
+    one = one.withColumn("inside", inside).withColumn("form", F.xxhash64("kind", "match", "before", "inside"))
     return one.select(
-        "pii_row", "start", "rank", "end", "kind", "inside",
-        (F.col("inside") | F.col("known")).cast("double").alias("positive"),
-        F.xxhash64("match", "start", "kind").alias("place"),
-        *[c.cast("double").alias(n) for n, c in _features().items()],
+        "pii_row", "start", "rank", "end", "kind", "match", "before", "inside", "form",
+        (F.pmod("form", F.lit(3)) == 0).alias("held"),
+        (F.col("inside") | known).cast("double").alias("positive"),
     )
 
 
+def training_sample(proposed: DataFrame) -> DataFrame:
+    """At most ``SAMPLE_ROWS`` candidates that are not held out, each form once, drawn by hash.
+
+    Kinds get equal shares; what a rare kind leaves of its share goes to the others.
+    """
+    forms = cut_lineage(proposed.where(~F.col("held")).select("kind", "form").distinct())
+    counts = {r["kind"]: r["count"] for r in forms.groupBy("kind").count().collect()}
+    drawn, left = [], SAMPLE_ROWS
+    for i, kind in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
+        share = min(counts[kind], left // (len(counts) - i))
+        drawn.append(forms.where(F.col("kind") == kind).orderBy(F.xxhash64("form", F.lit(7)), "form").limit(share))
+        left -= share
+    if not drawn:
+        return proposed.limit(0)
+    chosen = cut_lineage(reduce(DataFrame.unionAll, drawn))
+    return proposed.join(F.broadcast(chosen), ["kind", "form"], "left_semi").dropDuplicates(["form"])
+
+
 def select(proposed: DataFrame) -> DataFrame:
     """``pii_row`` and (start, rank, end, kind) of the candidates whose score reaches their kind's threshold.
 
-    With candidates of one class only nothing is learned or selected.
+    The trees see a sample; the thresholds come from all held-out candidates. With candidates of one
+    class only nothing is learned or selected.
     """
-    order = F.xxhash64("place", F.lit(7))
-    sample = cut_lineage(proposed.orderBy(order, "place").limit(SAMPLE_ROWS))
-    held = F.pmod(F.col("place"), F.lit(3)) == 0
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    training = assembled.transform(sample.where(~held)).select("features", "positive")
+
+    def featured(rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.columns if c not in ("match", "before")]
+        return assembled.transform(rows.select(*kept, *[c.cast("double").alias(n) for n, c in _features().items()]))
+
+    # In a fixed order, so that the trees do not depend on how the rows are dealt out.
+    training = cut_lineage(featured(training_sample(proposed)).select("form", "features", "positive").coalesce(1).sortWithinPartitions("form"))
     nothing = proposed.select("pii_row", "start", "rank", "end", "kind").where(F.lit(False))
     if training.select("positive").distinct().count() < 2:
         return nothing
@@ -196,12 +218,12 @@ def select(proposed: DataFrame) -> DataFrame:
         labelCol="positive", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1
     ).fit(training)
 
-    def scored(rows: DataFrame) -> DataFrame:
-        p = F.get(vector_to_array("probability"), 1)
-        return model.transform(assembled.transform(rows)).withColumn("score", F.floor(p * 100).cast("int"))
+    p = F.get(vector_to_array("probability"), 1)
+    scored = model.transform(featured(proposed)).withColumn("score", F.floor(p * 100).cast("int"))
+    scored = cut_lineage(scored.select("pii_row", "start", "rank", "end", "kind", "inside", "held", "positive", "score"), "zstd")
 
     # Calibration: counts by kind and score in hundredths.
-    bins = scored(sample.where(held)).groupBy("kind", "score").agg(F.sum("positive").alias("good"), F.count("*").alias("n")).collect()
+    bins = scored.where("held").groupBy("kind", "score").agg(F.sum("positive").alias("good"), F.count("*").alias("n")).collect()
     limits: dict[str, int] = {}
     for kind in GENERATORS:
         good = n = 0
@@ -212,7 +234,7 @@ def select(proposed: DataFrame) -> DataFrame:
     if not limits:
         return nothing
     reached = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("score") >= s) for k, s in limits.items()])
-    return scored(proposed).where(reached & ~F.col("inside")).select("pii_row", "start", "rank", "end", "kind")
+    return scored.where(reached & ~F.col("inside")).select("pii_row", "start", "rank", "end", "kind")
 
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
