@@ -165,15 +165,31 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return numbered.withColumn("pii_base", base_spans(t)).withColumn("pii_candidates", candidates(t))
 
 
+def _covered(base: Column, start: Column, end: Column, match: Column) -> Column:
+    """Whether all letters and digits of a match lie in base spans (which are sorted by start)."""
+    over = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > start))
+
+    def between(state: Column, to: Column) -> Column:
+        return F.concat(state["out"], F.substring(match, state["at"] - start + 1, F.greatest(F.lit(0), to - state["at"])))
+
+    def add(state: Column, b: Column) -> Column:
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), between(state, b["start"]).alias("out"))
+
+    nothing = F.struct(start.alias("at"), F.lit("").alias("out"))
+    return ~F.aggregate(over, nothing, add, lambda state: between(state, end)).rlike(r"[\p{L}\p{N}]")
+
+
 def proposals(scanned: DataFrame) -> DataFrame:
     """One row for each candidate with ``match`` and ``before``, ``positive`` (see above), ``inside`` (it overlaps a
-    base span), ``form`` (a hash of all that its features and class come from) and ``held`` (not for training, by form)."""
+    base span), ``covered`` (base spans hold all its letters and digits), ``form`` (a hash of all that its features and
+    class come from) and ``held`` (not for training, by form)."""
     one = scanned.select("pii_row", "pii_base", F.explode("pii_candidates").alias("c")).select("pii_row", "pii_base", "c.*")
     inside = F.exists("pii_base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     known = (F.col("kind") == "secret") & (F.col("match").rlike(KEY_FORM) | F.col("before").rlike(KEY_WORD))
     one = one.withColumn("inside", inside).withColumn("form", F.xxhash64("kind", "match", "before", "inside"))
     return one.select(
         "pii_row", "start", "rank", "end", "kind", "match", "before", "inside", "form",
+        F.when(F.col("inside"), _covered(F.col("pii_base"), F.col("start"), F.col("end"), F.col("match"))).otherwise(False).alias("covered"),
         (F.pmod("form", F.lit(3)) == 0).alias("held"),
         (F.col("inside") | known).cast("double").alias("positive"),
     )
@@ -200,7 +216,7 @@ def training_sample(proposed: DataFrame) -> DataFrame:
 def select(proposed: DataFrame) -> DataFrame:
     """``pii_row`` and (start, rank, end, kind) of the candidates whose score reaches their kind's threshold.
 
-    The trees see a sample; the thresholds come from all held-out candidates. With candidates of one
+    Those that add no letter or digit to the base spans are left out. The trees see a sample; the thresholds come from all held-out candidates. With candidates of one
     class only nothing is learned or selected.
     """
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features")
@@ -220,7 +236,7 @@ def select(proposed: DataFrame) -> DataFrame:
 
     p = F.get(vector_to_array("probability"), 1)
     scored = model.transform(featured(proposed)).withColumn("score", F.floor(p * 100).cast("int"))
-    scored = cut_lineage(scored.select("pii_row", "start", "rank", "end", "kind", "inside", "held", "positive", "score"), "zstd")
+    scored = cut_lineage(scored.select("pii_row", "start", "rank", "end", "kind", "covered", "held", "positive", "score"), "zstd")
 
     # Calibration: counts by kind and score in hundredths.
     bins = scored.where("held").groupBy("kind", "score").agg(F.sum("positive").alias("good"), F.count("*").alias("n")).collect()
@@ -234,7 +250,7 @@ def select(proposed: DataFrame) -> DataFrame:
     if not limits:
         return nothing
     reached = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("score") >= s) for k, s in limits.items()])
-    return scored.where(reached & ~F.col("inside")).select("pii_row", "start", "rank", "end", "kind")
+    return scored.where(reached & ~F.col("covered")).select("pii_row", "start", "rank", "end", "kind")
 
 
 def detect(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

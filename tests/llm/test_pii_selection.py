@@ -29,3 +29,18 @@ def test_rare_kind_beside_many_numbers(spark, small_sample):
     assert sample.select("match", "before").distinct().count() == sum(counts.values())
     found = {r["doc_id"]: [s["kind"] for s in r["pii_spans"]] for r in pii.detect(docs).where(F.col("doc_id") < 60).collect()}
     assert sum("secret" in kinds for kinds in found.values()) >= 55
+
+
+def test_a_name_that_reaches_beyond_its_base_span(spark):
+    """Base patterns find a part of these names only; the rest goes as well, and nothing is added where they find all."""
+    rows = [(i, f"write to n{i}@example.org or call" ) for i in range(80)]
+    rows += [(100 + i, f"write to müller{i}@example.org or call") for i in range(80)]
+    rows += [(200 + i, f"see (o’brien{i}@example.org)") for i in range(80)]
+    rows += [(300 + i, f"numbers {i * 7919:07d} {i:03d} and @ {i}") for i in range(80)]
+    rows += [(400, "mixed +1 (555) 123-4567,me@x.org;10.0.0.1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert found[5] == "write to [EMAIL] or call"
+    assert all(found[100 + i] == "write to [CONTACT] or call" for i in range(80))
+    assert all("brien" not in found[200 + i] and "o’" not in found[200 + i] for i in range(80))
+    assert found[400] == "mixed [PHONE],[EMAIL];[IP]"
