@@ -1,7 +1,8 @@
 """Personal data: exact base patterns, and candidates selected by gradient boosting.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. High-recall generators
-propose further, overlapping spans: anything around an ``@``, runs of digit groups, long mixed tokens.
+propose further, overlapping spans: anything around an ``@``, runs of digit groups, long mixed tokens,
+values that follow a word such as "password" and a sign.
 Boosted trees score each candidate by its form and its context. They are trained here on a bounded
 sample of distinct candidates of each kind: those that overlap a base span, or that have a known key
 form or follow a word such as "password" and a sign, are positive, and the others negative. For each
@@ -34,12 +35,18 @@ BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]?)"
 GENERATORS = {
     "contact": r"[^\s@]{0,64}+@[^\s@]{1,64}+",
     "number": r"[+(]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,40}+",
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,512}+",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
 }
+# The value after a key word and a sign, of any length: what stands in quotes, or a run without closing punctuation.
+ASSIGNED = (
+    r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"']?\s*+[=:]\s*+"
+    r"(?:\"([^\"\r\n]++)\"|'([^'\r\n]++)'|[\"']?+([^\s\"']*[^\s\"'.,;:!?)\]}>]))"
+)
 KINDS = [*BASE, *GENERATORS]
 KEY_FORM = r"^(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{16,}$"
 KEY_WORD = r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"']?\s*[=:]\s*[\"']?$"
 CONTEXT = 32
+CHECKED = 512  # longer digit strings have no check digit
 
 SAMPLE_ROWS = 20_000  # candidates that the trees are trained on, by hash of their form
 TREES, DEPTH = 20, 3
@@ -127,16 +134,30 @@ def _count(match: Column, pattern: str) -> Column:
     return F.length(match) - F.length(F.regexp_replace(match, pattern, ""))
 
 
+def _assigned(text: Column) -> Column:
+    """Array of (start, end, match) of the values after key words."""
+    def value(m: Column) -> Column:
+        parts = [F.regexp_extract(m["match"], ASSIGNED, i) for i in (1, 2, 3)]
+        quoted = (F.length(parts[0]) > 0) | (F.length(parts[1]) > 0)
+        end = m["end"] - quoted.cast("int")
+        return let(F.concat(*parts), lambda v: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("match")))
+
+    return F.transform(found(text, ASSIGNED), value)
+
+
 def candidates(text: Column) -> Column:
-    """Array of (start, rank, end, kind, match, before) of what the generators propose."""
-    def spans(rank: int, kind: str) -> Column:
-        return F.transform(found(text, GENERATORS[kind]), lambda m: F.struct(
+    """Array of (start, rank, end, kind, match, before) of what the generators propose, each once."""
+    def spans(rank: int, kind: str, proposed: Column) -> Column:
+        return F.transform(proposed, lambda m: F.struct(
             m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"),
             m["match"].alias("match"),
             F.substring(text, F.greatest(F.lit(1), m["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), m["start"])).alias("before"),
         ))
 
-    return F.concat(*[spans(rank, kind) for rank, kind in enumerate(GENERATORS, len(BASE))])
+    listed = [spans(rank, kind, found(text, GENERATORS[kind])) for rank, kind in enumerate(GENERATORS, len(BASE))]
+    # A value that the generator of its kind proposes as well is left to it.
+    values = F.filter(_assigned(text), lambda v: ~v["match"].rlike(rf"^{GENERATORS['secret']}$"))
+    return F.concat(*listed, spans(KINDS.index("secret"), "secret", values))
 
 
 def _features() -> dict[str, Column]:
@@ -151,7 +172,7 @@ def _features() -> dict[str, Column]:
         "keyword": before.rlike(r"(?i)(?:pass|secret|token|key|mail|phone|tel|call|card|account|id)\W*$").cast("int"),
         "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("int"), "quoted": before.rlike("[\"']$").cast("int"),
         "digit_before": before.rlike("[0-9]$").cast("int"),
-        "checksum": let(_digits(m), lambda d: F.when(F.length(d) > 7, _luhn(d)).otherwise(False)).cast("int"),
+        "checksum": let(_digits(m), lambda d: F.when(F.length(d).between(8, CHECKED), _luhn(d)).otherwise(False)).cast("int"),
     }
 
 

@@ -44,3 +44,21 @@ def test_a_name_that_reaches_beyond_its_base_span(spark):
     assert all(found[100 + i] == "write to [CONTACT] or call" for i in range(80))
     assert all("brien" not in found[200 + i] and "o’" not in found[200 + i] for i in range(80))
     assert found[400] == "mixed [PHONE],[EMAIL];[IP]"
+
+
+def test_short_lettered_and_long_secrets(spark):
+    """Values after a key word are proposed at any length, a long key as one candidate and nothing twice."""
+    texts = {
+        "password = hunter2.": ["hunter2"], "PASSWORD: 'open sesame please'": ["open sesame please"],
+        'api_key="abcdefghijklmnopqrstuvwxyz"': ["abcdefghijklmnopqrstuvwxyz"], "token=abcdef0123456789abcdef, then": ["abcdef0123456789abcdef"],
+        "\U0001f642 key " + "aB3" * 2000 + " end": ["aB3" * 2000], "the password is long": [], "password = ": [],
+        "secret: \"it's 5\" and token: x": ["it's 5", "x"], 'password="' + "z1" * 50_000: ["z1" * 50_000],
+        "password: ...": [], "token=" * 20_000 + "x": None, "secret=a secret=b": ["a", "b"], "1a" * 20_000: ["1a" * 20_000],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.scan(docs).collect():
+        found = sorted((c["start"], c["end"], c["match"]) for c in r["pii_candidates"] if c["kind"] == "secret")
+        assert all(r["text"][a:b] == m for a, b, m in found)
+        expected = texts[r["text"]]
+        assert expected is None or [m for *_, m in found] == expected
+    assert pii.proposals(pii.scan(docs)).where("kind = 'secret' and positive = 1").count() >= 6
