@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, jaccard, knn, licences, lm, packing, pii, quality, rans, templates
+from . import bpe, fim, jaccard, knn, licences, lm, packing, pii, quality, rans, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,7 +186,8 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 JACCARD_SQL = rf"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(
-        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
     FROM documents
 ), shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.SHINGLE} THEN [array_to_string(w, ' ')]
@@ -204,6 +205,41 @@ FROM reached LEFT JOIN sizes ON a = doc_id GROUP BY a
 """
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents")).withColumn("restored", fim.restored())
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        *[F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")],
+    )
+
+
+MIDDLE_SQL = r"""
+WITH given AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS d FROM documents
+), drawn AS (
+    SELECT *, list_transform([0, 1, 2, 3], lambda k: CAST('0x' || substr(d, CAST(1 + 8 * k AS INT), 8) AS UBIGINT)) AS h,
+           regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u
+    FROM given
+), placed AS (
+    SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle,
+           coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix
+    FROM placed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_licence_scan": (licence_scan, licences.sql(f"SELECT doc_id, {PATH_SQL} AS path, text FROM documents")),
     "op2_line_templates": (recurring_lines, LINES_SQL),
@@ -215,4 +251,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_byte_bpe": (byte_bpe, None),
     "op9_trie_jaccard": (jaccard_classes, JACCARD_SQL),
     "op10_rans_tokens": (token_files, None),
+    "op12_swar_fim": (fill_in_middle, MIDDLE_SQL),
 }
