@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, fim, jaccard, knn, licences, lm, packing, pii, quality, rans, templates
+from . import bpe, fim, jaccard, knn, language, licences, lm, packing, pii, quality, rans, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -240,6 +240,14 @@ FROM parts
 """
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    draw = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    # A fifth is held out of all learning; of the rest, a tenth calibrates and is kept from the gradient.
+    found = language.identify(docs, draw % 5 != 0, F.floor(draw / 5) % 10 == 0)
+    return found.select("doc_id", (draw % 5 == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_licence_scan": (licence_scan, licences.sql(f"SELECT doc_id, {PATH_SQL} AS path, text FROM documents")),
     "op2_line_templates": (recurring_lines, LINES_SQL),
@@ -252,4 +260,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_trie_jaccard": (jaccard_classes, JACCARD_SQL),
     "op10_rans_tokens": (token_files, None),
     "op12_swar_fim": (fill_in_middle, MIDDLE_SQL),
+    "op13_subword_language": (languages, None),
 }
