@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_path
-from . import bpe, fim, jaccard, knn, language, licences, lm, packing, pii, quality, rans, templates
+from . import bpe, fim, jaccard, knn, language, licences, lm, packing, pii, quality, rans, templates, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -205,6 +205,50 @@ FROM reached LEFT JOIN sizes ON a = doc_id GROUP BY a
 """
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.words(table(spark, sf_dir, "documents"), drop_one_in=97))
+
+
+VARIANTS_SQL = rf"""
+WITH RECURSIVE counted AS (
+    SELECT k, w, count(*) AS c FROM (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+        FROM documents
+    ) GROUP BY ALL
+), crc_table AS (
+    SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+               lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), coded AS (
+    SELECT w, c, t, flatten(list_transform(string_split(k || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+               ELSE [CAST(192 | (unicode(x) >> 6) AS BIGINT), CAST(128 | (unicode(x) & 63) AS BIGINT)] END)) AS b
+    FROM counted CROSS JOIN crc_table
+), drawn AS (
+    SELECT w, c, xor(list_reduce(list_prepend(4294967295, b), lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h FROM coded
+), words AS (
+    SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+        SELECT c, CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM drawn
+    ) WHERE length(word) >= {variants.MIN_LENGTH} GROUP BY word HAVING sum(c) >= {variants.MIN_COUNT}
+), cut AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.d = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.d = b.word
+), ranked AS (
+    SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {variants.RATIO} * w.n THEN near END AS form,
+           CASE WHEN near_n >= {variants.RATIO} * w.n THEN near_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON w.word = r.word AND r = 1
+), walked AS (
+    SELECT word, word AS at, form FROM formed
+    UNION ALL SELECT w.word, f.word, f.form FROM walked w JOIN formed f ON w.form = f.word
+)
+SELECT f.word, f.form, w.at AS root, n, n_near, form_n FROM formed f JOIN walked w ON w.word = f.word AND w.form IS NULL
+"""
+
+
 def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.transform(table(spark, sf_dir, "documents")).withColumn("restored", fim.restored())
     return rows.select(
@@ -259,6 +303,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_byte_bpe": (byte_bpe, None),
     "op9_trie_jaccard": (jaccard_classes, JACCARD_SQL),
     "op10_rans_tokens": (token_files, None),
+    "op11_trie_variants": (spelling_variants, VARIANTS_SQL),
     "op12_swar_fim": (fill_in_middle, MIDDLE_SQL),
     "op13_subword_language": (languages, None),
 }
