@@ -14,6 +14,7 @@ from ..plans import effect_model, spec
 from ..plans.events import valid_transactions
 from ..sources.tables import cut_lineage
 from .common import COHORT, EFFECT, EFFECT_BASE, VIEWS, load, micros, rounded, trusted
+from . import effect_sql
 from .profile import describe_sql
 
 
@@ -170,18 +171,63 @@ SELECT l_returnflag, round(avg((p - mp) / sp), 6) AS x0, round(avg((tax - mt) /
 FROM f, s GROUP BY l_returnflag"""
 
 
-def t_learner_effect(spark: SparkSession, sf: str) -> DataFrame:
+def _learner(spark: SparkSession, sf: str) -> tuple[DataFrame, ridge.TLearner]:
     base = cut_lineage(_base(spark, sf))
-    learner = ridge.fit_t_learner(
+    return base, ridge.fit_t_learner(
         base, "treated", "client_id", effect_model.EFFECT_FEATURES, list(effect_model.OUTCOMES)
     )
+
+
+def t_learner_effect(spark: SparkSession, sf: str) -> DataFrame:
+    base, learner = _learner(spark, sf)
     return learner.effect(base.where("treated = 1"), "y_frequency").select(
         "client_id", F.round("expected", 6).alias("expected"), F.round("effect", 6).alias("effect")
     )
 
 
+def conditional_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted effect of every client of the causal table, whatever the arm."""
+    base, learner = _learner(spark, sf)
+    return learner.conditional_effect(base, "y_frequency").select("client_id", F.round("cate", 6).alias("cate"))
+
+
+def holdout_r2(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_learner(spark, sf)[1].r2, {"r2": 6})
+
+
+def normal_equations(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest error of the final models in their normal equations, taken from the rows and not from the sums."""
+    base, learner = _learner(spark, sf)
+    out = None
+    for value, arm in ((0, learner.control), (1, learner.treated)):
+        for y, model in arm.outcomes.items():
+            rows = base.where(F.col("treated") == value).withColumn("_error", F.col(y) - model.expression())
+            prepared, numeric = model.prepared, spec.EFFECT_NUMERIC
+            gaps = [F.sum("_error").alias("g")]
+            for i, c in enumerate(numeric):
+                x = (F.coalesce(F.col(c).cast("double"), F.lit(prepared.fills[c])) - prepared.means[c]) / prepared.deviations[c]
+                gaps.append((F.sum(F.col("_error") * x) - F.lit(float(model.coefficients[i]))).alias(f"g{i}"))
+            worst = F.greatest(*[F.abs(F.col(f"g{i}")) for i in range(len(numeric))], F.abs("g"))
+            scale = F.sum(F.abs(y)) + 1
+            row = rows.agg(*gaps, scale.alias("scale")).select(
+                F.lit(value).alias("treated"), F.lit(y).alias("outcome"), (F.round(worst / F.col("scale"), 6) + 0.0).alias("residual")
+            )
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def effect_decision(spark: SparkSession, sf: str) -> DataFrame:
-    return effect_model.measure_effect(_base(spark, sf)).decisions
+    digits = {c: 4 for c in ("mean", "std", "min", "q25", "q50", "q75", "max", "pct_positive", "t", "z")}
+    digits |= {"p_t": 6, "p_wilcoxon": 6, "w": 1, "ci_low": 3, "ci_high": 3}
+    return rounded(effect_model.measure_effect(_base(spark, sf)).decisions, digits)
+
+
+def p_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Both tests on a small gap of each line, which neither rejects nor is sure."""
+    lines = load(spark, sf, "lineitem").where("l_linenumber = 7").select(F.expr(_GAP).alias("x"))
+    ranks = tests.wilcoxon_statistic(lines, "x").select(F.struct("w", "z", "p_wilcoxon")).scalar()
+    both = tests.t_statistic(lines, "x").select("t", "p_t", ranks.alias("ranks")).select("t", "p_t", "ranks.*")
+    return rounded(both, {"t": 6, "p_t": 6, "w": 1, "z": 6, "p_wilcoxon": 6})
 
 
 def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +251,8 @@ _SQL_EFFECT_SUMMARY = f"""{EFFECT_BASE}, t AS (SELECT * FROM base WHERE treated
 SELECT d.*, (SELECT round(avg(CASE WHEN y_amount > 0 THEN 100.0 ELSE 0.0 END), 4) FROM t) AS pct_positive
 FROM ({describe_sql('t', ['y_amount'])}) d"""
 
+_GAP = "round(l_extendedprice) % 1000 - 490"
+
 # A symmetric quantity of each line with many ties, zeros included.
 _GAIN = "round(l_discount * 100) - 5"
 
@@ -283,8 +331,16 @@ QUERIES = {
     "feature_statistics": (feature_statistics, _SQL_FEATURES),
     "ridge_coefficients": (ridge_coefficients, _SQL_RIDGE),
     "holdout_split": (holdout_split, _SQL_HOLDOUT),
-    "t_learner_effect": (t_learner_effect, None),
-    "effect_decision": (effect_decision, None),
+    "holdout_r2": (holdout_r2, effect_sql.HOLDOUT_R2),
+    "t_learner_effect": (t_learner_effect, effect_sql.T_LEARNER),
+    "conditional_effect": (conditional_effect, effect_sql.CONDITIONAL),
+    "normal_equations": (normal_equations, """SELECT CAST(a AS INTEGER) AS treated, y AS outcome, 0.0::DOUBLE AS residual
+        FROM range(2) r(a), (SELECT unnest(['y_frequency', 'y_amount']) AS y)"""),
+    "effect_decision": (effect_decision, effect_sql.decision(_md5_sql("concat(client_id, ':42')"), _DRAW_SQL, _md5_sql)),
+    "p_values": (p_values, f"""WITH RECURSIVE gaps AS (SELECT {_GAP} AS x FROM lineitem WHERE l_linenumber = 7),
+        {effect_sql.p_values('gaps', 'x', 'x')}
+        SELECT round(t, 6) AS t, round(p_t, 6) AS p_t, round(CAST(w AS DOUBLE), 1) AS w, round(z, 6) AS z,
+          round(p_wilcoxon, 6) AS p_wilcoxon FROM t_x, w_x"""),
     "effect_summary": (effect_summary, _SQL_EFFECT_SUMMARY),
     "t_statistic": (t_statistic, f"""SELECT count(*) AS n, round(avg(x), 6) AS mean,
         round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 6) AS t FROM (SELECT {_GAIN} AS x FROM lineitem)"""),

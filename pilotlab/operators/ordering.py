@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,10 @@ from ..sources.tables import cut_lineage
 
 # Distinct values of a bucket of a distributed ranking.
 RUNS_PER_BUCKET = 1_000_000
-# A quantile is looked for between the approximate percentiles this far below and above it.
+# A quantile is looked for between the approximate percentiles this far below and above it, and ranked
+# among at most this many rows.
 BRACKET, ACCURACY = 3e-4, 10_000
+MAX_RANKED = 200_000
 
 
 def value_runs(df: DataFrame, columns: dict[str, Column], **extra: Column) -> DataFrame:
@@ -80,75 +85,140 @@ def _numbers(columns: dict[str, Column]) -> dict[str, Column]:
     return {n: F.when(~F.isnan(c), c) for n, c in doubles.items()}
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> DataFrame:
-    """``(variable, p, value)``: quantiles with linear interpolation between order statistics.
+@dataclass
+class _Segment:
+    """Values of one column and group strictly between ``low`` and ``high`` (none: open), and the ranks in it.
 
-    Every asked variable has a row for each probability; the value is null if it has no numbers. Two
-    approximate percentiles bracket a wanted rank. One aggregate counts the rows below and inside
-    each bracket, and only the values inside are ranked. A bracket that misses its rank, which the
-    counts show, is widened to all values. The driver sees a few numbers for each variable and
-    probability.
+    ``below`` rows of the column are smaller; ``cuts`` are ascending values inside.
     """
-    values, probs = _numbers(columns), [float(p) for p in probs]
-    if not values or not probs:
-        return df.sparkSession.createDataFrame([], "variable string, p double, value double")
-    grid = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-BRACKET, BRACKET)])
-    ends = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(values.values())],
-        *[F.percentile_approx(c, grid, ACCURACY).alias(f"q{i}") for i, c in enumerate(values.values())],
-    ).first()
-    brackets: dict[tuple[int, int], tuple[float | None, float | None]] = {
-        (i, j): (ends[f"q{i}"][2 * j], ends[f"q{i}"][2 * j + 1])
-        for i in range(len(values)) for j in range(len(probs)) if ends[f"n{i}"]
-    }
-    listed = list(values.values())
-
-    def inside(i: int, j: int) -> Column:
-        low, high = brackets[i, j]
-        return listed[i].isNotNull() if low is None else listed[i].between(low, high)
-
-    below: dict[tuple[int, int], int] = {}
-    if brackets:
-        counts = df.agg(*[
-            f.alias(f"{name}{i}_{j}") for (i, j), (low, _) in brackets.items()
-            for name, f in (("b", F.count_if(listed[i] < low)), ("w", F.count_if(inside(i, j))))
-        ]).first()
-        for i, j in brackets:
-            position = (ends[f"n{i}"] - 1) * probs[j]
-            first = counts[f"b{i}_{j}"]
-            if first <= int(position) and position <= first + counts[f"w{i}_{j}"] - 1:
-                below[i, j] = first
-            else:
-                brackets[i, j], below[i, j] = (None, None), 0
-
-    names = list(values)
-    nothing = [(names[i], p, None) for i in range(len(names)) if not ends[f"n{i}"] for p in probs]
-    out = df.sparkSession.createDataFrame(nothing, "variable string, p double, value double")
-    if not brackets:
-        return out
-    pairs = F.array_compact(F.array(*[
-        F.when(inside(i, j), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), listed[i].alias("value")))
-        for i, j in brackets
-    ]))
-    runs = df.select(F.explode(pairs).alias("x")).select("x.*").groupBy("i", "j", "value").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("i", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    targets = df.sparkSession.createDataFrame(
-        [(i, j, names[i], probs[j], below[i, j], (ends[f"n{i}"] - 1) * probs[j]) for i, j in brackets],
-        "i int, j int, variable string, p double, below bigint, position double",
+
+    group: object
+    column: int
+    low: float | None
+    high: float | None
+    below: int
+    rows: int
+    ranks: set[int]
+    cuts: list[float]
+
+
+def _inside(segments: list[_Segment], values: list[Column], by: str | None) -> Column:
+    """Array of ``(s, value)`` for the segments that a row's values lie in."""
+    found = []
+    for s, segment in enumerate(segments):
+        value = values[segment.column]
+        holds = value.isNotNull()
+        if by is not None:
+            holds &= F.col(by).eqNullSafe(F.lit(segment.group))
+        if segment.low is not None:
+            holds &= value > segment.low
+        if segment.high is not None:
+            holds &= value < segment.high
+        found.append(F.when(holds, F.struct(F.lit(s).alias("s"), value.alias("value"))))
+    return F.array_compact(F.array(*found))
+
+
+def _narrowed(df: DataFrame, segments: list[_Segment], values: list[Column], by: str | None) -> tuple[dict, list[_Segment]]:
+    """One round: exact counts between and at the cuts. Ranks at a cut are found; the others go on in
+    the space between two cuts, which has at least one distinct value less."""
+    rows = df.select(F.explode(_inside(segments, values, by)).alias("x")).select("x.*")
+    cuts = df.sparkSession.createDataFrame([(s, x.cuts) for s, x in enumerate(segments)], "s int, cuts array<double>")
+    most = max(len(x.cuts) for x in segments) + 1
+    placed = _bucket_of(rows.join(F.broadcast(cuts), "s").withColumn("all_cuts", F.col("cuts")), most)
+    at = F.coalesce(F.get("all_cuts", F.col("bucket")) == F.col("value"), F.lit(False))
+    counts: dict[int, list[tuple[int, bool, int]]] = {}
+    for r in placed.groupBy("s", "bucket", at.alias("at")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["s"], []).append((r["bucket"], r["at"], r["n"]))
+    found, rest = {}, []
+    for s, segment in enumerate(segments):
+        below = segment.below
+        for bucket, at_cut, n in sorted(counts.get(s, [])):
+            ranks = {r for r in segment.ranks if below <= r < below + n}
+            if ranks and at_cut:
+                found.update({(segment.group, segment.column, r): segment.cuts[bucket] for r in ranks})
+            elif ranks:
+                low = segment.cuts[bucket - 1] if bucket else segment.low
+                high = segment.cuts[bucket] if bucket < len(segment.cuts) else segment.high
+                rest.append(_Segment(segment.group, segment.column, low, high, below, n, ranks, []))
+            below += n
+    return found, rest
+
+
+def _ranked(df: DataFrame, segments: list[_Segment], values: list[Column], by: str | None) -> dict:
+    """The values at the ranks of segments with at most ``MAX_RANKED`` rows each."""
+    runs = df.select(F.explode(_inside(segments, values, by)).alias("x")).select("x.*").groupBy("s", "value").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("s").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = df.sparkSession.createDataFrame(
+        [(s, r, r - x.below) for s, x in enumerate(segments) for r in sorted(x.ranks)], "s int, rank bigint, place bigint"
     )
-    ranked = runs.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(F.broadcast(targets), ["i", "j"])
-    rank = F.col("below") + F.col("before")
-    low, high = F.floor("position"), F.ceil("position")
+    before = runs.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    hit = before.join(F.broadcast(ranks), "s").where("before <= place AND place < before + n")
+    return {(segments[r["s"]].group, segments[r["s"]].column, r["rank"]): r["value"] for r in hit.collect()}
 
-    def holds(place: Column) -> Column:
-        return (rank <= place) & (place <= rank + F.col("n") - 1)
 
-    value_low = F.max(F.when(holds(low), F.col("value")))
-    value_high = F.max(F.when(holds(high), F.col("value")))
-    found = ranked.groupBy("variable", "p").agg(
-        (value_low + (value_high - value_low) * F.max(F.col("position") - low)).alias("value")
-    )
-    return found.union(out)
+def _near(position: float) -> tuple[float, float]:
+    return max(0.0, position - BRACKET), min(1.0, position + BRACKET)
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], by: str | None = None) -> DataFrame:
+    """``(variable, p, value)``: quantiles with linear interpolation between order statistics.
+
+    Every asked variable has a row for each probability; the value is null if it has no numbers. With
+    ``by``, a column of few values (nulls are one), each of its groups has its own rows and the column comes first.
+
+    Approximate percentiles on both sides of each wanted rank cut the values; an aggregate counts the
+    rows between and at the cuts, and the space that holds the rank is cut again until it has at most
+    ``MAX_RANKED`` rows. Only those are ranked. Poor cuts cost rounds, never a larger ranking. The jobs
+    run before this returns; the driver sees a few numbers for each variable, group and probability.
+    """
+    values, probs = _numbers(columns), [float(p) for p in probs]
+    spark, listed, names = df.sparkSession, list(values.values()), list(values)
+    schema = "variable string, p double, value double"
+    if by is not None:
+        schema = f"`{by}` {df.schema[by].dataType.simpleString()}, {schema}"
+    if not values or not probs:
+        return spark.createDataFrame([], schema)
+    grid = F.array(*[F.lit(x) for p in probs for x in _near(p)])
+    first = df.groupBy(*([by] if by is not None else [])).agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(listed)],
+        *[F.percentile_approx(c, grid, ACCURACY).alias(f"q{i}") for i, c in enumerate(listed)],
+    ).collect()
+    groups = [(r[by] if by is not None else None, r) for r in first]
+    open_segments = [
+        _Segment(
+            g, i, None, None, 0, r[f"n{i}"],
+            {f((r[f"n{i}"] - 1) * p) for p in probs for f in (math.floor, math.ceil)}, sorted(set(r[f"q{i}"])),
+        )
+        for g, r in groups for i in range(len(listed)) if r[f"n{i}"]
+    ]
+    found: dict = {}
+    small: list[_Segment] = []
+    while open_segments:
+        hit, rest = _narrowed(df, open_segments, listed, by)
+        found.update(hit)
+        small += [s for s in rest if s.rows <= MAX_RANKED]
+        open_segments = [s for s in rest if s.rows > MAX_RANKED]
+        if open_segments:
+            rows = df.select(F.explode(_inside(open_segments, listed, by)).alias("x")).select("x.*")
+            grids = [sorted({x for r in s.ranks for x in _near((r - s.below) / s.rows)}) for s in open_segments]
+            cuts = rows.agg(*[
+                F.percentile_approx(F.when(F.col("s") == s, F.col("value")), F.array(*[F.lit(x) for x in g]), ACCURACY).alias(f"q{s}")
+                for s, g in enumerate(grids)
+            ]).first()
+            for s, segment in enumerate(open_segments):
+                segment.cuts = sorted(set(cuts[f"q{s}"]))
+    if small:
+        found.update(_ranked(df, small, listed, by))
+    out = []
+    for g, r in groups:
+        for i, name in enumerate(names):
+            for p in probs:
+                value, position = None, (r[f"n{i}"] - 1) * p
+                if r[f"n{i}"]:
+                    low, high = found[g, i, math.floor(position)], found[g, i, math.ceil(position)]
+                    value = low + (high - low) * (position - math.floor(position)) if high != low else low
+                out.append((*([g] if by is not None else []), name, p, value))
+    return spark.createDataFrame(out, schema)
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

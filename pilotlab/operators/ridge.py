@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
+import numpy as np
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import FeatureColumns, fit_features, with_features
+from .features import FeatureColumns
+from .gram import LinearModel, Products, Terms, fit, pivots, sums_by_group
+from .ordering import exact_quantiles
 
 
 # Widest table of the normal-equation solver.
@@ -47,22 +46,23 @@ def holdout(key: str, seed: int, percent: int = 20) -> Column:
 
 @dataclass(frozen=True)
 class ArmModel:
-    """One arm's preparation and its model per outcome."""
+    """One arm's model per outcome."""
 
-    features: PipelineModel
-    outcomes: dict[str, LinearRegressionModel]
+    outcomes: dict[str, LinearModel]
 
     def predict(self, df: DataFrame, outcome: str, output: str) -> DataFrame:
-        ready = with_features(df, self.features)
-        model = self.outcomes[outcome].copy().setPredictionCol(output)
-        return model.transform(ready).drop("features")
+        return df.withColumn(output, self.outcomes[outcome].expression())
 
 
 @dataclass(frozen=True)
 class TLearner:
+    """``r2``: arm, outcome, R² on the held-out rows. ``residual``: largest error of a normal equation of the
+    final models, as a share of its largest term."""
+
     control: ArmModel
     treated: ArmModel
     r2: DataFrame
+    residual: float
 
     def effect(self, treated: DataFrame, outcome: str, actual: str | None = None) -> DataFrame:
         """Adds ``effect``: the actual outcome minus what the control model expects."""
@@ -75,15 +75,6 @@ class TLearner:
         return both.withColumn("cate", F.col("_if_treated") - F.col("_if_control")).drop("_if_control", "_if_treated")
 
 
-def _fit_arm(df: DataFrame, columns: FeatureColumns, outcomes: list[str], alpha: float) -> ArmModel:
-    prepared = fit_features(df, columns)
-    ready = with_features(df, prepared).persist()
-    try:
-        return ArmModel(prepared, {y: fit_ridge(ready, y, alpha) for y in outcomes})
-    finally:
-        ready.unpersist()
-
-
 def fit_t_learner(
     base: DataFrame,
     arm: str,
@@ -95,29 +86,39 @@ def fit_t_learner(
 ) -> TLearner:
     """A model per arm and outcome on all rows of the arm, with the R² of a held-out fifth.
 
-    ``base`` is read several times; pass a stored or persisted table.
+    One scan adds up the products of all terms per arm and part; the models of the training rows and of
+    all rows, and the errors on the held-out rows, follow from those sums. Medians, which no sums
+    give, come from ``exact_quantiles`` over the same groups. Rows of no arm or with a null outcome take
+    no part; an arm without training rows is an error. The jobs run before this returns.
     """
-    held = holdout(key, seed)
-    rows = {name: base.where(F.col(arm) == value) for name, value in (("control", 0), ("treated", 1))}
-
-    @inheritable_thread_target(base.sparkSession)
-    def trial(name: str) -> list[tuple[str, str, float]]:
-        model = _fit_arm(rows[name].where(~held), columns, outcomes, alpha)
-        scores = []
-        for y in outcomes:
-            predicted = model.predict(rows[name].where(held), y, "predicted")
-            evaluator = RegressionEvaluator(metricName="r2", predictionCol="predicted", labelCol=y)
-            scores.append((name, y, float(evaluator.evaluate(predicted))))
-        return scores
-
-    @inheritable_thread_target(base.sparkSession)
-    def final(name: str) -> ArmModel:
-        return _fit_arm(rows[name], columns, outcomes, alpha)
-
-    # Four independent fits, submitted side by side.
-    with ThreadPool(4) as pool:
-        trials, finals = pool.map_async(trial, list(rows), 1), pool.map_async(final, list(rows), 1)
-        scores = [score for part in trials.get() for score in part]
-        arms = dict(zip(rows, finals.get()))
+    held = F.coalesce(holdout(key, seed), F.lit(False))
+    known = base.where(F.col(arm).isin(0, 1)).dropna(subset=list(outcomes))
+    terms = Terms(columns, tuple(outcomes), pivots(known, columns, outcomes))
+    # Medians of four overlapping sets: 0 and 1 all rows of an arm, 2 and 3 its training rows.
+    sets = F.array_compact(F.array(F.col(arm).cast("int"), F.when(~held, F.col(arm).cast("int") + 2)))
+    numeric = known.select(F.explode(sets).alias("_set"), *columns.numeric)
+    medians: dict[int, dict[str, float | None]] = {}
+    for r in exact_quantiles(numeric, {c: F.col(c) for c in columns.numeric}, [0.5], by="_set").collect():
+        medians.setdefault(r["_set"], {})[r["variable"]] = r["value"]
+    parts = sums_by_group(known, F.col(arm).cast("int") * 2 + held.cast("int"), terms)
+    arms, scores, residual = {}, [], 0.0
+    for value, name in ((0, "control"), (1, "treated")):
+        training, held_out = parts.get(2 * value), parts.get(2 * value + 1)
+        if training is None:
+            raise ValueError(f"no rows to learn the {name} model from")
+        if held_out is not None:
+            prepared, w, intercepts = fit(training, terms, medians.get(value + 2, {}), alpha)
+            r2 = Products(held_out, prepared).r2(w, intercepts)
+        else:
+            r2 = [None] * len(outcomes)
+        scores += [(name, y, score) for y, score in zip(outcomes, r2)]
+        whole = training + held_out if held_out is not None else training
+        prepared, w, intercepts = fit(whole, terms, medians.get(value, {}), alpha)
+        products = Products(whole, prepared)
+        size = np.abs(products.with_outcomes).max(initial=1.0)
+        residual = max(residual, float(np.abs(products.residuals(w, intercepts, alpha)).max() / size))
+        arms[name] = ArmModel({
+            y: LinearModel(prepared, w[:, k], float(intercepts[k]) + terms.pivots[y]) for k, y in enumerate(outcomes)
+        })
     r2 = base.sparkSession.createDataFrame(scores, "arm string, outcome string, r2 double")
-    return TLearner(arms["control"], arms["treated"], r2)
+    return TLearner(arms["control"], arms["treated"], r2, residual)

@@ -135,13 +135,53 @@ def test_quantiles_of_empty_and_missed_brackets(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
     empty = ordering.exact_quantiles(df.limit(0), {"x": F.col("x")}, [0.5]).collect()
     assert [tuple(r) for r in empty] == [("x", 0.5, None)]
-    # Brackets of one approximate percentile miss ranks between two values and are widened.
+    # Cuts of one poor approximate percentile miss ranks between two values.
     monkeypatch.setattr(ordering, "BRACKET", 0.0)
     monkeypatch.setattr(ordering, "ACCURACY", 10)
     row = ordering.exact_quantiles(df, {"x": F.col("x")}, [0.333]).first()
     assert row["value"] == pytest.approx(0.333 * 999)
 
 
+def test_missed_brackets_never_rank_more_than_the_bound(spark, monkeypatch):
+    """Poor cuts over ties, a long tail and infinities: more rounds, and no larger ranking."""
+    monkeypatch.setattr(ordering, "BRACKET", 0.2)
+    monkeypatch.setattr(ordering, "ACCURACY", 3)
+    monkeypatch.setattr(ordering, "MAX_RANKED", 20)
+    sizes, rounds = [], []
+    ranked, narrowed = ordering._ranked, ordering._narrowed
+
+    def watched(df, segments, *rest):
+        inside = df.select(F.explode(ordering._inside(segments, *rest)).alias("x")).groupBy("x.s").count()
+        sizes.extend(r["count"] for r in inside.collect())
+        return ranked(df, segments, *rest)
+
+    monkeypatch.setattr(ordering, "_ranked", watched)
+    monkeypatch.setattr(ordering, "_narrowed", lambda *a: rounds.append(1) or narrowed(*a))
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.full(300, 2.5), np.exp(rng.normal(size=500) * 9), [np.inf, -np.inf, -0.0, 0.0]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5)
+    probs = [0.0, 0.003, 0.2, 0.5, 0.77, 0.999]
+    got = {r["p"]: r["value"] for r in ordering.exact_quantiles(df, {"x": F.col("x")}, probs).collect()}
+    assert len(rounds) > 2 and 0 < max(sizes) <= 20
+    order = np.sort(x)
+    for p in probs:
+        i = (len(x) - 1) * p
+        low, high = order[int(np.floor(i))], order[int(np.ceil(i))]
+        assert got[p] == (low if low == high else pytest.approx(low + (high - low) * (i - np.floor(i))))
+
+
+def test_quantiles_by_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v), None if g == "b" else float(v) * 3) for g in ("a", "b", None) for v in rng.normal(size=101)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
+    found = ordering.exact_quantiles(df, {"x": F.col("x"), "y": F.col("y")}, [0.25, 0.5], by="g").collect()
+    assert len(found) == 12
+    for r in found:
+        own = [row[1 if r["variable"] == "x" else 2] for row in rows if row[0] == r["g"]]
+        expected = None if r["g"] == "b" and r["variable"] == "y" else pytest.approx(np.quantile(own, r["p"]))
+        assert r["value"] == expected
+
+
 @pytest.mark.parametrize("buckets", [None, 16])
 def test_wilcoxon_against_brute_force(spark, buckets):
     rng = np.random.default_rng(1)
