@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -65,14 +66,15 @@ class WordTokenizer:
     uses whole texts for any other tokenizer file.
     """
 
-    PROBE = " It's  A test,\n\nÉcole ΣΑΣ é x\t y 12.5 we!! don't <|endoftext|> İx a% straße. J\u030C\n"
+    PROBE = " It's  A test,\n\nÉcole ΣΑΣ é x\t y 12.5 we!! don't İx a% straße. J\u030C\n"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content}
+        self.added = "|".join(map(re.escape, sorted(added)))
         vocabulary = self.tokenizer.get_vocab()
         largest = max(vocabulary.values(), default=0)
         self.dtype = np.dtype("<u2" if largest < 1 << 16 else "<u4")
@@ -98,9 +100,31 @@ class WordTokenizer:
         return np.concatenate([np.zeros(0, self.dtype), *ids]), np.array([len(x) for x in ids], dtype=np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (no nulls) in one array, and the number of ids of each."""
+        """The ids of all texts (no nulls) in one array, and the number of ids of each.
+
+        The library cuts added tokens out of a text before it does anything else, so a text with one,
+        in whatever case, is encoded whole.
+        """
         if not self.by_word:
             return self._library(texts.to_pylist())
+        if not self.added:
+            return self._by_words(texts)
+        marked = pc.match_substring_regex(pc.ascii_lower(texts), self.added).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._by_words(texts)
+        counts = np.zeros(len(texts), np.int64)
+        parts = [(np.flatnonzero(~marked), self._by_words), (np.flatnonzero(marked), lambda x: self._library(x.to_pylist()))]
+        parts = [(at, *encode(texts.take(pa.array(at)))) for at, encode in parts if len(at)]
+        for at, _, sizes in parts:
+            counts[at] = sizes
+        starts = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), self.dtype)
+        for at, ids, sizes in parts:
+            own = np.cumsum(sizes, dtype=np.int64) - sizes
+            out[np.repeat(starts[at] - own, sizes) + np.arange(len(ids))] = ids
+        return out, counts
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         composing = pc.match_substring_regex(texts, COMPOSING)
         folded = pc.replace_substring(pc.if_else(composing, texts, pc.ascii_lower(texts)), "\n", " ")
         split = pc.split_pattern(folded, " ")

@@ -1,6 +1,7 @@
 """Encoders, coded files and packing against the tokenizer libraries."""
 
 import base64
+import hashlib
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ SF = "/root/testdata/sf0.001"
 ODD = [
     None, "", "   \n", "a b", "a b", " \x1c\x1d x\x85y᠎ c   d\n\n 12.5 It's we!!",
     "ab" * 3000 + " \U0001f642 é́", "İx Ñandú, ΣΑΣ <|endoftext|>", "word " * 30_000,
+    "a <|endoftext|> b", "<|startoftext|>hi", "x<|EndOfText|>y <|endoftext|><|endoftext|>\n", "plain again",
 ]
 
 
@@ -30,7 +32,6 @@ def word_ids(texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(tokens.WORD_BPE))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -139,6 +140,23 @@ def test_query_digests(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     expected = word_ids([r["text"] for r in docs], 2)
     starts = np.cumsum([0, *map(len, expected)])
+    packed = queries.QUERIES["op3_pack_hilbert"][0](spark, SF).collect()
+    for d, x in zip(docs, word_ids([r["text"] for r in docs], 1)):
+        own = sorted((r for r in packed if r["doc_id"] == d["doc_id"]), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
+        assert sum(r["length"] for r in own) == len(x) and all(r["doc_tokens"] == len(x) for r in own)
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for r in own]
+
+    with open(P.path(bpe.RANKS), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {r["doc_id"]: r for r in queries.QUERIES["op8_byte_bpe"][0](spark, SF).collect()}
+    for d in docs:
+        x = np.array(library.encode_ordinary(d["text"]), dtype="<u4")
+        assert tuple(found[d["doc_id"]]) == (
+            d["doc_id"], len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(d["text"].encode()).hexdigest()
+        )
+
     rows = queries.QUERIES["op10_rans_tokens"][0](spark, SF).orderBy("doc_id").collect()
     assert [tuple(r) for r in rows] == [
         (d["doc_id"], s, len(x), zlib.crc32(x.tobytes())) for d, s, x in zip(docs, starts.tolist(), expected)
