@@ -147,6 +147,8 @@ def test_query_digests(spark):
         assert sum(r["length"] for r in own) == len(x) and all(r["doc_tokens"] == len(x) for r in own)
         assert [r["ids_crc32"] for r in own] == [zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for r in own]
 
+    import tiktoken
+
     with open(P.path(bpe.RANKS), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
