@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import cluster, ranking
 from ..plans import segment_base as sb
 from ..plans import segment_model as sm
-from ..plans.spec import PRIORITY_COLUMNS
+from ..plans.spec import PRIORITY_COLUMNS, SEGMENT_NUMERIC
 from ..sources.tables import cut_lineage, stage_path, write_table
 from ..streaming.scoring import request_stream, start_scoring
 from .common import ELIGIBLE, SEGMENT, SEGMENT_BASE, load, rounded, trusted
@@ -195,6 +195,95 @@ trained AS (SELECT * FROM base WHERE acquisition_channel <> 'MACHINERY')
 SELECT client_id, round({_NEW_Z}, 4) AS priority_score FROM base WHERE acquisition_channel = 'MACHINERY'"""
 
 
+# Groups by client number, far apart in every number of the segmentation table, of one city and one state of
+# the card each: the clusters are known. Channels are as they were.
+PLANTED = 4
+
+
+def _planted_value(column: str, place: int) -> str:
+    """The column, squeezed to less than one around zero, moved by its group's own multiple of twenty."""
+    x = f"coalesce(CAST({column} AS DOUBLE), 0e0)"
+    return f"{x} / (1e0 + abs({x})) + 20e0 * (((client_id % {PLANTED} + 1) * {place + 3}) % 11)"
+
+
+_PLANTED_COLUMNS = [
+    *[f"{_planted_value(c, i)} AS {c}" for i, c in enumerate(SEGMENT_NUMERIC)],
+    f"concat('city', client_id % {PLANTED}) AS city", f"CAST(client_id % {PLANTED} < 2 AS DOUBLE) AS has_active_virtual",
+]
+
+
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_lineage(_features(spark, sf).selectExpr("client_id", "acquisition_channel", *_PLANTED_COLUMNS))
+
+
+def planted_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster, label and score of every client where the clusters are known."""
+    return sm.segment_clients(_planted(spark, sf)).clients.select(
+        "client_id", "cluster_id", "segment", F.round("priority_score", 4).alias("priority_score")
+    )
+
+
+def planted_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen number of known clusters with its silhouette."""
+    base = _planted(spark, sf)
+    chosen = sm.segment_clients(base).choice.table(base).where("chosen")
+    return rounded(chosen, {"silhouette": 5})
+
+
+def planted_centers(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes and means of the known clusters in the features' own units."""
+    return rounded(sm.segment_clients(_planted(spark, sf), (PLANTED,)).profile(), {c: 4 for c in SEGMENT_NUMERIC})
+
+
+def planted_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster, label and score of clients outside the trained population."""
+    base = _planted(spark, sf)
+    trained = sm.segment_clients(base.where(F.col("acquisition_channel") != "MACHINERY"), (PLANTED,), starts=4)
+    return trained.model.score(base.where(F.col("acquisition_channel") == "MACHINERY")).select(
+        "client_id", "cluster_id", "segment", "priority_score"
+    )
+
+
+def _planted_sql(trained: str) -> str:
+    z = " + ".join(
+        f"coalesce(({c} - (SELECT avg({c}) FROM trained)) / nullif((SELECT stddev_samp({c}) FROM trained), 0), 0)"
+        for c in PRIORITY_COLUMNS
+    )
+    return f"""{SEGMENT_BASE}, planted AS MATERIALIZED (SELECT client_id, client_id % {PLANTED} AS g, acquisition_channel,
+    {', '.join(_PLANTED_COLUMNS)} FROM base),
+trained AS MATERIALIZED (SELECT * FROM planted WHERE {trained}),
+scored AS MATERIALIZED (SELECT *, {z} AS score FROM planted),
+places AS (SELECT g, CAST(row_number() OVER (ORDER BY avg(score) DESC) AS INTEGER) AS place FROM scored WHERE {trained} GROUP BY g)"""
+
+
+_LABELLED = """client_id, place - 1 AS cluster_id, ['alto_potencial', 'medio_alto', 'medio', 'medio_bajo'][place] AS segment,
+  round(score, 4) AS priority_score FROM scored JOIN places USING (g)"""
+_SQL_PLANTED = f"{_planted_sql('true')} SELECT {_LABELLED}"
+_SQL_PLANTED_NEW = f"""{_planted_sql("acquisition_channel <> 'MACHINERY'")} SELECT {_LABELLED}
+WHERE acquisition_channel = 'MACHINERY'"""
+_SQL_PLANTED_CENTERS = f"""{_planted_sql('true')} SELECT place - 1 AS cluster_id, count(*) AS n,
+  {', '.join(f'round(avg({c}), 4) AS {c}' for c in SEGMENT_NUMERIC)} FROM planted JOIN places USING (g) GROUP BY place"""
+# Sums of squared distances to a cluster follow from its size, its sums and its squared lengths.
+_SQL_PLANTED_CHOICE = f"""{_planted_sql('true')},
+levels AS (SELECT 'c=' || city AS j FROM (SELECT DISTINCT city FROM planted) QUALIFY row_number() OVER (ORDER BY city) > 1
+  UNION ALL SELECT 'a=' || acquisition_channel FROM (SELECT DISTINCT acquisition_channel FROM planted)
+    QUALIFY row_number() OVER (ORDER BY acquisition_channel) > 1),
+raw AS (SELECT client_id, g, unnest([{', '.join(f"'{c}'" for c in SEGMENT_NUMERIC)}]) AS j, unnest([{', '.join(SEGMENT_NUMERIC)}]) AS v FROM planted),
+scale AS (SELECT j, avg(v) AS m, stddev_pop(v) AS d FROM raw GROUP BY j),
+x AS MATERIALIZED (SELECT client_id, g, j, (v - m) / CASE WHEN d <= 1e-12 * greatest(1, abs(m)) THEN 1 ELSE d END AS v FROM raw JOIN scale USING (j)
+  UNION ALL SELECT client_id, g, 'c=' || city, 1.0 FROM planted WHERE 'c=' || city IN (SELECT j FROM levels)
+  UNION ALL SELECT client_id, g, 'a=' || acquisition_channel, 1.0 FROM planted WHERE 'a=' || acquisition_channel IN (SELECT j FROM levels)
+  UNION ALL SELECT client_id, g, 'virtual', has_active_virtual FROM planted),
+sums AS (SELECT g, j, sum(v) AS s FROM x GROUP BY g, j),
+sizes AS (SELECT g, count(DISTINCT client_id) AS n, sum(v * v) AS q FROM x GROUP BY g),
+own AS (SELECT client_id, g, sum(v * v) AS q FROM x GROUP BY client_id, g),
+dots AS (SELECT client_id, sums.g AS other, sum(v * s) AS d FROM x JOIN sums USING (j) GROUP BY client_id, sums.g),
+far AS (SELECT o.client_id, o.g, other, z.n, z.n * o.q - 2 * d + z.q AS total FROM own o JOIN dots USING (client_id) JOIN sizes z ON z.g = other),
+ab AS (SELECT client_id, sum(total / nullif(n - 1, 0)) FILTER (g = other) AS a, min(total / n) FILTER (g <> other) AS b FROM far GROUP BY client_id)
+SELECT CAST({PLANTED} AS INTEGER) AS k, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette,
+  'squaredEuclidean' AS measure, true AS chosen FROM ab"""
+
+
 def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose score changes when the model is saved and loaded: all counts should agree."""
     base = cut_lineage(_features(spark, sf))
@@ -299,6 +388,10 @@ QUERIES = {
     "kmeans_segments": (kmeans_segments, None),
     "choose_k": (choose_k, None),
     "score_new_rows": (score_new_rows, None),
+    "planted_segments": (planted_segments, _SQL_PLANTED),
+    "planted_choice": (planted_choice, _SQL_PLANTED_CHOICE),
+    "planted_centers": (planted_centers, _SQL_PLANTED_CENTERS),
+    "planted_scoring": (planted_scoring, _SQL_PLANTED_NEW),
     "score_new_priority": (score_new_priority, _SQL_NEW),
     "model_round_trip": (model_round_trip, f"{ELIGIBLE} SELECT count(*) AS n, count(*) AS n_same FROM eligible"),
     "stream_scores": (stream_scores, _SQL_STREAM),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cluster import KChoice, choose_k, cluster_profile
+from ..operators.cluster import KChoice, choose_k, cluster_profile, nearest_centroid
 from ..operators.features import FeatureColumns, fit_features, with_features
 from ..operators.profile import category_shares, mode_by_group
 from ..operators.ranking import (
@@ -22,9 +23,10 @@ SEGMENT_FEATURES = FeatureColumns(spec.SEGMENT_NUMERIC, spec.CATEGORICAL, spec.S
 
 @dataclass(frozen=True)
 class SegmentModel:
-    """Everything needed to score a client: fitted pipeline, cluster names, population statistics.
+    """Everything needed to score a client: prepared features, centres, cluster names, population statistics.
 
-    ``clusters`` maps the pipeline's own cluster number to the published number and label.
+    ``clusters`` maps a centre's own number to the published number and label. Without centres every
+    client is of an unknown segment.
     """
 
     pipeline: PipelineModel
@@ -33,6 +35,7 @@ class SegmentModel:
     stds: dict[str, float]
     required: tuple[str, ...] = tuple(SEGMENT_FEATURES.all)
     priority: tuple[str, ...] = spec.PRIORITY_COLUMNS
+    centers: tuple[tuple[float, ...], ...] = ()
 
     def save(self, spark: SparkSession, folder: str) -> None:
         self.pipeline.write().overwrite().save(f"{folder}/pipeline")
@@ -40,6 +43,9 @@ class SegmentModel:
             [(raw, published, label) for raw, (published, label) in self.clusters.items()],
             "raw_cluster int, cluster_id int, segment string",
         ).write.mode("overwrite").parquet(f"{folder}/clusters")
+        spark.createDataFrame(
+            [(i, list(c)) for i, c in enumerate(self.centers)], "raw_cluster int, center array<double>"
+        ).write.mode("overwrite").parquet(f"{folder}/centers")
         spark.createDataFrame(
             [(c, self.means[c], self.stds[c]) for c in self.priority],
             "column string, mean double, std double",
@@ -52,6 +58,7 @@ class SegmentModel:
     def load(spark: SparkSession, folder: str) -> SegmentModel:
         clusters = spark.read.parquet(f"{folder}/clusters").collect()
         population = spark.read.parquet(f"{folder}/population").collect()
+        centers = spark.read.parquet(f"{folder}/centers").orderBy("raw_cluster").collect()
         required = spark.read.parquet(f"{folder}/required").orderBy("position").collect()
         return SegmentModel(
             PipelineModel.load(f"{folder}/pipeline"),
@@ -60,6 +67,7 @@ class SegmentModel:
             {r["column"]: r["std"] for r in population},
             tuple(r["column"] for r in required),
             tuple(r["column"] for r in population),
+            tuple(tuple(r["center"]) for r in centers),
         )
 
     def _published(self, field: int, missing: Column) -> Column:
@@ -82,7 +90,9 @@ class SegmentModel:
             {c: F.lit(self.means[c]) for c in self.priority},
             {c: F.lit(self.stds[c]) for c in self.priority},
         )
-        return self.pipeline.transform(rows).select(
+        centers = [(i, list(c)) for i, c in enumerate(self.centers)]
+        nearest = nearest_centroid(vector_to_array("features"), centers) if centers else F.lit(None).cast("int")
+        return self.pipeline.transform(rows).withColumn("prediction", nearest).select(
             *rows.columns,
             self._published(0, F.col("prediction")).cast("int").alias("cluster_id"),
             self._published(1, F.lit(UNKNOWN_LABEL)).alias("segment"),
@@ -134,18 +144,19 @@ def segment_clients(
     try:
         choice = choose_k(ready, candidates, seed, starts)
         stats = population_stats(base, priority).first()
-        scored = with_priority_score(choice.model.transform(ready), priority)
+        scored = with_priority_score(choice.model.assign(ready), priority)
         ranking = rank_clusters(scored, "prediction", "priority_score").orderBy("rank").collect()
     finally:
         ready.unpersist()
     labels = priority_labels(len(ranking))
     model = SegmentModel(
-        PipelineModel([*prepared.stages, choice.model]),
+        prepared,
         {r["prediction"]: (i, labels[i]) for i, r in enumerate(ranking)},
         {c: stats["mean"][c] or 0.0 for c in priority},
         {c: stats["std"][c] or 0.0 for c in priority},
         tuple(columns.all),
         priority,
+        tuple(map(tuple, choice.model.points.tolist())),
     )
     clients = model.score(base).drop("priority_score")
     clients = with_priority_score(clients, priority).select(

@@ -172,6 +172,56 @@ def test_silhouette_against_brute_force(spark):
     assert value == pytest.approx(np.mean(values)) and measure == "squaredEuclidean"
 
 
+def lloyd(x, centers):
+    while True:
+        nearest = ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[nearest == i].mean(axis=0) if (nearest == i).any() else centers[i] for i in range(len(centers))])
+        if np.allclose(moved, centers, atol=1e-12):
+            return ((x - centers[nearest]) ** 2).sum()
+        centers = moved
+
+
+def test_kmeans_against_plain_restarts(spark):
+    """No separation: the cost of ten starts is about the least that plain restarts find."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 3))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(6)
+    found = cluster.best_kmeans(df, (2, 5), starts=10)
+    for k, best in found.items():
+        nearest = ((x[:, None] - best.points) ** 2).sum(axis=2)
+        assert best.cost == pytest.approx(nearest.min(axis=1).sum())
+        plain = min(lloyd(x, x[rng.choice(len(x), k, replace=False)]) for _ in range(25))
+        assert best.cost <= 1.02 * plain
+    again = cluster.best_kmeans(df.repartition(1).sort("features"), (2, 5), starts=10)
+    assert all(np.allclose(again[k].points, found[k].points) for k in found)
+
+
+def test_kmeans_sees_rows_outside_the_sample(spark, monkeypatch):
+    """First centres come from few rows, costs and silhouettes from all."""
+    monkeypatch.setattr(cluster, "START_ROWS", 50)
+    rng = np.random.default_rng(14)
+    group = np.arange(3000) % 3
+    x = rng.normal(size=(3000, 2)) * 0.2 + np.array([[0, 0], [5, 0], [0, 5]])[group]
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(6)
+    choice = cluster.choose_k(df, (2, 3, 4), starts=4)
+    assert choice.k == 3
+    expected = sorted(x[group == g].mean(axis=0).round(6).tolist() for g in range(3))
+    assert sorted(choice.model.points.round(6).tolist()) == expected
+    rows = choice.model.assign(df).select(array_to_vector("features").alias("features"), "prediction")
+    assert dict((k, s) for k, s, _ in choice.scores)[3] == pytest.approx(cluster.silhouette(rows)[0])
+
+
+def test_kmeans_of_few_distinct_rows(spark):
+    df = spark.createDataFrame([([1.0, 1.0],)] * 5 + [([2.0, 2.0],)] * 3, "features array<double>")
+    best = cluster.best_kmeans(df, (3,), starts=2)[3]
+    assert sorted(best.points.tolist()) == [[1.0, 1.0], [2.0, 2.0]] and best.cost == 0
+    assert cluster.silhouettes(df, {3: best})[3] == 1.0
+    one = cluster.best_kmeans(df.limit(3), (2,), starts=1)
+    assert cluster.silhouettes(df.limit(3), one) == {2: None}
+    with pytest.raises(ValueError, match="no rows"):
+        cluster.best_kmeans(df.limit(0), (2,))
+
+
 def test_labels():
     assert ranking.priority_labels(3) == ["alto_potencial", "medio_alto", "medio"]
     assert ranking.priority_labels(5)[-1] == "bajo_potencial"
