@@ -27,9 +27,21 @@ def ranges(n_keys: int) -> int:
     return max(LEAST_RANGES, 1 << max(0, -(-n_keys // KEYS_PER_RANGE) - 1).bit_length())
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after one byte that says how many."""
+    largest = int(values.max(initial=0))
+    size = next(n for n in (1, 2, 4, 8) if largest < 1 << (8 * n))
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def widened(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 def totals(blocks: DataFrame, keys_of: Keys, n_ranges: int) -> DataFrame:
-    """``block``, ``range``, ``totals`` (binary int64): for each block and hash range, the sums over all
-    blocks of the counts of that block's keys, in ascending order of the keys.
+    """``block``, ``range``, ``totals``: for each block and hash range, the sums over all blocks of the counts
+    of that block's keys, in ascending order of the keys, packed by ``narrow``. A block sent twice counts twice;
+    without keys there are no rows.
 
     ``keys_of`` gives a block's distinct keys (unsigned 64-bit, ascending) and their counts.
     """
@@ -45,13 +57,12 @@ def totals(blocks: DataFrame, keys_of: Keys, n_ranges: int) -> DataFrame:
                 owner = (keys >> shift).astype(np.int64)
                 used, first = np.unique(owner, return_index=True)
                 cuts = np.append(first, len(keys))
-                compact = counts.astype("<u1" if counts.max() < 256 else "<i8")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(used),
                         pa.array(np.full(len(used), row["block"], np.int64)),
                         pa.array([keys[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                        pa.array([compact[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                        pa.array([narrow(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
                     ],
                     ["range", "block", "keys", "counts"],
                 )
@@ -59,15 +70,13 @@ def totals(blocks: DataFrame, keys_of: Keys, n_ranges: int) -> DataFrame:
     def add_up(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
         sizes = [len(k) for k in keys]
-        counts = [
-            np.frombuffer(x, "<u1" if len(x) == n else "<i8") for x, n in zip(table["counts"].to_pylist(), sizes)
-        ]
+        counts = [widened(x) for x in table["counts"].to_pylist()]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(counts)).astype("<i8")[place]
+        sums = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]
         cuts = np.cumsum([0, *sizes])
         return pa.table({
             "block": table["block"], "range": table["range"],
-            "totals": pa.array([sums[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            "totals": pa.array([narrow(sums[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
         })
 
     sent = blocks.mapInArrow(releasing(send), "range long, block long, keys binary, counts binary")
@@ -78,4 +87,4 @@ def joined(replies: pa.Table) -> np.ndarray:
     """One block's totals in the order of its keys."""
     order = np.argsort(replies["range"].to_numpy())
     parts = replies["totals"].to_pylist()
-    return np.concatenate([np.frombuffer(parts[i], "<i8") for i in order]) if len(order) else np.zeros(0, np.int64)
+    return np.concatenate([widened(parts[i]) for i in order]) if len(order) else np.zeros(0, np.int64)

@@ -166,14 +166,14 @@ def _send_next(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         for _, opened in _opened(block, replies):
             k, c = opened.keys(n)
             keys.append(k.tobytes())
-            counts.append(c.astype("<i8").tobytes())
+            counts.append(exchange.narrow(c))
         return pa.table({"block": block["block"], "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
 
 
 def _sent(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["counts"], "<i8")
+    return np.frombuffer(row["keys"], "<u8"), exchange.widened(row["counts"])
 
 
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +188,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
     and ``N`` their words (at least 1), a word scores ``c(abc) / c(ab)`` for its two predecessors; where that
     count is 0 ``alpha * c(bc) / c(b)``; else ``alpha ** 2 * c(c) / N``, an unseen word counting as
     ``1 / (N + 1)``. The first words of a text start at the order they can have. A null or blank text has
-    no words and a sum of 0. Repeated rows are documents each. Other columns are left out.
+    no words and a sum of 0. Repeated rows are documents each. Other columns are left out. Keys are whole
+    numbers or null.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = int(min(4096, max(16, rows.count() // DOCS_PER_BUCKET)))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = int(min(most, max(16, rows.count() // DOCS_PER_BUCKET)))
     name = f"lm_blocks_{uuid.uuid4().hex}"
     packed = rows.mapInArrow(releasing(_pack), BLOCK_SCHEMA)
     # Bucketed, so that the answers travel to the blocks and not the blocks to the answers.
@@ -218,4 +220,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
         return pa.concat_tables(parts)
 
     scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(releasing_pair(finish), SCORE_SCHEMA)
+    spark.sql(f"DROP TABLE {name}")  # the entry; the files are a stage of their own
     return scored.withColumnRenamed("doc", key)

@@ -3,10 +3,11 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from compare import differences, oracle
-from pilotlab.llm import lm, queries
+from pilotlab.llm import exchange, lm, queries
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
@@ -63,3 +64,18 @@ def test_repeated_and_null_keys(spark):
     found = sorted((tuple(r) for r in lm.score(docs).collect()), key=str)
     s = plain(["a b", "a b", "a b c"])
     assert found == sorted([(1, *s[0]), (1, *s[1]), (None, *s[2])], key=str)
+
+
+def test_catalogue_is_left_clean(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    check(spark, ["a b c", "a b d"])
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_counts_of_every_width():
+    for largest in (0, 255, 256, 1 << 16, 1 << 32, 1 << 40):
+        values = np.array([1, 0, largest])
+        packed = exchange.narrow(values)
+        assert exchange.widened(packed).tolist() == values.tolist()
+        assert len(packed) == 1 + 3 * packed[0]
+    assert exchange.widened(exchange.narrow(np.zeros(0, np.int64))).tolist() == []
