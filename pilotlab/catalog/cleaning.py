@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, text
@@ -219,12 +219,22 @@ _SQL_CHECK_DIGIT = f"SELECT client_id, {CHECK_DIGIT} AS valid FROM {tv.oracle('c
 
 # --- report of a whole cleaning run --------------------------------------------------------------
 
-_REPORT_PLAN: cleaning.Plan = [
-    ("order_date", (cleaning.date_step(),)),
-    ("priority", (cleaning.text_step(),)),
-    ("price", (cleaning.number_step(),)),
-    ("status", (cleaning.text_step(), cleaning.prefix_step({"f": "final", "o": "open"}))),
-]
+_PRESENT = "1998-01-01"
+
+
+def _report_plan() -> cleaning.Plan:
+    """Cleaners of every kind, and one that cannot work on its column."""
+
+    def unable(c: Column, dtype: str) -> Column:
+        raise ValueError(f"no cleaner for {dtype}")
+
+    return [
+        ("order_date", (cleaning.date_step(dates.ntz(f"{_PRESENT} 00:00:00")),)),
+        ("priority", (cleaning.text_step(),)),
+        ("price", (cleaning.number_step(),)),
+        ("status", (cleaning.text_step(), cleaning.prefix_step({"f": "final", "o": "open"}))),
+        ("o_orderkey", (cleaning.Step("keep_key", unable),)),
+    ]
 
 
 def messy_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,29 +254,65 @@ def _flat(column: str):
 
 
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:
-    report = cleaning.quality_report(messy_orders(spark, sf), "orders", _REPORT_PLAN)
+    report = cleaning.quality_report(messy_orders(spark, sf), "orders", _report_plan())
     return report.select(
         F.col("position").cast("bigint").alias("position"), "table", "function", "column", "rows_in", "rows_out",
         "nulls_in", "nulls_out", "n_unrecognised",
         F.coalesce(F.size("unrecognised"), F.lit(0)).cast("bigint").alias("n_listed"),
         F.coalesce(_flat("formats"), F.lit("")).alias("formats"),
-        F.array_join("warnings", ";").alias("warnings"),
+        F.array_join("warnings", ";").alias("warnings"), "n_out_of_range",
+        F.array_join("errors", ";").alias("errors"), "ok",
+    )
+
+
+def clean_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The table that the report is about."""
+    cleaned = cleaning.clean_table(messy_orders(spark, sf), _report_plan())
+    return cleaned.select(
+        "o_orderkey", micros("order_date").cast("string").alias("order_date_us"), "order_date_out_of_range", "priority",
+        F.round("price", 2).alias("price"), "status",
     )
 
 
+_FAR = f"(value < TIMESTAMP '1900-01-01' OR value > TIMESTAMP '{_PRESENT}' + INTERVAL 1 DAY)"
+_SQL_CLEAN = f"""SELECT o_orderkey, CAST(epoch_us(d.value) AS VARCHAR) AS order_date_us, coalesce({_FAR}, false) AS order_date_out_of_range,
+  priority, price, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' END AS status
+FROM orders JOIN ({_SQL_DATES}) d USING (o_orderkey) JOIN ({_SQL_NORMALIZE_CATEGORIES}) USING (o_orderkey)
+  JOIN ({_SQL_NUMBER}) USING (o_orderkey)"""
+
+
+def range_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """How many clients have an implausible date, from the columns that cleaning adds."""
+    clients = tv.view(spark, sf, "client").select(*[F.col(c).cast("string").alias(c) for c in ("birth_ts", "registered_ts")])
+    step = cleaning.date_step(dates.ntz("1996-01-01 00:00:00"))
+    cleaned = cleaning.clean_table(clients, [("birth_ts", (step,)), ("registered_ts", (step,))])
+    names = ["birth_ts_out_of_range", "registered_ts_out_of_range"]
+    return rounded(flags.flag_summary(cleaned, "client", names), {"pct": 6})
+
+
+_SQL_RANGE_FLAGS = f"WITH flagged AS ({_SQL_RANGE}) " + "\nUNION ALL ".join(
+    f"""SELECT 'client' AS "table", '{c}' AS flag, count(*) FILTER ({c}) AS n, count(*) AS total,
+  round(count(*) FILTER ({c}) * 100.0 / count(*), 6) AS pct FROM flagged"""
+    for c in ("birth_ts_out_of_range", "registered_ts_out_of_range")
+)
+
+
 def _report_row(
     position: int, function: str, column: str, nulls_in: str, nulls_out: str, lost: str, listed: str,
-    formats: str, placeholder: bool = False,
+    formats: str, placeholder: bool = False, far: str = "0", error: str = "",
 ) -> str:
     warned = f"CASE WHEN {lost} > 0 THEN concat({lost}, ' values not recognised') ELSE '' END"
     if placeholder:
         gained = f"(({nulls_out}) - ({nulls_in}))"
         warned = f"CASE WHEN {gained} > 0 THEN concat({gained}, ' placeholders turned into null') ELSE '' END"
+    if far != "0":
+        outside = f"CASE WHEN {far} > 0 THEN concat({far}, ' dates outside the plausible range, marked and kept') END"
+        warned = f"concat_ws(';', nullif({warned}, ''), {outside})"
     return f"""SELECT CAST({position} AS BIGINT) AS position, 'orders' AS "table", '{function}' AS "function",
   '{column}' AS "column", CAST(count(*) AS BIGINT) AS rows_in, CAST(count(*) AS BIGINT) AS rows_out,
   CAST({nulls_in} AS BIGINT) AS nulls_in, CAST({nulls_out} AS BIGINT) AS nulls_out,
   CAST({lost} AS BIGINT) AS n_unrecognised, CAST({listed} AS BIGINT) AS n_listed, {formats} AS formats,
-  {warned} AS warnings FROM orders"""
+  {warned} AS warnings, CAST({far} AS BIGINT) AS n_out_of_range, '{error}' AS errors, {str(not error).lower()} AS ok FROM orders"""
 
 
 _KEY = "count(*) FILTER (o_orderkey % {m} IN ({v}))"
@@ -277,6 +323,7 @@ _SQL_REPORT = "\nUNION ALL ".join([
         _KEY.format(m=14, v="12"), "least(50, count(DISTINCT o_orderdate) FILTER (o_orderkey % 14 = 12))",
         "(SELECT string_agg(format || '=' || n, ';' ORDER BY format) FROM (SELECT coalesce(format, 'none') AS format,"
         f" count(*) AS n FROM ({_SQL_DATES}) GROUP BY 1))",
+        far=f"(SELECT count(*) FILTER ({_FAR}) FROM ({_SQL_DATES}))",
     ),
     _report_row(1, "normalize_text", "priority", _KEY.format(m=10, v="8"),
                 _KEY.format(m=10, v="0, 1, 2, 3, 4, 8"), "0", "0", "''", placeholder=True),
@@ -284,6 +331,7 @@ _SQL_REPORT = "\nUNION ALL ".join([
                 _KEY.format(m=9, v="7"), "1", "''"),
     _report_row(3, "normalize_text", "status", "0", "0", "0", "0", "''", placeholder=True),
     _report_row(4, "classify_prefix", "status", "0", _STATUS_LOST, _STATUS_LOST, "1", "''"),
+    _report_row(5, "keep_key", "o_orderkey", "0", "0", "0", "0", "''", error="ValueError: no cleaner for long"),
 ])
 
 # --- flags ---------------------------------------------------------------------------------------
@@ -451,6 +499,8 @@ QUERIES = {
     "id_format": (id_format, _SQL_ID_FORMAT),
     "id_check_digit": (id_check_digit, _SQL_CHECK_DIGIT),
     "quality_report": (quality_report, _SQL_REPORT),
+    "clean_orders": (clean_orders, _SQL_CLEAN),
+    "range_flags": (range_flags, _SQL_RANGE_FLAGS),
     "flag_minor": (flag_minor, f"{VIEWS} SELECT client_id, flag_minor, flag_invalid_id FROM client"),
     "flag_activation_order": (flag_activation_order,
                               f"{VIEWS} SELECT card_id, flag_activation_order AS flagged FROM card"),

@@ -9,33 +9,35 @@ from ..operators import cleaning, flags
 from ..operators.cleaning import boolean_step, date_step, id_step, number_step, prefix_step, text_step
 from ..operators.dedup import drop_exact_duplicates, duplicate_summary
 from ..sources import bindings
-from ..sources.tables import Zones, cut_lineage, read_tables, write_table
+from ..sources.tables import Zones, cut_lineage, publication, read_tables
 
 
-def bank_plans(card_prefixes: dict[str, str] = bindings.CARD_PREFIXES) -> dict[str, cleaning.Plan]:
-    """Cleaning chains of the five tables, in package column names."""
+def bank_plans(
+    card_prefixes: dict[str, str] = bindings.CARD_PREFIXES, as_of: Column | None = None
+) -> dict[str, cleaning.Plan]:
+    """Cleaning chains of the five tables, in package column names; ``as_of`` sets the plausible dates."""
     return {
         "client": [
-            ("birth_ts", (date_step(),)),
-            ("registered_ts", (date_step(),)),
+            ("birth_ts", (date_step(as_of),)),
+            ("registered_ts", (date_step(as_of),)),
             ("acquisition_channel", (text_step(),)),
             ("city", (text_step(),)),
             ("account_status", (text_step(),)),
             ("national_id", (id_step(),)),
         ],
         "card": [
-            ("issued_ts", (date_step(),)),
-            ("activated_ts", (date_step(),)),
+            ("issued_ts", (date_step(as_of),)),
+            ("activated_ts", (date_step(as_of),)),
             ("card_type", (text_step(), prefix_step(card_prefixes))),
         ],
         "tx": [
-            ("ts", (date_step(),)),
+            ("ts", (date_step(as_of),)),
             ("is_refund", (text_step(), boolean_step())),
             ("tx_type", (text_step(),)),
             ("amount", (number_step(),)),
         ],
         "contact": [
-            ("contacted_ts", (date_step(),)),
+            ("contacted_ts", (date_step(as_of),)),
             ("campaign", (text_step(),)),
             ("channel", (text_step(),)),
             ("responded", (text_step(), boolean_step())),
@@ -45,10 +47,10 @@ def bank_plans(card_prefixes: dict[str, str] = bindings.CARD_PREFIXES) -> dict[s
 
 
 FLAGS = {
-    "client": ["flag_minor", "flag_invalid_id"],
-    "card": ["flag_activation_order", "flag_orphan_client"],
-    "tx": ["flag_orphan_client", "flag_future", "flag_orphan_merchant"],
-    "contact": ["flag_future", "flag_orphan_client"],
+    "client": ["flag_minor", "flag_invalid_id", "birth_ts_out_of_range", "registered_ts_out_of_range"],
+    "card": ["flag_activation_order", "flag_orphan_client", "issued_ts_out_of_range", "activated_ts_out_of_range"],
+    "tx": ["flag_orphan_client", "flag_future", "flag_orphan_merchant", "ts_out_of_range"],
+    "contact": ["flag_future", "flag_orphan_client", "contacted_ts_out_of_range"],
 }
 
 
@@ -95,32 +97,34 @@ def run_cleaning(
 ) -> None:
     """Batch job: raw zone in, trusted zone and report tables out, under the bank's own names.
 
-    Each deduplicated table is cleaned once: the cleaned columns and the marks of the report come from
-    one evaluation, stored in the session's stage folder. Flags and reports are made from there.
+    Each deduplicated table is cleaned once; the numbers of its report are counted while that is
+    stored, and only what could not be read is stored with it. Flags are added from there. Tables and
+    reports replace the old ones together at the end, or none does.
     """
     as_of = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of
     names = bindings.TABLE_NAMES
     raw = read_tables(spark, zones, "raw", list(names.values()), required)
     raw = {t: bindings.to_package_names(raw[n], t) for t, n in names.items() if n in raw}
-    plans = bank_plans()
+    plans = bank_plans(as_of=as_of)
     reports, unread, cleaned = [], [], {}
-    for table, df in raw.items():
-        marked = cut_lineage(cleaning.clean_and_mark(drop_exact_duplicates(df), plans[table]))
-        cleaned[table] = marked.drop("_marks")
-        tally = cleaning.tally_marks(marked)
-        reports.append(cleaning.dedup_report(duplicate_summary(df, marked), table))
-        reports.append(cleaning.report_of(tally, table, plans[table]))
-        unread.append(cleaning.unrecognised_values(tally, table, plans[table]))
-    flagged = add_flags(cleaned, as_of)
-    summaries = []
-    for table, df in flagged.items():
-        path = zones.table("trusted", names[table])
-        write_table(bindings.to_source_names(df, table), path)
-        if table in FLAGS:
-            stored = bindings.to_package_names(spark.read.parquet(path), table)
-            summaries.append(flags.flag_summary(
-                stored, table, [f for f in FLAGS[table] if f in stored.columns]
-            ))
-    write_table(_union(reports), zones.table("reports", "quality_report"))
-    write_table(_union(unread), zones.table("reports", "unrecognised_values"))
-    write_table(_union(summaries), zones.table("reports", "flag_summary"))
+    with publication(spark, zones.root) as out:
+        for table, df in raw.items():
+            watched = cleaning.Watched(drop_exact_duplicates(df), plans[table])
+            stored = cut_lineage(watched.frame)
+            cleaned[table], lost = stored.drop("_lost"), cleaning.unread(stored)
+            reports.append(cleaning.dedup_report(duplicate_summary(df, stored), table))
+            reports.append(watched.report(lost, table))
+            unread.append(cleaning.unrecognised_values(lost, table, plans[table]))
+        flagged = add_flags(cleaned, as_of)
+        summaries = []
+        for table, df in flagged.items():
+            path = zones.table("trusted", names[table])
+            out.write(bindings.to_source_names(df, table), path)
+            if table in FLAGS:
+                stored = bindings.to_package_names(spark.read.parquet(out.path(path)), table)
+                summaries.append(flags.flag_summary(
+                    stored, table, [f for f in FLAGS[table] if f in stored.columns]
+                ))
+        out.write(_union(reports), zones.table("reports", "quality_report"))
+        out.write(_union(unread), zones.table("reports", "unrecognised_values"))
+        out.write(_union(summaries), zones.table("reports", "flag_summary"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import bindings
-from ..sources.tables import Zones, cut_lineage, read_table, write_table
+from ..sources.tables import Publication, Zones, cut_lineage, publication, read_table
 from . import effect_base as eb
 from . import segment_base as sb
 from .effect_model import EffectResult, measure_effect
@@ -26,15 +29,16 @@ def _four(spark: SparkSession, zones: Zones) -> list[DataFrame]:
     return [_trusted(spark, zones, t) for t in ("client", "card", "tx", "contact")]
 
 
-def _store(df: DataFrame, zones: Zones, name: str, binding: str) -> None:
-    write_table(bindings.to_source_names(df, binding), zones.table("modelling", name))
+def _store(out: Publication, df: DataFrame, zones: Zones, name: str, binding: str) -> None:
+    out.write(bindings.to_source_names(df, binding), zones.table("modelling", name))
 
 
 def _modelling(spark: SparkSession, zones: Zones, name: str, binding: str) -> DataFrame:
     return bindings.to_package_names(read_table(spark, zones.table("modelling", name)), binding)
 
 
-WINDOW_CANDIDATES = (30, 60, 90)
+# The window lengths that are compared.
+WINDOW_CANDIDATES = (30, 45, 60, 90, 120)
 
 
 def build_effect_base(
@@ -42,44 +46,72 @@ def build_effect_base(
     window_candidates: tuple[int, ...] = WINDOW_CANDIDATES,
 ) -> None:
     """Stores the causal table, the sizes of cohort and arms, and how many windows of each length fit."""
-    client, card, tx, contact = _four(spark, zones)
-    cohort = eb.pilot_cohort(client, contact, spec.campaign)
-    arms = cut_lineage(eb.with_arms(cohort, eb.first_activation(card, spec.labels.physical)))
-    write_table(eb.arm_sizes(arms), zones.table("reports", "cohort_sizes"))
-    windows = eb.window_sensitivity(eb.anchored(arms), tx, sorted({*window_candidates, spec.window_days}))
-    write_table(windows, zones.table("reports", "window_sensitivity"))
-    _store(eb.effect_base(client, card, tx, contact, spec), zones, EFFECT_BASE, "effect_base")
+    with publication(spark, zones.root) as out:
+        client, card, tx, contact = _four(spark, zones)
+        cohort = eb.pilot_cohort(client, contact, spec.campaign)
+        arms = cut_lineage(eb.with_arms(cohort, eb.first_activation(card, spec.labels.physical)))
+        out.write(eb.arm_sizes(arms), zones.table("reports", "cohort_sizes"))
+        windows = eb.window_sensitivity(eb.anchored(arms), tx, sorted({*window_candidates, spec.window_days}))
+        out.write(windows, zones.table("reports", "window_sensitivity"))
+        _store(out, eb.effect_base(client, card, tx, contact, spec), zones, EFFECT_BASE, "effect_base")
 
 
 def run_effect(spark: SparkSession, zones: Zones, replicates: int = 2_000, seed: int = 42) -> EffectResult:
-    """Measures the effect from the stored causal table and stores balance, R² and decisions."""
-    result = measure_effect(_modelling(spark, zones, EFFECT_BASE, "effect_base"), replicates, seed)
-    write_table(result.balance, zones.table("reports", "covariate_balance"))
-    write_table(result.learner.r2, zones.table("reports", "holdout_r2"))
-    write_table(result.decisions, zones.table("reports", "effect_decisions"))
-    return result
+    """Measures the effect from the stored causal table.
+
+    Stores the balance of numbers (largest gap first) and of categories, how many covariates are
+    unbalanced, R², each client's effect and the decisions. The result reads what was stored.
+    """
+    reports = {}
+    with publication(spark, zones.root) as out:
+        result = measure_effect(_modelling(spark, zones, EFFECT_BASE, "effect_base"), replicates, seed)
+        balance = cut_lineage(result.balance)
+        reports["covariate_balance"] = balance.orderBy(F.desc(F.abs("smd")), "variable").coalesce(1)
+        reports["unbalanced_covariates"] = balance.agg(
+            F.count_if("unbalanced").alias("n_unbalanced"), F.count("*").alias("n_covariates")
+        )
+        reports |= {f"category_balance_{c}": table for c, table in result.categories.items()}
+        reports |= {f"individual_effect_{y}": table for y, table in result.effects.items()}
+        reports |= {"holdout_r2": result.learner.r2, "effect_decisions": result.decisions}
+        for name, table in reports.items():
+            out.write(table, zones.table("reports", name))
+    stored = {name: read_table(spark, zones.table("reports", name)) for name in reports}
+    return replace(
+        result, balance=stored["covariate_balance"], decisions=stored["effect_decisions"],
+        categories={c: stored[f"category_balance_{c}"] for c in result.categories},
+        effects={y: stored[f"individual_effect_{y}"] for y in result.effects},
+    )
 
 
 def build_segment_base(spark: SparkSession, zones: Zones, spec: SegmentSpec = SegmentSpec()) -> None:
-    client, card, tx, contact = _four(spark, zones)
-    exclusions = sb.exclusions(card, tx, contact).unionByName(sb.eligibility_counts(client, card, tx, spec))
-    write_table(exclusions, zones.table("reports", "exclusions"))
-    _store(sb.segment_features(client, card, tx, contact, spec), zones, SEGMENT_BASE, "segment_base")
+    with publication(spark, zones.root) as out:
+        client, card, tx, contact = _four(spark, zones)
+        exclusions = sb.exclusions(card, tx, contact).unionByName(sb.eligibility_counts(client, card, tx, spec))
+        out.write(exclusions, zones.table("reports", "exclusions"))
+        _store(out, sb.segment_features(client, card, tx, contact, spec), zones, SEGMENT_BASE, "segment_base")
 
 
 def run_segmentation(
-    spark: SparkSession, zones: Zones, candidates: tuple[int, ...] = (3, 4, 5, 6), seed: int = 42, starts: int = 10
+    spark: SparkSession, zones: Zones, candidates: tuple[int, ...] = (3, 4, 5, 6), seed: int = 42, starts: int = 10,
+    by_score: bool = False,
 ) -> Segmentation:
-    """Clusters the stored segmentation table; stores the labelled clients and the model."""
-    base = _modelling(spark, zones, SEGMENT_BASE, "segment_base")
-    result = segment_clients(base, candidates, seed, starts)
-    _store(result.clients, zones, SEGMENTED, "segment_base")
-    result.model.save(spark, f"{zones.folder('models')}/{MODEL}")
-    write_table(result.ranking, zones.table("reports", "segment_ranking"))
-    write_table(result.profile(), zones.table("reports", "segment_profile"))
-    write_table(result.modes(), zones.table("reports", "segment_modes"))
-    write_table(result.distribution(), zones.table("reports", "segment_distribution"))
-    write_table(result.choice.table(base), zones.table("reports", "silhouette_by_k"))
+    """Clusters the stored segmentation table; stores the labelled clients and the model.
+
+    With ``by_score`` the clients are stored in files of falling priority score, highest first.
+    """
+    with publication(spark, zones.root) as out:
+        base = _modelling(spark, zones, SEGMENT_BASE, "segment_base")
+        result = segment_clients(base, candidates, seed, starts)
+        clients = result.clients.orderBy(F.desc("priority_score"), "client_id") if by_score else result.clients
+        _store(out, clients, zones, SEGMENTED, "segment_base")
+        model = f"{zones.folder('models')}/{MODEL}"
+        result.model.save(spark, out.path(model))
+        out.note(model)
+        out.write(result.ranking, zones.table("reports", "segment_ranking"))
+        out.write(result.profile(), zones.table("reports", "segment_profile"))
+        out.write(result.modes(), zones.table("reports", "segment_modes"))
+        out.write(result.distribution(), zones.table("reports", "segment_distribution"))
+        out.write(result.choice.table(base), zones.table("reports", "silhouette_by_k"))
     return result
 
 

@@ -25,6 +25,8 @@ COLUMN_NAMES = {
         "estado_cuenta": "account_status",
         "flag_menor_edad_al_registro": "flag_minor",
         "flag_cedula_invalida": "flag_invalid_id",
+        "fecha_nacimiento_fuera_rango": "birth_ts_out_of_range",
+        "fecha_registro_fuera_rango": "registered_ts_out_of_range",
     },
     "card": {
         "cliente_id": "client_id",
@@ -33,6 +35,8 @@ COLUMN_NAMES = {
         "fecha_emision": "issued_ts",
         "fecha_activacion": "activated_ts",
         "flag_activacion_antes_emision": "flag_activation_order",
+        "fecha_emision_fuera_rango": "issued_ts_out_of_range",
+        "fecha_activacion_fuera_rango": "activated_ts_out_of_range",
         "flag_cliente_id_huerfano": "flag_orphan_client",
     },
     "tx": {
@@ -46,6 +50,7 @@ COLUMN_NAMES = {
         "flag_cliente_id_huerfano": "flag_orphan_client",
         "flag_fecha_futura": "flag_future",
         "flag_comercio_codigo_huerfano": "flag_orphan_merchant",
+        "fecha_fuera_rango": "ts_out_of_range",
     },
     "contact": {
         "cliente_id": "client_id",
@@ -54,6 +59,7 @@ COLUMN_NAMES = {
         "canal": "channel",
         "respondio": "responded",
         "flag_fecha_contacto_futura": "flag_future",
+        "fecha_contacto_fuera_rango": "contacted_ts_out_of_range",
         "flag_cliente_id_huerfano": "flag_orphan_client",
     },
     "merchant": {"comercio_codigo": "merchant_code", "categoria": "category"},

@@ -58,6 +58,93 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+class Publication:
+    """Tables of a job, written to a folder of their own and put in place together.
+
+    ``write`` takes the path that a table is to have; ``path`` gives where it lies until then. Tables replace
+    those of the same path.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root
+        self.folder = f"{root}/_runs/{uuid.uuid4().hex}"
+        self.written: list[str] = []
+
+    def path(self, final: str) -> str:
+        if not final.startswith(f"{self.root}/"):
+            raise ValueError(f"{final} is not under {self.root}")
+        return f"{self.folder}/new/{final[len(self.root) + 1 :]}"
+
+    def write(self, df: DataFrame, final: str) -> None:
+        df.write.mode("overwrite").parquet(self.path(final))
+        self.note(final)
+
+    def note(self, final: str) -> None:
+        """Says that something was written at ``path(final)`` by other means."""
+        if final not in self.written:
+            self.written.append(final)
+
+    def _fs(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _move(self, source: str, final: str) -> None:
+        fs, target = self._fs(final)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(self._fs(source)[1], target):
+            raise OSError(f"{source} could not be moved to {final}")
+
+    def _put_in_place(self) -> None:
+        moved: list[tuple[str, str | None]] = []
+        try:
+            for final in self.written:
+                fs, target = self._fs(final)
+                old = f"{self.folder}/old/{final[len(self.root) + 1 :]}" if fs.exists(target) else None
+                if old is not None:
+                    self._move(final, old)
+                moved.append((final, old))
+                self._move(self.path(final), final)
+        except BaseException:
+            for final, old in reversed(moved):
+                fs, target = self._fs(final)
+                if old is not None:
+                    fs.delete(target, True)
+                    self._move(old, final)
+                elif fs.exists(target):
+                    fs.delete(target, True)
+            raise
+        finally:
+            self._clear()
+
+    def _clear(self) -> None:
+        fs, target = self._fs(self.folder)
+        fs.delete(target, True)
+        runs = target.getParent()
+        if fs.exists(runs) and not fs.listStatus(runs):
+            fs.delete(runs, False)
+
+
+@contextmanager
+def publication(spark: SparkSession, root: str) -> Iterator[Publication]:
+    """All tables written inside replace the old ones at the end, or none does: an error on the way leaves
+    the old tables as they were. Stage tables given out inside are removed either way.
+
+    Moving is a rename for each table. On a file system a reader can see the new tables one after the
+    other for that moment; a driver lost within it leaves the old ones under ``_runs``.
+    """
+    out = Publication(spark, root)
+    with stage_scope() as made:
+        try:
+            yield out
+        except BaseException:
+            out._clear()
+            raise
+        else:
+            out._put_in_place()
+        finally:
+            drop_stages(spark, made)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 

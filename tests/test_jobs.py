@@ -106,7 +106,7 @@ def test_reports(spark, zones):
             if r["formats"]:
                 assert sum(r["formats"].values()) == r["rows_in"]
     summary = {(r["table"], r["flag"]): r for r in read_table(spark, zones.table("reports", "flag_summary")).collect()}
-    assert len(summary) == 9
+    assert len(summary) == 15
     assert summary["card", "flag_orphan_client"]["n"] > 0 and summary["tx", "flag_orphan_client"]["n"] == 0
     assert summary["tx", "flag_future"]["n"] > 0
     tx = trusted(spark, zones, "tx")
@@ -158,3 +158,88 @@ def test_stage_tables_are_removed(spark):
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
         spark.read.parquet(made[1]).count()
     assert other.columns == ["id"]
+
+
+def folders(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def test_a_failing_job_leaves_the_old_zone_whole(spark, zones, monkeypatch):
+    """The last table fails after all others were written: nothing is replaced, nothing is left behind."""
+    from pilotlab.sources.tables import shared_folder
+
+    before = {t: trusted(spark, zones, t).inputFiles() for t in ("client", "card", "tx", "contact", "merchant")}
+    kept = folders(spark, shared_folder(spark))
+
+    def fails(*_):
+        raise RuntimeError("no report")
+
+    monkeypatch.setattr(cleaning.cleaning, "unrecognised_values", fails)
+    with pytest.raises(RuntimeError, match="no report"):
+        cleaning.run_cleaning(spark, zones, as_of=ntz("2000-06-01 00:00:00"))
+    monkeypatch.undo()
+    monkeypatch.setattr(cleaning.flags, "flag_summary", fails)
+    with pytest.raises(RuntimeError, match="no report"):
+        cleaning.run_cleaning(spark, zones, as_of=ntz("2000-06-01 00:00:00"))
+    assert {t: trusted(spark, zones, t).inputFiles() for t in before} == before
+    assert folders(spark, shared_folder(spark)) == kept
+    assert "_runs" not in folders(spark, zones.root)
+    monkeypatch.undo()
+    cleaning.run_cleaning(spark, zones, as_of=ntz("2000-06-01 00:00:00"))
+    after = {t: trusted(spark, zones, t).inputFiles() for t in before}
+    assert all(set(after[t]).isdisjoint(before[t]) for t in before)
+    assert folders(spark, shared_folder(spark)) == kept and "_runs" not in folders(spark, zones.root)
+
+
+def test_a_failing_move_puts_the_old_tables_back(spark, tmp_path, monkeypatch):
+    from pilotlab.sources import tables
+
+    root = str(tmp_path)
+    for n in (1, 2):
+        with tables.publication(spark, root) as out:
+            for name in ("a", "b"):
+                out.write(spark.range(n), f"{root}/zone/{name}")
+    assert spark.read.parquet(f"{root}/zone/b").count() == 2
+    move = tables.Publication._move
+
+    def breaks(self, source, final):
+        if final.endswith("zone/b"):
+            raise OSError("gone")
+        move(self, source, final)
+
+    monkeypatch.setattr(tables.Publication, "_move", breaks)
+    with pytest.raises(OSError):
+        with tables.publication(spark, root) as out:
+            for name in ("a", "c", "b"):
+                out.write(spark.range(9), f"{root}/zone/{name}")
+    monkeypatch.undo()
+    assert spark.read.parquet(f"{root}/zone/a").count() == 2 and folders(spark, root) == ["zone"]
+    assert folders(spark, f"{root}/zone") == ["a", "b"]
+
+
+def test_effect_reports(spark, zones):
+    result = jobs.run_effect(spark, zones, replicates=50)
+    balance = read_table(spark, zones.table("reports", "covariate_balance")).collect()
+    gaps = [abs(r["smd"]) for r in balance]
+    assert gaps == sorted(gaps, reverse=True)
+    counts = read_table(spark, zones.table("reports", "unbalanced_covariates")).first()
+    assert (counts["n_unbalanced"], counts["n_covariates"]) == (sum(r["unbalanced"] for r in balance), len(balance))
+    city = read_table(spark, zones.table("reports", "category_balance_city"))
+    assert city.agg(F.sum("pct_control")).first()[0] == pytest.approx(100, abs=1)
+    assert result.decisions.count() == 2 and result.effects["y_amount"].count() > 0
+    windows = read_table(spark, zones.table("reports", "window_sensitivity"))
+    assert {r["window_days"] for r in windows.collect()} == {30, 45, 60, 90, 120}
+
+
+def test_clients_by_score_and_range_marks(spark, zones):
+    jobs.run_segmentation(spark, zones, (3,), starts=2, by_score=True)
+    stored = read_table(spark, zones.table("modelling", "clientes_segmentados"))
+    scores = [r[0] for r in stored.select("puntaje_prioridad_individual").collect()]
+    assert scores == sorted(scores, reverse=True)
+    assert "fecha_nacimiento_fuera_rango" in read_table(spark, zones.table("trusted", "clientes")).columns
+    quality = {(r["table"], r["column"]): r for r in read_table(spark, zones.table("reports", "quality_report")).collect()}
+    far = quality["client", "birth_ts"]["n_out_of_range"]
+    assert far == trusted(spark, zones, "client").where("birth_ts_out_of_range").count()
+    assert all(r["ok"] and r["errors"] == [] for r in quality.values())

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pilotlab.operators import cleaning, dedup, flags, ordering, profile, skew, tests
+from pilotlab.sources.tables import cut_lineage
 
 
 def heavy_events(spark):
@@ -254,13 +255,45 @@ def test_profiles_of_tables_without_such_columns(spark):
     assert profile.null_profile(numbers).collect() == []
 
 
+def test_a_cleaner_that_fails_is_reported_and_the_others_go_on(spark):
+    def unable(c, dtype):
+        raise TypeError("cannot")
+
+    df = spark.createDataFrame([(" A ", [1]), (None, None)], "kind string, many array<int>")
+    plan = [("kind", (cleaning.Step("unable", unable), cleaning.text_step())), ("many", (cleaning.number_step(),))]
+    rows = cleaning.quality_report(df, "t", plan).orderBy("position").collect()
+    assert [r["ok"] for r in rows] == [False, True, False]
+    assert rows[0]["errors"] == ["TypeError: cannot"] and rows[0]["nulls_in"] == rows[0]["nulls_out"] == 1
+    assert len(rows[2]["errors"]) == 1 and rows[2]["formats"] is None
+    assert [tuple(r) for r in cleaning.clean_table(df, plan).collect()] == [("a", [1]), (None, None)]
+
+
+def test_report_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "kind string, day string")
+    plan = [("kind", (cleaning.text_step(),)), ("day", (cleaning.date_step(F.lit("2020-01-01").cast("timestamp_ntz")),))]
+    rows = cleaning.quality_report(df, "t", plan).orderBy("position").collect()
+    assert [(r["rows_in"], r["nulls_out"], r["n_out_of_range"], r["ok"]) for r in rows] == [(0, 0, 0, True)] * 2
+
+
+def test_reports_are_compiled(spark):
+    """No stage of a report falls back from generated code."""
+    import __spark_entry__ as entry_point
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert entry_point.queries()["quality_report"](spark, "/root/testdata/sf0.001").count() == 6
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_all_unrecognised_values_are_kept(spark):
     df = spark.createDataFrame([("x" * (i + 1),) for i in range(70)] + [("xx",), ("7",)], "kind string")
     plan = [("kind", (cleaning.number_step(),))]
-    marked = cleaning.clean_and_mark(df, plan)
-    assert marked.columns == ["kind", "_marks"] and marked.where("kind = 7.0").count() == 1
-    tally = cleaning.tally_marks(marked)
-    found = cleaning.unrecognised_values(tally, "t", plan)
+    watched = cleaning.Watched(df, plan)
+    stored = cut_lineage(watched.frame)
+    assert stored.columns == ["kind", "_lost"] and stored.where("kind = 7.0 AND _lost IS NULL").count() == 1
+    lost = cleaning.unread(stored)
+    found = cleaning.unrecognised_values(lost, "t", plan)
     assert found.count() == 70 and found.where("value = 'xx'").first()["n"] == 2
-    report = cleaning.report_of(tally, "t", plan, listed=5).first()
+    report = watched.report(lost, "t", listed=5).first()
     assert len(report["unrecognised"]) == 5 and report["n_unrecognised"] == 71
