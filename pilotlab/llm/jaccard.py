@@ -403,8 +403,11 @@ def representatives(
 ) -> DataFrame:
     """The row of each class with the least key (null last), then text hash; rows without shingles all stay.
 
-    Of rows equal in key and text one stays.
+    Of rows equal in key and text one stays. Columns of any name are kept as they are.
     """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    own_key, own_text = (names[docs.columns.index(c)] for c in (key, text))
     rows = cut_lineage(classes(docs, key, text, size, percent))
     named = F.struct("key", "text_hash")
     first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(
@@ -412,11 +415,11 @@ def representatives(
     )
     stay = first.select("r.*").union(rows.where(F.col("class").isNull()).select("key", "text_hash").distinct())
     stay = stay.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"))
-    own_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = docs.withColumn("_own_hash", own_hash).join(
-        stay, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own_hash") == F.col("_hash")), "left_semi"
+    own_hash = F.xxhash64(F.coalesce(F.col(own_text), F.lit("")))
+    kept = renamed.withColumn("_own_hash", own_hash).join(
+        stay, F.col(own_key).eqNullSafe(F.col("_key")) & (F.col("_own_hash") == F.col("_hash")), "left_semi"
     )
     repeated = rows.groupBy("key", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates([key, "_own_hash"])
-    return kept.drop("_own_hash")
+        kept = kept.dropDuplicates([own_key, "_own_hash"])
+    return kept.select(*names).toDF(*docs.columns)

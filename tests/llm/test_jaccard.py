@@ -134,3 +134,12 @@ def test_query(spark, sf):
     query, sql = queries.QUERIES["op9_trie_jaccard"]
     path = f"/root/testdata/sf{sf}"
     assert differences(query(spark, path).toPandas(), oracle(sql, path)) is None
+
+
+def test_representatives_of_a_table_with_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a", 5, 7), (2, text, "b", 6, 8), (3, None, "c", None, None), (2, text, "d", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _hash int, _own_hash int")
+    found = jaccard.representatives(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
