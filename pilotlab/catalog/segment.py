@@ -10,8 +10,8 @@ from ..operators import cluster, ranking
 from ..plans import segment_base as sb
 from ..plans import segment_model as sm
 from ..plans.spec import PRIORITY_COLUMNS, SEGMENT_NUMERIC
-from ..sources.tables import cut_lineage, stage_path, write_table
-from ..streaming.scoring import request_stream, start_scoring
+from ..sources.tables import BucketedStore, cut_lineage, stage_path, write_table
+from ..streaming.scoring import request_stream, scored, start_scoring
 from .common import ELIGIBLE, SEGMENT, SEGMENT_BASE, load, rounded, trusted
 from .profile import describe_sql
 
@@ -299,28 +299,34 @@ def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Clients as JSON requests through the scoring stream; some lack a field and are rejected."""
-    base = cut_lineage(_features(spark, sf))
-    model = sm.segment_clients(base, (3,), starts=2).model
+    """Clients of known clusters as JSON requests through the scoring stream, in several batches; some lack a
+    field and are rejected. One row for each request."""
+    base = _planted(spark, sf)
+    model = sm.segment_clients(base, (PLANTED,), starts=4).model
     folder = stage_path(spark, "stream")
-    required = F.struct(*model.required)
-    partial = F.struct(*model.required[1:])
+    whole, partial = (F.struct("client_id", *model.required[k:]) for k in (0, 1))
     body = F.when(F.col("client_id") % 10 == 0, F.to_json(partial, {"ignoreNullFields": "false"})).otherwise(
-        F.to_json(required, {"ignoreNullFields": "false"})
+        F.to_json(whole, {"ignoreNullFields": "false"})
+    )
+    base.select(body.alias("value")).repartition(4).write.text(f"{folder}/requests")
+    requests = request_stream(spark, f"{folder}/requests", files_per_trigger=2)
+    start_scoring(requests, model, f"{folder}/out", f"{folder}/state").awaitTermination()
+    client = F.get_json_object("value", "$.client_id").cast("bigint").alias("client_id")
+    good = scored(spark, f"{folder}/out").select(
+        client, F.lit("scored").alias("status"), "cluster_id", "segment", "priority_score", F.lit("").alias("missing")
     )
-    base.select(body.alias("value")).write.text(f"{folder}/requests")
-    requests = request_stream(spark, f"{folder}/requests")
-    for query in start_scoring(requests, model, f"{folder}/out", f"{folder}/state"):
-        query.awaitTermination()
-    out = None
-    for name in ("scored", "rejected"):
-        part = spark.read.parquet(f"{folder}/out/{name}").agg(F.lit(name).alias("status"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    bad = scored(spark, f"{folder}/out", "rejected").select(
+        client, F.lit("rejected"), F.lit(-1), F.lit(""), F.lit(0.0), F.array_join("missing", ",")
+    )
+    return good.union(bad)
 
 
-_SQL_STREAM = f"""{ELIGIBLE} SELECT 'scored' AS status, count(*) FILTER (client_id % 10 <> 0) AS n FROM eligible
-UNION ALL SELECT 'rejected', count(*) FILTER (client_id % 10 = 0) FROM eligible"""
+_SQL_STREAM = f"""{_planted_sql('true')} SELECT client_id, CASE WHEN client_id % 10 = 0 THEN 'rejected' ELSE 'scored' END AS status,
+  CAST(CASE WHEN client_id % 10 = 0 THEN -1 ELSE place - 1 END AS INTEGER) AS cluster_id,
+  CASE WHEN client_id % 10 = 0 THEN '' ELSE ['alto_potencial', 'medio_alto', 'medio', 'medio_bajo'][place] END AS segment,
+  CASE WHEN client_id % 10 = 0 THEN 0.0 ELSE round(score, 4) END AS priority_score,
+  CASE WHEN client_id % 10 = 0 THEN '{sm.SEGMENT_FEATURES.all[0]}' ELSE '' END AS missing
+FROM scored JOIN places USING (g)"""
 
 
 def reject_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,6 +364,19 @@ def lookup_clients(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("n_transactions", F.coalesce("n_transactions", F.lit(-1)).cast("bigint"))
 
 
+def bucketed_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a bucketed store, to which only the requests are shuffled."""
+    client, card, tx, _ = trusted(spark, sf)
+    store = BucketedStore(stage_path(spark, "lookup"), 8)
+    store.save(sb.transaction_rates(client, card, tx, SEGMENT).select("client_id", "n_transactions"), "client_id")
+    requests = (
+        load(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("client_id"))
+        .union(load(spark, sf, "events").select((F.col("user_id") + 5_000_000).cast("string")))
+        .distinct()
+    )
+    return store.many(requests, "client_id").withColumn("n_transactions", F.coalesce("n_transactions", F.lit(-1)).cast("bigint"))
+
+
 _SQL_LOOKUP = f"""{SEGMENT_BASE}, wanted AS (SELECT CAST(o_custkey AS VARCHAR) AS client_id FROM orders
   UNION SELECT CAST(user_id + 5000000 AS VARCHAR) FROM events)
 SELECT w.client_id, e.client_id IS NOT NULL AS found,
@@ -397,5 +416,6 @@ QUERIES = {
     "stream_scores": (stream_scores, _SQL_STREAM),
     "reject_requests": (reject_requests, _SQL_REJECT),
     "lookup_clients": (lookup_clients, _SQL_LOOKUP),
+    "bucketed_lookup": (bucketed_lookup, _SQL_LOOKUP),
     "write_and_read": (write_and_read, _SQL_SEGMENT),
 }

@@ -46,6 +46,9 @@ def bank_plans(
     }
 
 
+# Event tables lie in months of these columns.
+TIMES = {"tx": "ts", "contact": "contacted_ts"}
+
 FLAGS = {
     "client": ["flag_minor", "flag_invalid_id", "birth_ts_out_of_range", "registered_ts_out_of_range"],
     "card": ["flag_activation_order", "flag_orphan_client", "issued_ts_out_of_range", "activated_ts_out_of_range"],
@@ -119,7 +122,8 @@ def run_cleaning(
         summaries = []
         for table, df in flagged.items():
             path = zones.table("trusted", names[table])
-            out.write(bindings.to_source_names(df, table), path)
+            time = {v: k for k, v in bindings.COLUMN_NAMES[table].items()}.get(TIMES.get(table, ""))
+            out.write(bindings.to_source_names(df, table), path, time)
             if table in FLAGS:
                 stored = bindings.to_package_names(spark.read.parquet(out.path(path)), table)
                 summaries.append(flags.flag_summary(

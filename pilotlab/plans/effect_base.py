@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import add_days, whole_days
 from ..operators.skew import aggregate_by_key
-from ..sources.tables import cut_lineage
+from ..sources.tables import cut_lineage, within
 from . import events as ev
 from .spec import EffectSpec
 
@@ -133,8 +133,8 @@ def window_aggregates(
         # Bare scalar subqueries, which are pushed into the scans.
         start = ends.select(add_days(F.col("first"), -spec.window_days - 1)).scalar()
         end = ends.select(add_days(F.col("last"), spec.window_days + 1)).scalar()
-        tx = tx.where((F.col("ts") >= start) & (F.col("ts") < end))
-        contact = contact.where(F.col("contacted_ts") < end)
+        tx = within(tx, "ts", start, end)
+        contact = within(contact, "contacted_ts", end=end)
         card = card.where(F.col("issued_ts") < end)
     # The card state before the anchor uses all virtual cards, flagged ones included.
     stream = ev.client_events(

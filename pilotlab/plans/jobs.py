@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import bindings
-from ..sources.tables import Publication, Zones, cut_lineage, publication, read_table
+from ..sources.tables import BucketedStore, Publication, Zones, cut_lineage, publication, read_table
 from . import effect_base as eb
 from . import segment_base as sb
 from .effect_model import EffectResult, measure_effect
-from .segment_model import Segmentation, SegmentModel, lookup_clients, segment_clients
+from .segment_model import Segmentation, SegmentModel, segment_clients
 from .spec import EffectSpec, SegmentSpec
 
 # Names of the modelling tables and of the stored model.
 EFFECT_BASE, SEGMENT_BASE = "base_modelo", "base_segmentacion"
 SEGMENTED, MODEL = "clientes_segmentados", "modelo_segmentacion"
+# Results by client for lookups, and the rows of a bucket.
+LOOKUP, ROWS_PER_BUCKET = "clientes_por_id", 1_000_000
 
 
 def _trusted(spark: SparkSession, zones: Zones, table: str) -> DataFrame:
@@ -104,6 +106,10 @@ def run_segmentation(
         result = segment_clients(base, candidates, seed, starts)
         clients = result.clients.orderBy(F.desc("priority_score"), "client_id") if by_score else result.clients
         _store(out, clients, zones, SEGMENTED, "segment_base")
+        lookup = zones.table("modelling", LOOKUP)
+        buckets = max(8, result.clients.count() // ROWS_PER_BUCKET)
+        BucketedStore(out.path(lookup), buckets).save(result.clients, "client_id")
+        out.note(lookup)
         model = f"{zones.folder('models')}/{MODEL}"
         result.model.save(spark, out.path(model))
         out.note(model)
@@ -120,5 +126,10 @@ def load_model(spark: SparkSession, zones: Zones) -> SegmentModel:
 
 
 def find_clients(spark: SparkSession, zones: Zones, requests: DataFrame) -> DataFrame:
-    """Stored segment of each requested ``client_id``."""
-    return lookup_clients(requests, _modelling(spark, zones, SEGMENTED, "segment_base"))
+    """Stored segment of each requested ``client_id``; only the requests are shuffled."""
+    return BucketedStore.open(spark, zones.table("modelling", LOOKUP)).many(requests, "client_id")
+
+
+def find_client(spark: SparkSession, zones: Zones, client_id: str) -> DataFrame:
+    """Stored segment of one client, from one bucket of the table."""
+    return BucketedStore.open(spark, zones.table("modelling", LOOKUP)).one(spark, client_id)

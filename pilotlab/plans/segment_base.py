@@ -9,6 +9,7 @@ from ..functions.dates import add_days, whole_days
 from ..operators.dedup import exclusion_counts
 from ..operators.ordering import describe
 from ..operators.skew import aggregate_by_key
+from ..sources.tables import within
 from . import events as ev
 from .spec import SegmentSpec
 
@@ -103,8 +104,8 @@ def segment_base(
     )
     # No window starts before the horizon, so older transactions and contacts never reach the shuffle.
     stream = ev.client_events(
-        ev.valid_transactions(tx).where(F.col("ts") >= start),
-        ev.valid_contacts(contact).where(F.col("contacted_ts") >= start),
+        within(ev.valid_transactions(tx), "ts", start),
+        within(ev.valid_contacts(contact), "contacted_ts", start),
         virtual.where(F.col("issued_ts") < now),
     )
     in_window = F.col("at") >= F.col("window_start")
@@ -158,7 +159,7 @@ def transaction_rates(
 ) -> DataFrame:
     """Monthly frequency and net amount per eligible client, from transactions alone."""
     eligible = eligible_clients(client, card, tx, spec)
-    stream = ev.client_events(ev.valid_transactions(tx).where(F.col("ts") >= horizon(tx, spec)))
+    stream = ev.client_events(within(ev.valid_transactions(tx), "ts", horizon(tx, spec)))
     hit = (F.col("kind") == ev.TX) & (F.col("at") >= F.col("window_start"))
     aggregates = {
         "n_transactions": F.count_if(hit),

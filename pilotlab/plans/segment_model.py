@@ -192,10 +192,10 @@ REQUEST_TYPES = {**dict.fromkeys(spec.SEGMENT_NUMERIC + spec.SEGMENT_BOOLEAN, "d
                  **dict.fromkeys(spec.CATEGORICAL, "string")}
 
 
-def parse_requests(
+def read_requests(
     requests: DataFrame, body: str, required: tuple[str, ...] = tuple(SEGMENT_FEATURES.all)
-) -> tuple[DataFrame, DataFrame]:
-    """JSON requests as feature rows, and the rejected ones with ``missing`` and ``unreadable`` fields.
+) -> DataFrame:
+    """JSON requests with ``_row``, the features, and the names of ``missing`` and ``unreadable`` fields.
 
     A field may be null but must be there; text that is no JSON object lacks every field. A value that
     is there and is not of the field's type is unreadable.
@@ -209,8 +209,17 @@ def parse_requests(
         F.when(F.col(f"_text.`{c}`").isNotNull() & F.col(f"_row.`{c}`").isNull(), F.lit(c)) for c in required
     ]))
     checked = read.withColumn("missing", F.array_except(wanted, present)).withColumn("unreadable", unreadable)
+    return checked.drop("_text")
+
+
+def split_requests(read: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Feature rows of the good requests, and the rejected ones with what is wrong with them."""
     good = (F.size("missing") == 0) & (F.size("unreadable") == 0)
-    return (
-        checked.where(good).select(*requests.columns, "_row.*"),
-        checked.where(~good).select(*requests.columns, "missing", "unreadable"),
-    )
+    return read.where(good).select(*columns, "_row.*"), read.where(~good).select(*columns, "missing", "unreadable")
+
+
+def parse_requests(
+    requests: DataFrame, body: str, required: tuple[str, ...] = tuple(SEGMENT_FEATURES.all)
+) -> tuple[DataFrame, DataFrame]:
+    """JSON requests as feature rows, and the rejected ones."""
+    return split_requests(read_requests(requests, body, required), requests.columns)

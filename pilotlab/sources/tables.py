@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +11,9 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,37 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+MONTH = "month"
+
+
+def by_month(df: DataFrame, time: str) -> DataFrameWriter:
+    """A writer of ``df`` in a folder for each month of ``time``, with rows in order of time inside the files.
+
+    Rows without a time lie in a folder of their own. A month of many rows is split over tasks and small
+    months share one, by the size of what was shuffled.
+    """
+    laid = df.withColumn(MONTH, F.date_format(time, "yyyy-MM")).hint("rebalance", MONTH)
+    return laid.sortWithinPartitions(MONTH, time).write.partitionBy(MONTH)
+
+
+def replace_months(df: DataFrame, path: str, time: str) -> None:
+    """Replaces the months that ``df`` has rows of in a table of ``by_month``; all others stay."""
+    by_month(df, time).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def within(df: DataFrame, time: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Rows with ``start <= time < end``. On a table of ``by_month`` only the months between are read, also
+    where a bound is a scalar subquery. Rows without a time are in no range."""
+    for bound, inside, month in (
+        (start, lambda t, b: t >= b, lambda m, b: m >= b), (end, lambda t, b: t < b, lambda m, b: m <= b),
+    ):
+        if bound is not None:
+            df = df.where(inside(F.col(time), bound))
+            if MONTH in df.columns:
+                df = df.where(month(F.col(MONTH), F.date_format(bound, "yyyy-MM")))
+    return df
+
+
 class Publication:
     """Tables of a job, written to a folder of their own and put in place together.
 
@@ -75,8 +110,10 @@ class Publication:
             raise ValueError(f"{final} is not under {self.root}")
         return f"{self.folder}/new/{final[len(self.root) + 1 :]}"
 
-    def write(self, df: DataFrame, final: str) -> None:
-        df.write.mode("overwrite").parquet(self.path(final))
+    def write(self, df: DataFrame, final: str, time: str | None = None) -> None:
+        """Writes a table, in months of ``time`` if it is given."""
+        writer = df.write if time is None else by_month(df, time)
+        writer.mode("overwrite").parquet(self.path(final))
         self.note(final)
 
     def note(self, final: str) -> None:
@@ -145,6 +182,58 @@ def publication(spark: SparkSession, root: str) -> Iterator[Publication]:
             drop_stages(spark, made)
 
 
+@dataclass(frozen=True)
+class BucketedStore:
+    """A table at ``path`` in buckets of a text key, sorted by it: one key reads one bucket, and a join on the
+    key moves only the other side. ``key`` is the text of the column that it was made from."""
+
+    path: str
+    buckets: int
+    KEY = "lookup_key"
+
+    def save(self, df: DataFrame, column: str) -> None:
+        """Stores ``df``; replaces what is at the path. Rows with a null key are kept but never found."""
+        name = f"store_{uuid.uuid4().hex}"
+        keyed = df.withColumn(self.KEY, F.col(column).cast("string")).repartition(self.buckets, self.KEY)
+        writer = keyed.write.mode("overwrite").option("path", f"{self.path}/rows").bucketBy(self.buckets, self.KEY)
+        writer.sortBy(self.KEY).saveAsTable(name)
+        df.sparkSession.sql(f"DROP TABLE {name}")  # the entry; the rows stay
+        layout = df.sparkSession.createDataFrame([(self.buckets, keyed.schema.json())], "buckets int, schema string")
+        layout.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/layout")
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> BucketedStore:
+        return BucketedStore(path, spark.read.parquet(f"{path}/layout").first()["buckets"])
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """All rows, as a table that knows its buckets, under an entry of this session made from the path."""
+        name = f"store_{hashlib.md5(self.path.encode()).hexdigest()}"
+        fields = StructType.fromJson(json.loads(spark.read.parquet(f"{self.path}/layout").first()["schema"]))
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({self.KEY}) SORTED BY ({self.KEY})"
+            f" INTO {self.buckets} BUCKETS LOCATION '{self.path}/rows'"
+        )
+        return spark.table(name)
+
+    def one(self, spark: SparkSession, key: str) -> DataFrame:
+        """The rows of one key, from its bucket alone."""
+        return self.rows(spark).where(F.col(self.KEY) == key).drop(self.KEY)
+
+    def many(self, keys: DataFrame, column: str) -> DataFrame:
+        """Each row of ``keys`` with what is stored under its ``column``, and ``found``; ids compare as text.
+
+        Columns of ``keys`` win over stored ones of the same name. Only ``keys`` are shuffled.
+        """
+        stored = self.rows(keys.sparkSession)
+        kept = [c for c in stored.columns if c not in keys.columns or c == self.KEY]
+        stored = stored.select(*kept, F.lit(True).alias("_found"))
+        wanted = keys.withColumn(self.KEY, F.col(column).cast("string"))
+        joined = wanted.hint("shuffle_merge").join(stored, self.KEY, "left")
+        return joined.withColumn("found", F.coalesce("_found", F.lit(False))).drop(self.KEY, "_found")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 

@@ -125,6 +125,8 @@ def test_modelling_jobs(spark, zones):
     some = result.clients.first()["client_id"]
     found = jobs.find_clients(spark, zones, spark.createDataFrame([(some,), ("CHK-x",)], "client_id string"))
     assert sorted(r["found"] for r in found.collect()) == [False, True]
+    assert [r["client_id"] for r in jobs.find_client(spark, zones, some).collect()] == [some]
+    assert jobs.find_client(spark, zones, "CHK-none").count() == 0
     model = jobs.load_model(spark, zones)
     assert model.score(result.clients.select("client_id", *model.required)).count() == base.count()
 
@@ -243,3 +245,47 @@ def test_clients_by_score_and_range_marks(spark, zones):
     far = quality["client", "birth_ts"]["n_out_of_range"]
     assert far == trusted(spark, zones, "client").where("birth_ts_out_of_range").count()
     assert all(r["ok"] and r["errors"] == [] for r in quality.values())
+
+
+def files_read(plan):
+    """Files that the scans of a finished run opened, from their metrics."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return files_read(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return files_read(plan.plan())
+    own = plan.metrics().apply("numFiles").value() if plan.metrics().contains("numFiles") else 0
+    children = plan.children()
+    return own + sum(files_read(children.apply(i)) for i in range(children.size()))
+
+
+def test_months_outside_the_bounds_are_not_read(spark, tmp_path):
+    from pilotlab.sources.tables import replace_months, within
+
+    path = str(tmp_path / "events")
+    day = F.expr("TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(CAST(id % 366 AS INT))")
+    events = spark.range(3000).select("id", F.when(F.col("id") % 100 != 7, day).alias("ts"))
+    replace_months(events, path, "ts")
+    stored = spark.read.parquet(path)
+    assert stored.count() == 3000 and stored.where("month IS NULL").count() == 30
+    start = stored.agg(F.max("ts")).select(F.expr("`max(ts)` - INTERVAL '40' DAY").alias("b")).scalar()
+    part = within(stored, "ts", start, F.lit("2020-12-20 00:00:00").cast("timestamp_ntz"))
+    expected = {r["id"] for r in events.where("ts >= '2020-11-21' AND ts < '2020-12-20'").collect()}
+    assert {r["id"] for r in part.collect()} == expected
+    whole = stored.where("ts >= '2020-11-21'")
+    whole.collect()
+    few, every = (files_read(df._jdf.queryExecution().executedPlan()) for df in (part, whole))
+    assert 0 < few <= every / 4
+    # Only the months of the new rows are replaced.
+    replace_months(spark.createDataFrame([(-1,)], "id long").select("id", F.lit("2020-03-05 00:00:00").cast("timestamp_ntz").alias("ts")), path, "ts")
+    again = spark.read.parquet(path)
+    assert again.where("month = '2020-03'").count() == 1
+    assert again.where("month <> '2020-03' OR month IS NULL").count() == stored.where("month <> '2020-03' OR month IS NULL").count()
+    ordered = [r["ts"] for r in spark.read.parquet(f"{path}/month=2020-05").collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_the_trusted_zone_lies_in_months(spark, zones):
+    tx = read_table(spark, zones.table("trusted", "transacciones"))
+    assert "month" in tx.columns
+    assert tx.where("month <> date_format(fecha, 'yyyy-MM')").count() == 0

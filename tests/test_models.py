@@ -11,7 +11,8 @@ from pilotlab.operators import cluster, ranking, ridge
 from pilotlab.operators.features import FeatureColumns, fit_features, with_features
 from pilotlab.plans import effect_model, segment_model
 from pilotlab.plans.spec import EFFECT_BOOLEAN, EFFECT_NUMERIC, SEGMENT_NUMERIC
-from pilotlab.streaming.scoring import request_stream, start_scoring
+from pilotlab.sources.tables import BucketedStore
+from pilotlab.streaming.scoring import batch_writer, request_stream, scored, start_scoring
 
 
 @pytest.fixture(scope="module")
@@ -270,8 +271,7 @@ def test_scoring(spark, clients, segmentation, tmp_path):
     (requests / "a.json").write_text("\n".join([*lines, json.dumps(body)]))
     unreadable = [json.dumps(body | {"age_years": v}) for v in ("abc", {"x": 1}, True)]
     (requests / "b.json").write_text("\n".join([incomplete, "no json", "[1]", *unreadable]))
-    for query in start_scoring(request_stream(spark, str(requests)), model, str(tmp_path / "out"), str(tmp_path / "cp")):
-        query.awaitTermination()
+    start_scoring(request_stream(spark, str(requests)), model, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     scored = spark.read.parquet(str(tmp_path / "out" / "scored"))
     assert scored.count() == len(lines) + 1
     expected = sorted((r["cluster_id"], r["segment"], r["priority_score"]) for r in before)
@@ -283,11 +283,70 @@ def test_scoring(spark, clients, segmentation, tmp_path):
 
     # Files that arrive later are scored by the next run, earlier ones are not scored again.
     (requests / "c.json").write_text(lines[0])
-    for query in start_scoring(request_stream(spark, str(requests)), model, str(tmp_path / "out"), str(tmp_path / "cp")):
-        query.awaitTermination()
+    start_scoring(request_stream(spark, str(requests)), model, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "scored")).count() == len(lines) + 2
 
 
+def test_a_batch_that_runs_again_changes_nothing(spark, clients, segmentation, tmp_path):
+    """Both writers of a batch are run twice, and once more after the second one failed."""
+    model, out = segmentation.model, str(tmp_path / "out")
+    lines = [(json.dumps(r.asDict()),) for r in clients.orderBy("client_id").limit(20).collect()] + [("no json",)]
+    batch = spark.createDataFrame(lines, "value string")
+    other = spark.createDataFrame(lines[:3], "value string")
+    write = batch_writer(model, out)
+    write(batch, 0)
+    write(other, 1)
+    rows = lambda name: sorted(map(str, scored(spark, out, name).collect()))
+    before = rows("scored"), rows("rejected")
+    assert (len(before[0]), len(before[1])) == (23, 1)
+    write(batch, 0)
+    assert (rows("scored"), rows("rejected")) == before
+    # The run that fails between the two tables is repeated under its own number.
+    spark.createDataFrame([(1,)], "x int").write.mode("overwrite").parquet(f"{out}/scored/batch=1")
+    write(other, 1)
+    assert (rows("scored"), rows("rejected")) == before
+
+
+def test_requests_are_parsed_once(spark, clients, segmentation, tmp_path):
+    """Rows that the source gives out, counted over both tables of a batch."""
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    lines = [(json.dumps(r.asDict()),) for r in clients.limit(30).collect()]
+    batch = spark.createDataFrame(lines, "value string").mapInArrow(counted, "value string")
+    batch_writer(segmentation.model, str(tmp_path / "out"))(batch, 0)
+    assert counter.value == 30
+
+
+def test_bucketed_store(spark, clients, tmp_path):
+    store = BucketedStore(str(tmp_path / "store"), 8)
+    store.save(clients, "client_id")
+    store.save(clients.withColumn("city", F.lit("new")), "client_id")
+    store = BucketedStore.open(spark, str(tmp_path / "store"))
+    one = store.one(spark, "17")
+    assert [(r["client_id"], r["city"]) for r in one.collect()] == [(17, "new")]
+    wanted = spark.createDataFrame([("5", 1), ("5", 2), ("none", 3), (None, 4)], "client_id string, place int")
+    found = store.many(wanted, "client_id")
+    rows = {r["place"]: r for r in found.collect()}
+    assert [rows[i]["found"] for i in (1, 2, 3, 4)] == [True, True, False, False] and rows[1]["age_years"] is not None
+    # The stored side has no exchange above its scan.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in final
+    # One key reads one bucket: the others are spoilt, and only reading all of them fails.
+    home = one.select(F.input_file_name()).first()[0].rsplit("/", 1)[1]
+    for file in (tmp_path / "store" / "rows").glob("part-*"):
+        if file.name != home:
+            file.write_bytes(b"spoilt")
+    assert store.one(spark, "17").count() == 1
+    with pytest.raises(Exception, match="spoilt|CANNOT_READ|FAILED_READ|not a Parquet|footer"):
+        store.rows(spark).agg(F.sum("age_years")).collect()
+
+
 def test_lookup(spark, segmentation):
     wanted = spark.createDataFrame([("5",), ("none",)], "client_id string")
     rows = {r["client_id"]: r for r in segment_model.lookup_clients(wanted, segmentation.clients).collect()}
