@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import balance, ridge, tests
 from ..operators.features import FeatureColumns, fit_features, with_features
 from ..plans import effect_base as eb
-from ..plans import effect_model, spec
+from ..plans import activity, effect_model, spec
 from ..plans.events import valid_transactions
 from ..sources.tables import cut_lineage
 from .common import COHORT, EFFECT, EFFECT_BASE, VIEWS, load, micros, rounded, trusted
@@ -88,6 +88,38 @@ _SQL_BASE = f"""{EFFECT_BASE} SELECT client_id, treated, epoch_us(t0) AS t0_us,
   n_contacts, round(response_rate, 6) AS response_rate, has_active_virtual, virtual_card_days, id_valid FROM base"""
 
 
+_LENGTHS = [30, 45, 60, 90, 120]
+
+
+def _bases(spark: SparkSession, sf: str) -> DataFrame:
+    return activity.effect_bases(*trusted(spark, sf), _LENGTHS, EFFECT)
+
+
+def causal_base_from_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The causal table once more, by way of the daily sums that serve every window length."""
+    digits = {"y_amount": 2, "amount_pre": 2, "age_years": 6, "cash_share_pre": 6, "response_rate": 6}
+    base = _bases(spark, sf).where("window_days = 60").drop("window_days")
+    return rounded(base, digits).withColumn("t0_us", micros("t0")).drop("t0")
+
+
+def outcomes_by_window(spark: SparkSession, sf: str) -> DataFrame:
+    found = activity.outcomes_by_window(_bases(spark, sf))
+    return rounded(found.withColumn("window_days", F.col("window_days").cast("bigint")), {"y_frequency": 6, "y_amount": 4})
+
+
+def _of_length(days: int) -> str:
+    """The oracle's causal table for another window length."""
+    text = EFFECT_BASE.replace("day >= -60", f"day >= -{days}").replace("day < 60", f"day < {days}")
+    return text.replace("INTERVAL 60 DAY", f"INTERVAL {days} DAY")
+
+
+_SQL_BY_WINDOW = "\nUNION ALL ".join(
+    f"""(SELECT CAST({d} AS BIGINT) AS window_days, treated, count(*) AS n, round(avg(y_frequency), 6) AS y_frequency,
+  round(avg(y_amount), 4) AS y_amount FROM ({_of_length(d)} SELECT * FROM base) GROUP BY treated)"""
+    for d in _LENGTHS
+)
+
+
 def signed_amount_by_client(spark: SparkSession, sf: str) -> DataFrame:
     tx = valid_transactions(trusted(spark, sf)[2])
     return tx.groupBy("client_id").agg(
@@ -324,6 +356,8 @@ QUERIES = {
     "window_sensitivity": (window_sensitivity, _SQL_WINDOWS),
     "pre_post_deltas": (pre_post_deltas, _SQL_DELTAS),
     "causal_base": (causal_base, _SQL_BASE),
+    "causal_base_from_days": (causal_base_from_days, _SQL_BASE),
+    "outcomes_by_window": (outcomes_by_window, _SQL_BY_WINDOW),
     "signed_amount_by_client": (signed_amount_by_client, f"""{VIEWS} SELECT client_id, count(*) AS n,
         round(sum(net_amount), 2) AS net_amount, count(DISTINCT tx_type) AS n_types FROM tx GROUP BY client_id"""),
     "covariate_balance": (covariate_balance, _balance_sql()),

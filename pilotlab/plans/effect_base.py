@@ -72,7 +72,7 @@ def data_range(tx: DataFrame) -> DataFrame:
     )
 
 
-def _window_fits(days: int, last: Column) -> Column:
+def window_fits(days: int, last: Column) -> Column:
     before = add_days(F.col("t0"), -days) >= F.col("registered_ts")
     after = add_days(F.col("t0"), days) <= last
     return F.coalesce(before & after, F.lit(False))
@@ -83,7 +83,7 @@ def window_sensitivity(cohort: DataFrame, tx: DataFrame, candidates: list[int])
     last = data_range(tx).select("last_ts").scalar()
     counts = cohort.agg(
         F.count("*").alias("n_clients"),
-        *[F.count_if(_window_fits(d, last)).alias(f"d{d}") for d in candidates],
+        *[F.count_if(window_fits(d, last)).alias(f"d{d}") for d in candidates],
     )
     return counts.select(F.inline(F.array(*[
         F.struct(
@@ -125,7 +125,7 @@ def window_aggregates(
     """
     last = data_range(tx).select("last_ts").scalar()
     cohort = anchored_cohort(client, card, contact, spec).withColumn(
-        "window_valid", _window_fits(spec.window_days, last)
+        "window_valid", window_fits(spec.window_days, last)
     )
     if only_valid:
         cohort = cut_lineage(cohort.where("window_valid"))
@@ -169,6 +169,21 @@ def window_aggregates(
     return aggregate_by_key(stream, cohort, "client_id", ["t0"], aggregates, defaults, ev.SPREAD_BY)
 
 
+def outcomes_and_covariates(windows: DataFrame) -> DataFrame:
+    """Adds what follows from the aggregates around the anchor."""
+    t0 = F.col("t0")
+    cash_share = ev.ratio(F.col("n_cash_pre"), F.col("frequency_pre"))
+    return windows.withColumns({
+        "y_frequency": (F.col("frequency_post") - F.col("frequency_pre")).cast("double"),
+        "y_amount": F.col("amount_post") - F.col("amount_pre"),
+        "cash_share_pre": F.coalesce(cash_share, F.lit(0.0)),
+        "age_years": whole_days(F.col("birth_ts"), t0) / DAYS_PER_YEAR,
+        "tenure_days": whole_days(F.col("registered_ts"), t0),
+        "virtual_card_days": F.coalesce(whole_days(F.col("oldest_virtual_ts"), t0), F.lit(0)),
+        "id_valid": ~F.col("flag_invalid_id"),
+    })
+
+
 def effect_base(
     client: DataFrame,
     card: DataFrame,
@@ -177,18 +192,5 @@ def effect_base(
     spec: EffectSpec = EffectSpec(),
 ) -> DataFrame:
     """The eighteen columns of the causal table, for clients with valid windows."""
-    t0 = F.col("t0")
-    cash_share = ev.ratio(F.col("n_cash_pre"), F.col("frequency_pre"))
-    return (
-        window_aggregates(client, card, tx, contact, spec, only_valid=True)
-        .withColumns({
-            "y_frequency": (F.col("frequency_post") - F.col("frequency_pre")).cast("double"),
-            "y_amount": F.col("amount_post") - F.col("amount_pre"),
-            "cash_share_pre": F.coalesce(cash_share, F.lit(0.0)),
-            "age_years": whole_days(F.col("birth_ts"), t0) / DAYS_PER_YEAR,
-            "tenure_days": whole_days(F.col("registered_ts"), t0),
-            "virtual_card_days": F.coalesce(whole_days(F.col("oldest_virtual_ts"), t0), F.lit(0)),
-            "id_valid": ~F.col("flag_invalid_id"),
-        })
-        .select(*EFFECT_COLUMNS)
-    )
+    windows = window_aggregates(client, card, tx, contact, spec, only_valid=True)
+    return outcomes_and_covariates(windows).select(*EFFECT_COLUMNS)

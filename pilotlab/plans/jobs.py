@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import bindings
 from ..sources.tables import BucketedStore, Publication, Zones, cut_lineage, publication, read_table
+from . import activity
 from . import effect_base as eb
 from . import segment_base as sb
 from .effect_model import EffectResult, measure_effect
@@ -47,15 +48,20 @@ def build_effect_base(
     spark: SparkSession, zones: Zones, spec: EffectSpec = EffectSpec(),
     window_candidates: tuple[int, ...] = WINDOW_CANDIDATES,
 ) -> None:
-    """Stores the causal table, the sizes of cohort and arms, and how many windows of each length fit."""
+    """Stores the causal table, the sizes of cohort and arms, how many windows of each length fit, and the mean
+    outcomes by length. The tables of all lengths come from one pass over the transactions."""
     with publication(spark, zones.root) as out:
         client, card, tx, contact = _four(spark, zones)
         cohort = eb.pilot_cohort(client, contact, spec.campaign)
         arms = cut_lineage(eb.with_arms(cohort, eb.first_activation(card, spec.labels.physical)))
         out.write(eb.arm_sizes(arms), zones.table("reports", "cohort_sizes"))
-        windows = eb.window_sensitivity(eb.anchored(arms), tx, sorted({*window_candidates, spec.window_days}))
+        lengths = sorted({*window_candidates, spec.window_days})
+        windows = eb.window_sensitivity(eb.anchored(arms), tx, lengths)
         out.write(windows, zones.table("reports", "window_sensitivity"))
-        _store(out, eb.effect_base(client, card, tx, contact, spec), zones, EFFECT_BASE, "effect_base")
+        bases = cut_lineage(activity.effect_bases(client, card, tx, contact, lengths, spec))
+        out.write(activity.outcomes_by_window(bases), zones.table("reports", "outcomes_by_window"))
+        base = bases.where(F.col("window_days") == spec.window_days).drop("window_days")
+        _store(out, base, zones, EFFECT_BASE, "effect_base")
 
 
 def run_effect(spark: SparkSession, zones: Zones, replicates: int = 2_000, seed: int = 42) -> EffectResult:

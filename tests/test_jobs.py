@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pilotlab.functions.dates import ntz
 from pilotlab.plans import cleaning, jobs
+from pilotlab.plans import effect_base as eb
 from pilotlab.plans.spec import EffectSpec
 from pilotlab.sources import bindings, testviews
 from pilotlab.sources.tables import Zones, read_table
@@ -137,6 +138,12 @@ def test_modelling_jobs(spark, zones):
     assert sizes["cohort"] == sizes["active_before"] + sizes["treated"] + sizes["control"]
     windows = {r["window_days"]: r for r in read_table(spark, zones.table("reports", "window_sensitivity")).collect()}
     assert windows[60]["n_valid"] == effect.count() and windows[60]["n_clients"] == sizes["treated"] + sizes["control"]
+    direct = eb.effect_base(*(trusted(spark, zones, t) for t in ("client", "card", "tx", "contact")), EffectSpec())
+    plain = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert plain(bindings.to_package_names(effect, "effect_base")) == plain(direct)
+    by_length = read_table(spark, zones.table("reports", "outcomes_by_window")).collect()
+    for days, row in windows.items():
+        assert sum(r["n"] for r in by_length if r["window_days"] == days) == row["n_valid"]
     shares = read_table(spark, zones.table("reports", "segment_distribution")).collect()
     assert sum(r["n"] for r in shares) == base.count()
 
