@@ -232,7 +232,7 @@ def planted_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 def planted_centers(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes and means of the known clusters in the features' own units."""
-    return rounded(sm.segment_clients(_planted(spark, sf), (PLANTED,)).profile(), {c: 4 for c in SEGMENT_NUMERIC})
+    return rounded(sm.segment_clients(_planted(spark, sf), (PLANTED,)).profile(), {c: 6 for c in SEGMENT_NUMERIC})
 
 
 def planted_scoring(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,7 +262,7 @@ _SQL_PLANTED = f"{_planted_sql('true')} SELECT {_LABELLED}"
 _SQL_PLANTED_NEW = f"""{_planted_sql("acquisition_channel <> 'MACHINERY'")} SELECT {_LABELLED}
 WHERE acquisition_channel = 'MACHINERY'"""
 _SQL_PLANTED_CENTERS = f"""{_planted_sql('true')} SELECT place - 1 AS cluster_id, count(*) AS n,
-  {', '.join(f'round(avg({c}), 4) AS {c}' for c in SEGMENT_NUMERIC)} FROM planted JOIN places USING (g) GROUP BY place"""
+  {', '.join(f'round(avg({c}), 6) AS {c}' for c in SEGMENT_NUMERIC)} FROM planted JOIN places USING (g) GROUP BY place"""
 # Sums of squared distances to a cluster follow from its size, its sums and its squared lengths.
 _SQL_PLANTED_CHOICE = f"""{_planted_sql('true')},
 levels AS (SELECT 'c=' || city AS j FROM (SELECT DISTINCT city FROM planted) QUALIFY row_number() OVER (ORDER BY city) > 1

@@ -85,17 +85,18 @@ def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.n
     return np.array(chosen)
 
 
-def _settled(sample: np.ndarray, centers: np.ndarray, rounds: int = 30) -> np.ndarray:
+def _settled(sample: np.ndarray, centers: np.ndarray, limit: float, rounds: int) -> np.ndarray:
     """Centres after rounds over the sample alone, which save rounds over all rows."""
     for _ in range(rounds):
         nearest = _squared_distances(sample, centers).argmin(axis=1)
-        counts = np.bincount(nearest, minlength=len(centers))
-        sums = np.zeros_like(centers)
-        np.add.at(sums, nearest, sample)
-        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
-        if np.array_equal(moved, centers):
-            break
+        own = np.zeros((len(centers), len(sample)))
+        own[nearest, np.arange(len(sample))] = 1.0
+        counts = own.sum(axis=1)
+        moved = np.where(counts[:, None] > 0, own @ sample / np.maximum(counts, 1)[:, None], centers)
+        settled = ((moved - centers) ** 2).sum() <= limit
         centers = moved
+        if settled:
+            break
     return centers
 
 
@@ -135,8 +136,9 @@ def best_kmeans(
         raise ValueError("there are no rows to cluster")
     sample = np.array(rows, dtype=float).reshape(len(rows), -1)
     jobs = [(k, start) for k in candidates for start in range(starts)]
-    centers = [_settled(sample, _first_centers(sample, k, np.random.default_rng([seed, k, start]))) for k, start in jobs]
     limit = TOLERANCE * float(sample.var(axis=0).mean())
+    draws = [np.random.default_rng([seed, k, start]) for k, start in jobs]
+    centers = [_settled(sample, _first_centers(sample, k, rng), limit, max_iter) for (k, _), rng in zip(jobs, draws)]
     moving, costs = list(range(len(jobs))), [0.0] * len(jobs)
     for _ in range(max_iter):
         still = []
