@@ -34,6 +34,10 @@ def canonical(df: pd.DataFrame) -> list[tuple[str, ...]]:
 def differences(spark_df: pd.DataFrame, oracle_df: pd.DataFrame) -> str | None:
     if sorted(spark_df.columns) != sorted(oracle_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(oracle_df.columns)}"
+    for c in oracle_df.columns:
+        # Whole numbers with nulls come from Spark as floats.
+        if str(oracle_df[c].dtype) == "Int64" and spark_df[c].dtype.kind == "f":
+            spark_df = spark_df.assign(**{c: spark_df[c].astype("Int64")})
     if len(spark_df) != len(oracle_df):
         return f"rows {len(spark_df)} != {len(oracle_df)}"
     kinds = [(c, spark_df[c].dtype.kind, oracle_df[c].dtype.kind) for c in spark_df.columns]
