@@ -461,10 +461,11 @@ _SQL_EXCLUSION = f"{_FLAWED} " + "\nUNION ALL ".join([
 
 
 def trusted_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows and flagged rows of the flagged views."""
-    client, card, tx, contact = trusted(spark, sf)
+    """Rows and flagged rows of the views with flaws."""
+    views = flawed_views(spark, sf)
+    views["client"] = trusted(spark, sf)[0]
     out = None
-    for name, df in (("client", client), ("card", card), ("tx", tx), ("contact", contact)):
+    for name, df in views.items():
         flagged = F.lit(False)
         for c in df.columns:
             if c.startswith("flag_"):
@@ -476,10 +477,11 @@ def trusted_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-_SQL_TRUSTED = f"""{VIEWS}
+_SQL_TRUSTED = f"""{_FLAWED}
 SELECT 'client' AS "table", count(*) AS n, count(*) FILTER (flag_minor OR flag_invalid_id) AS n_flagged FROM client
 UNION ALL SELECT 'card', count(*), count(*) FILTER (flag_activation_order OR flag_orphan_client) FROM card
-UNION ALL SELECT 'tx', count(*), 0 FROM tx UNION ALL SELECT 'contact', count(*), 0 FROM contact"""
+UNION ALL SELECT 'tx', count(*), count(*) FILTER (flag_orphan_client OR flag_future OR flag_orphan_merchant) FROM tx
+UNION ALL SELECT 'contact', count(*), count(*) FILTER (flag_orphan_client OR flag_future) FROM contact"""
 
 QUERIES = {
     "dedup_exact": (dedup_exact, """SELECT DISTINCT * EXCLUDE (l_shipdate), epoch_us(l_shipdate) AS shipped_us

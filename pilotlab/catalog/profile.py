@@ -147,6 +147,17 @@ def first_validity_by_key(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def first_city_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """City of the client registered first under each shared id. Cities differ within an id, and days tie."""
+    clients = tv.view(spark, sf, "client").withColumn("national_id", F.expr("CAST(client_id % 40 AS STRING)"))
+    clients = clients.withColumn("registered_month", F.date_trunc("month", "registered_ts"))
+    return profile.first_by_key(clients, "national_id", F.col("city"), "registered_month")
+
+
+_SQL_FIRST_CITY = f"""SELECT CAST(client_id % 40 AS VARCHAR) AS national_id,
+  first(city ORDER BY date_trunc('month', registered_ts), city) AS first_value FROM {tv.oracle('client')} GROUP BY 1"""
+
+
 _SQL_FIRST = f"""SELECT national_id, {CHECK_DIGIT} AS first_value
 FROM (SELECT DISTINCT CAST(1710000000 + (c_custkey % 400) * 97 AS VARCHAR) AS national_id FROM customer)"""
 
@@ -272,6 +283,7 @@ QUERIES = {
         round(avg(CASE WHEN responded IS NULL THEN 100.0 ELSE 0.0 END), 6) AS pct_null
         FROM {tv.oracle('contact')} GROUP BY campaign"""),
     "key_check": (key_check, _SQL_KEYS),
+    "first_city_by_key": (first_city_by_key, _SQL_FIRST_CITY),
     "first_validity_by_key": (first_validity_by_key, _SQL_FIRST),
     "fk_report": (fk_report, _SQL_FK),
     "mix_by_group": (mix_by_group, _SQL_MIX),

@@ -140,8 +140,9 @@ def key_check(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_by_key(df: DataFrame, key: str, value: Column, order_by: str) -> DataFrame:
-    """First ``value`` per key by ``order_by``; the key itself may repeat."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, order_by).alias("first_value"))
+    """First ``value`` per key by ``order_by``, the least one (null first) on ties; the key itself may repeat."""
+    place = F.struct(F.col(order_by), value.alias("value"))
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(value, place).alias("first_value"))
 
 
 def foreign_key_report(relations: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
