@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import id_is_valid
 from ..operators import ordering, profile
+from ..operators.skew import spread_join
 from ..sources import testviews as tv
 from .common import CHECK_DIGIT, load, micros, rounded
 
@@ -228,7 +229,8 @@ def describe_sql(source: str, columns: list[str], digits: int = 4) -> str:
 
 
 def mode_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    events = tv.view(spark, sf, "tx").join(tv.view(spark, sf, "client").select("client_id", "city"), "client_id")
+    clients = tv.view(spark, sf, "client").select("client_id", "city")
+    events = spread_join(tv.view(spark, sf, "tx"), clients, "client_id", ["l_orderkey", "l_linenumber"], "inner")
     return profile.mode_by_group(events, "city", "tx_type")
 
 
