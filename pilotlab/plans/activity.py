@@ -79,7 +79,7 @@ def effect_bases(
     which do not depend on the length, once.
     """
     longest = max(lengths)
-    last = eb.data_range(tx).select("last_ts").scalar()
+    last = ev.last_transaction(tx)
     anchored = eb.anchored_cohort(client, card, contact, spec)
     fits = [F.when(eb.window_fits(d, last), F.lit(d)) for d in lengths]
     cohort = cut_lineage(anchored.withColumn("_windows", F.array_compact(F.array(*fits))).where(F.size("_windows") > 0))

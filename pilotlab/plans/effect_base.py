@@ -80,7 +80,7 @@ def window_fits(days: int, last: Column) -> Column:
 
 def window_sensitivity(cohort: DataFrame, tx: DataFrame, candidates: list[int]) -> DataFrame:
     """Clients whose windows before and after the anchor fit, per window length, in one aggregate."""
-    last = data_range(tx).select("last_ts").scalar()
+    last = ev.last_transaction(tx)
     counts = cohort.agg(
         F.count("*").alias("n_clients"),
         *[F.count_if(window_fits(d, last)).alias(f"d{d}") for d in candidates],
@@ -123,7 +123,7 @@ def window_aggregates(
 
     For the latter the anchors bound the times of the events that are read.
     """
-    last = data_range(tx).select("last_ts").scalar()
+    last = ev.last_transaction(tx)
     cohort = anchored_cohort(client, card, contact, spec).withColumn(
         "window_valid", window_fits(spec.window_days, last)
     )

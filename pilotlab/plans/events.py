@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import newest
+
 TX, CONTACT, CARD = "tx", "contact", "card"
 
 
@@ -28,6 +30,11 @@ def valid_transactions(tx: DataFrame) -> DataFrame:
     )
 
 
+def last_transaction(tx: DataFrame) -> Column:
+    """Time of the last valid transaction, as a literal. It runs two jobs, see ``newest``."""
+    return newest(valid(tx, "flag_orphan_client", "flag_future"), "ts", ["ts", "amount"])
+
+
 def valid_contacts(contact: DataFrame) -> DataFrame:
     return valid(contact, "flag_orphan_client", "flag_future")
 

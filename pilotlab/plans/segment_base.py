@@ -17,14 +17,13 @@ DAYS_PER_YEAR = 365.25
 
 
 def today(tx: DataFrame) -> Column:
-    """Reference date: the last valid transaction, as a scalar subquery."""
-    return ev.valid(tx, "flag_orphan_client", "flag_future").agg(F.max("ts")).scalar()
+    """Reference date: the last valid transaction, found once and used as a literal."""
+    return ev.last_transaction(tx)
 
 
-def horizon(tx: DataFrame, spec: SegmentSpec) -> Column:
-    """Start of the longest possible window. As a bare scalar subquery it is pushed into the scans."""
-    last = ev.valid(tx, "flag_orphan_client", "flag_future").agg(F.max("ts").alias("last"))
-    return last.select(add_days(F.col("last"), -spec.window_days)).scalar()
+def horizon(now: Column, spec: SegmentSpec) -> Column:
+    """Start of the longest possible window. As a literal it is pushed into the scans."""
+    return add_days(now, -spec.window_days)
 
 
 def exclusions(card: DataFrame, tx: DataFrame, contact: DataFrame) -> DataFrame:
@@ -63,10 +62,11 @@ def eligibility_counts(
 
 
 def eligible_clients(
-    client: DataFrame, card: DataFrame, tx: DataFrame, spec: SegmentSpec = SegmentSpec()
+    client: DataFrame, card: DataFrame, tx: DataFrame, spec: SegmentSpec = SegmentSpec(), now: Column | None = None
 ) -> DataFrame:
-    """Eligible clients with the start and length of their observation window."""
-    now = today(tx)
+    """Eligible clients with the start and length of their observation window, which ends ``today`` if no
+    ``now`` is given."""
+    now = today(tx) if now is None else now
     marked = _marked_clients(client, card, now, spec)
     start = F.greatest(F.col("registered_ts"), add_days(now, -spec.window_days))
     return (
@@ -97,8 +97,8 @@ def segment_base(
 ) -> DataFrame:
     """One row per eligible client with its monthly rates and card state."""
     now = today(tx)
-    eligible = eligible_clients(client, card, tx, spec)
-    start = horizon(tx, spec)
+    eligible = eligible_clients(client, card, tx, spec, now)
+    start = horizon(now, spec)
     virtual = ev.valid(card, "flag_orphan_client", "flag_activation_order").where(
         F.col("card_type") == spec.labels.virtual
     )
@@ -158,8 +158,9 @@ def transaction_rates(
     client: DataFrame, card: DataFrame, tx: DataFrame, spec: SegmentSpec = SegmentSpec()
 ) -> DataFrame:
     """Monthly frequency and net amount per eligible client, from transactions alone."""
-    eligible = eligible_clients(client, card, tx, spec)
-    stream = ev.client_events(within(ev.valid_transactions(tx), "ts", horizon(tx, spec)))
+    now = today(tx)
+    eligible = eligible_clients(client, card, tx, spec, now)
+    stream = ev.client_events(within(ev.valid_transactions(tx), "ts", horizon(now, spec)))
     hit = (F.col("kind") == ev.TX) & (F.col("at") >= F.col("window_start"))
     aggregates = {
         "n_transactions": F.count_if(hit),

@@ -37,3 +37,32 @@ def test_anchors_bound_the_events_that_are_read(spark):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     scans = [line for line in plan.splitlines() if "FileScan" in line and "net_amount" not in line and ",ts#" in line]
     assert [s for s in scans if re.search(r"ts#\d+ >= Sub", s)], scans[0]
+
+
+def test_the_newest_row_is_exact_wherever_the_probe_ends(spark):
+    from pyspark.sql import functions as F
+
+    from pilotlab.operators.ordering import newest
+
+    def latest(rows):
+        return rows.limit(1).select(newest(rows, "ts", ["ts", "amount"]).cast("string")).first()
+
+    start = F.lit("2001-01-01").cast("timestamp_ntz")
+    rows = spark.range(50_000).select(
+        (start + F.make_dt_interval(secs=F.expr("id * 7919 % 50000 + 0.000001BD"))).alias("ts"), (F.col("id") % 90.0).alias("amount")
+    )
+    assert latest(rows)[0] == "2001-01-01 13:53:19.000001"
+    # The last rows are not valid, or hardly any row is there to be probed, or none.
+    assert latest(rows.where("ts < '2001-01-01 00:00:02'"))[0] == "2001-01-01 00:00:01.000001"
+    assert newest(rows.limit(0), "ts", ["ts"])._jc.toString().startswith("CAST(NULL")
+
+
+def test_no_scan_of_the_transactions_is_unbounded_when_the_segmentation_table_is_made(spark):
+    client, card, tx, contact = (cut_lineage(t) for t in common.trusted(spark, SF))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = segment_base.segment_features(client, card, tx, contact, common.SEGMENT)._jdf.queryExecution().executedPlan().toString()
+    rates = segment_base.transaction_rates(client, card, tx, common.SEGMENT)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for text in (plan, rates):
+        scans = [line for line in text.splitlines() if "FileScan" in line and re.search(r"\bts#", line)]
+        assert scans and all(re.search(r"GreaterThanOrEqual\(ts,\d", s) for s in scans), scans
