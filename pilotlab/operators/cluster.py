@@ -1,7 +1,8 @@
 """K-means with several starts, silhouettes and the choice of the number of clusters.
 
 All starts of all candidates advance together: a round is one pass in which every task multiplies its
-rows with the stacked centres of the starts that still move and passes on a sum per centre.
+rows with the stacked centres of the starts that still move and passes on a sum per centre. The rows are
+packed once into blocks of bytes, which the rounds read as they are.
 """
 
 from __future__ import annotations
@@ -32,15 +33,29 @@ def _points(df: DataFrame, features: str) -> DataFrame:
     return df.select(vector_to_array(features).alias("x"))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _blocks(points: DataFrame) -> DataFrame:
+    """The rows as ``block``s, plain bytes of up to ``ROWS_AT_ONCE`` rows, for passes that multiply them all."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                values = batch.column(0).slice(first, ROWS_AT_ONCE).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([values.astype("<f8").tobytes()], pa.binary())], ["block"])
+
+    return points.mapInArrow(pack, "block binary")
+
+
+def _matrices(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for block in batch.column(0):
+            yield np.frombuffer(block.as_buffer(), "<f8").reshape(-1, width)
 
 
 def _squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1), 0.0)
 
 
-def _gathered(points: DataFrame, stacks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+def _gathered(blocks: DataFrame, stacks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
     """For each stack of centres: rows, sums of rows and sums of squared lengths of the rows nearest to each
     centre (the first on ties), and the sum of their squared distances."""
     width, bounds = stacks[0].shape[1], np.cumsum([0, *map(len, stacks)])
@@ -49,22 +64,20 @@ def _gathered(points: DataFrame, stacks: list[np.ndarray]) -> list[tuple[np.ndar
     def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Columns: features, rows, squared lengths, squared distances.
         total = np.zeros((len(centers), width + 3))
-        for batch in batches:
-            for first in range(0, len(batch), ROWS_AT_ONCE):
-                x = _matrix(batch.column(0).slice(first, ROWS_AT_ONCE), width)
-                distance = _squared_distances(x, centers)
-                nearest = np.stack([low + distance[:, low:high].argmin(axis=1) for low, high in zip(bounds, bounds[1:])], axis=1)
-                own = np.zeros(distance.shape)
-                np.put_along_axis(own, nearest, 1.0, axis=1)
-                total[:, :width] += own.T @ x
-                total[:, width] += own.sum(axis=0)
-                total[:, width + 1] += own.T @ (x * x).sum(axis=1)
-                total[:, width + 2] += (own * distance).sum(axis=0)
+        for x in _matrices(batches, width):
+            distance = _squared_distances(x, centers)
+            nearest = np.stack([low + distance[:, low:high].argmin(axis=1) for low, high in zip(bounds, bounds[1:])], axis=1)
+            own = np.zeros(distance.shape)
+            np.put_along_axis(own, nearest, 1.0, axis=1)
+            total[:, :width] += own.T @ x
+            total[:, width] += own.sum(axis=0)
+            total[:, width + 1] += own.T @ (x * x).sum(axis=1)
+            total[:, width + 2] += (own * distance).sum(axis=0)
         c, d = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(d, pa.int32()), pa.array(total[c, d])], ["c", "d", "v"])
 
     total = np.zeros((len(centers), width + 3))
-    for r in points.mapInArrow(add_up, "c int, d int, v double").groupBy("c", "d").agg(F.sum("v").alias("v")).collect():
+    for r in blocks.mapInArrow(add_up, "c int, d int, v double").groupBy("c", "d").agg(F.sum("v").alias("v")).collect():
         total[r["c"], r["d"]] = r["v"]
     return [
         (t[:, width], t[:, :width], t[:, width + 1], float(t[:, width + 2].sum()))
@@ -140,18 +153,22 @@ def best_kmeans(
     draws = [np.random.default_rng([seed, k, start]) for k, start in jobs]
     centers = [_settled(sample, _first_centers(sample, k, rng), limit, max_iter) for (k, _), rng in zip(jobs, draws)]
     moving, costs = list(range(len(jobs))), [0.0] * len(jobs)
-    for _ in range(max_iter):
-        still = []
-        for i, (counts, sums, _, cost) in zip(moving, _gathered(points, [centers[i] for i in moving])):
-            moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers[i])
-            if ((moved - centers[i]) ** 2).sum() > limit:
-                still.append(i)
-            centers[i] = moved
-        moving = still
-        if not moving:
-            break
-    for i, (*_, cost) in enumerate(_gathered(points, centers)):
-        costs[i] = cost
+    blocks = _blocks(points).persist()
+    try:
+        for _ in range(max_iter):
+            still = []
+            for i, (counts, sums, _, cost) in zip(moving, _gathered(blocks, [centers[i] for i in moving])):
+                moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers[i])
+                if ((moved - centers[i]) ** 2).sum() > limit:
+                    still.append(i)
+                centers[i] = moved
+            moving = still
+            if not moving:
+                break
+        for i, (*_, cost) in enumerate(_gathered(blocks, centers)):
+            costs[i] = cost
+    finally:
+        blocks.unpersist()
     best: dict[int, Centers] = {}
     for (k, _), points_of, cost in zip(jobs, centers, costs):
         if k not in best or cost < best[k].cost * (1 - 1e-9):
@@ -177,34 +194,32 @@ def silhouettes(df: DataFrame, candidates: dict[int, Centers], features: str = "
     distance to a cluster's rows follows from them, so a second pass adds up the silhouettes of all
     sets. A set with fewer than two clusters that have rows has none; a row alone in its cluster counts as 0.
     """
-    points, keys = _points(df, features), list(candidates)
+    blocks, keys = _blocks(_points(df, features)), list(candidates)
     stacks = [candidates[k].points for k in keys]
-    facts = [(counts, sums, squares) for counts, sums, squares, _ in _gathered(points, stacks)]
+    facts = [(counts, sums, squares) for counts, sums, squares, _ in _gathered(blocks, stacks)]
     width = stacks[0].shape[1]
 
     def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(stacks))
-        for batch in batches:
-            for first in range(0, len(batch), ROWS_AT_ONCE):
-                x = _matrix(batch.column(0).slice(first, ROWS_AT_ONCE), width)
-                length = (x * x).sum(axis=1)[:, None]
-                for s, (centers, (counts, sums, squares)) in enumerate(zip(stacks, facts)):
-                    at = np.arange(len(x)), _squared_distances(x, centers).argmin(axis=1)
-                    # Sums of squared distances to all rows of each cluster.
-                    sums_to = np.maximum(length * counts - 2 * x @ sums.T + squares, 0.0)
-                    inside = sums_to[at] / np.maximum(counts[at[1]] - 1, 1)
-                    other = np.where(counts > 0, sums_to / np.maximum(counts, 1), np.inf)
-                    other[at] = np.inf
-                    outside = other.min(axis=1)
-                    larger = np.maximum(inside, outside)
-                    value = np.where(larger > 0, (outside - inside) / np.where(larger > 0, larger, 1.0), 0.0)
-                    total[s] += value[counts[at[1]] > 1].sum()
+        for x in _matrices(batches, width):
+            length = (x * x).sum(axis=1)[:, None]
+            for s, (centers, (counts, sums, squares)) in enumerate(zip(stacks, facts)):
+                at = np.arange(len(x)), _squared_distances(x, centers).argmin(axis=1)
+                # Sums of squared distances to all rows of each cluster.
+                sums_to = np.maximum(length * counts - 2 * x @ sums.T + squares, 0.0)
+                inside = sums_to[at] / np.maximum(counts[at[1]] - 1, 1)
+                other = np.where(counts > 0, sums_to / np.maximum(counts, 1), np.inf)
+                other[at] = np.inf
+                outside = other.min(axis=1)
+                larger = np.maximum(inside, outside)
+                value = np.where(larger > 0, (outside - inside) / np.where(larger > 0, larger, 1.0), 0.0)
+                total[s] += value[counts[at[1]] > 1].sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stacks)), pa.int32()), pa.array(total)], ["s", "v"])
 
     several = {s for s, (counts, _, _) in enumerate(facts) if (counts > 0).sum() > 1}
     if not several:
         return dict.fromkeys(keys)
-    rows = points.mapInArrow(add_up, "s int, v double").groupBy("s").agg(F.sum("v").alias("v")).collect()
+    rows = blocks.mapInArrow(add_up, "s int, v double").groupBy("s").agg(F.sum("v").alias("v")).collect()
     found = {r["s"]: float(r["v"] / facts[r["s"]][0].sum()) for r in rows}
     return {k: found[s] if s in several else None for s, k in enumerate(keys)}
 

@@ -351,3 +351,12 @@ def test_lookup(spark, segmentation):
     wanted = spark.createDataFrame([("5",), ("none",)], "client_id string")
     rows = {r["client_id"]: r for r in segment_model.lookup_clients(wanted, segmentation.clients).collect()}
     assert rows["5"]["found"] and rows["5"]["segment"] and not rows["none"]["found"]
+
+
+def test_passes_of_kmeans_read_blocks_of_many_rows_kept_in_memory(spark, monkeypatch):
+    df = spark.range(3_000).selectExpr("array(double(id % 3) * 50, double(id) / 3000) AS features")
+    real, seen = cluster._gathered, []
+    monkeypatch.setattr(cluster, "_gathered", lambda rows, stacks: seen.append((rows.count(), rows.is_cached)) or real(rows, stacks))
+    found = cluster.best_kmeans(df, (3,), starts=2)[3]
+    assert sorted(round(x) for x in found.points[:, 0]) == [0, 50, 100]
+    assert all(n < 100 and cached for n, cached in seen)
