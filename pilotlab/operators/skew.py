@@ -80,6 +80,14 @@ def spread_join(
     return cut_events.join(cut_dims, [key, "_slice"], how).drop("_slice")
 
 
+def of_keys(events: DataFrame, dims: DataFrame, key: str) -> DataFrame:
+    """The events of the keys in ``dims``, a stored table. The filter moves below the joins that ``events`` was made
+    by, to the table that has the key, so that those joins move only such rows; up to ``SMALL_DIMS_ROWS`` keys are
+    broadcast."""
+    keys = dims.select(key)
+    return events.join(F.broadcast(keys) if dims.count() <= SMALL_DIMS_ROWS else keys, key, "left_semi")
+
+
 def aggregate_by_key(
     events: DataFrame,
     dims: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_days, whole_days
-from ..operators.skew import aggregate_by_key
+from ..operators.skew import aggregate_by_key, of_keys
 from ..sources.tables import cut_lineage, within
 from . import events as ev
 from .spec import EffectSpec
@@ -127,8 +127,8 @@ def window_aggregates(
     cohort = anchored_cohort(client, card, contact, spec).withColumn(
         "window_valid", window_fits(spec.window_days, last)
     )
+    cohort = cut_lineage(cohort.where("window_valid") if only_valid else cohort)
     if only_valid:
-        cohort = cut_lineage(cohort.where("window_valid"))
         ends = cohort.agg(F.min("t0").alias("first"), F.max("t0").alias("last"))
         # Bare scalar subqueries, which are pushed into the scans.
         start = ends.select(add_days(F.col("first"), -spec.window_days - 1)).scalar()
@@ -136,6 +136,7 @@ def window_aggregates(
         tx = within(tx, "ts", start, end)
         contact = within(contact, "contacted_ts", end=end)
         card = card.where(F.col("issued_ts") < end)
+    tx, contact, card = (of_keys(df, cohort, "client_id") for df in (tx, contact, card))
     # The card state before the anchor uses all virtual cards, flagged ones included.
     stream = ev.client_events(
         ev.valid_transactions(tx), ev.valid_contacts(contact),

@@ -66,3 +66,14 @@ def test_no_scan_of_the_transactions_is_unbounded_when_the_segmentation_table_is
     for text in (plan, rates):
         scans = [line for line in text.splitlines() if "FileScan" in line and re.search(r"\bts#", line)]
         assert scans and all(re.search(r"GreaterThanOrEqual\(ts,\d", s) for s in scans), scans
+
+
+def test_events_of_other_clients_go_before_the_orphan_check(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_DIMS_ROWS", 0)
+    client, card, tx, contact = common.trusted(spark, SF)
+    table = effect_base.window_aggregates(client, card, tx, contact, common.EFFECT)
+    plan = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = [i for i, line in enumerate(plan) if "Join LeftSemi" in line]
+    assert len(semi) >= 3
+    # Joins above the first filter: with the anchors and with the known clients.
+    assert any("Join" in line for line in plan[: semi[0]])
