@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
@@ -20,16 +22,33 @@ MAX_RANKED = 200_000
 PROBED = 1024
 
 
+@contextmanager
+def few_rows_filter_joins(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside let Spark filter the large side of a join by a Bloom filter of the filtered side's keys,
+    whatever the sizes that it expects before the filter. It drops rows before they are shuffled, never matches."""
+    rule = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {f"{rule}enabled": "true", f"{rule}applicationSideScanSizeThreshold": "0", f"{rule}creationSideThreshold": "1PB"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def newest(df: DataFrame, time: str, by: list[str]) -> Column:
     """The exact maximum of ``time``, a timestamp without zone; null without rows. It runs two jobs.
 
     The first takes the maximum of the rows in one of ``PROBED`` parts by a hash of ``by``, which the
     true one cannot be below; the second takes the maximum of all rows from there on. Where ``by`` and
     ``time`` come from one table, both conditions reach its scan, so joins that made ``df`` move few rows
-    of it. The bound is a literal, and so is the result.
+    of it, and few of the tables joined to it. The bound is a literal, and so is the result.
     """
     def latest(rows: DataFrame) -> Column | None:
-        text = rows.agg(F.max(time).cast("string")).first()[0]
+        with few_rows_filter_joins(df.sparkSession):
+            text = rows.agg(F.max(time).cast("string")).first()[0]
         return None if text is None else F.lit(text).cast(df.schema[time].dataType)
 
     bound = latest(df.where(F.pmod(F.xxhash64(*by), F.lit(PROBED)) == 0))

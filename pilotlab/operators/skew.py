@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -39,6 +39,12 @@ def heavy_keys(
     return [(r["item"], -(-r["n"] // rows_per_slice)) for r in counts.collect()]
 
 
+def splits_skewed_joins(spark: SparkSession) -> bool:
+    """Whether Spark itself cuts partitions of a shuffle join that are far larger than the others."""
+    rules = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(r).lower() == "true" for r in rules)
+
+
 def spread_join(
     events: DataFrame,
     dims: DataFrame,

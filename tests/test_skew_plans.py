@@ -1,11 +1,15 @@
 """The modelling tables must not change when every client is treated as a heavy key."""
 
 import re
+from contextlib import contextmanager
 from functools import partial
 
+from pyspark.sql import functions as F
+
 from pilotlab.catalog import common
-from pilotlab.operators import skew
-from pilotlab.plans import effect_base, segment_base
+from pilotlab.operators import flags, ordering, skew
+from pilotlab.operators.ordering import few_rows_filter_joins
+from pilotlab.plans import effect_base, events, segment_base
 from pilotlab.sources.tables import cut_lineage
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +81,60 @@ def test_events_of_other_clients_go_before_the_orphan_check(spark, monkeypatch):
     assert len(semi) >= 3
     # Joins above the first filter: with the anchors and with the known clients.
     assert any("Join" in line for line in plan[: semi[0]])
+
+
+def test_orphan_flags_do_not_run_the_tables_that_they_are_added_to(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_DIMS_ROWS", 0)
+    counted = []
+    monkeypatch.setattr(skew, "heavy_keys", lambda events, *_: counted.append(events) or [])
+    common.trusted(spark, SF)
+    assert not counted
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    common.trusted(spark, SF)
+    spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+    assert len(counted) == 3
+
+
+def test_spark_cuts_the_rows_of_a_heavy_key_when_orphans_are_flagged(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_DIMS_ROWS", 0)
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    key = F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.col("id") % 500)
+    child = spark.range(60_000).select(key.cast("long").alias("k"), "id")
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        out = flags.flag_orphans(child, "k", spark.range(400).toDF("k"), "k", "orphan", True)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert "skew=true" in plan
+    assert len(rows) == 60_000 and all(r["orphan"] == (r["k"] is None or r["k"] >= 400) for r in rows)
+
+
+def test_tables_joined_to_the_newest_rows_are_filtered_before_they_move(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_DIMS_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    _, _, tx, _ = common.trusted(spark, SF)
+    plans = []
+
+    @contextmanager
+    def watched(session):
+        with few_rows_filter_joins(session):
+            few = tx.where("pmod(xxhash64(ts, amount), 1024) = 0").agg(F.max("ts"))
+            plans.append(few._jdf.queryExecution().optimizedPlan().toString())
+            yield
+
+    monkeypatch.setattr(ordering, "few_rows_filter_joins", watched)
+    rule = "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold"
+    before = spark.conf.get(rule)
+    last = tx.limit(1).select(events.last_transaction(tx).cast("string")).first()[0]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert last == tx.where("NOT flag_orphan_client AND NOT flag_future").agg(F.max("ts").cast("string")).first()[0]
+    assert len(plans) == 2 and all("might_contain" in p for p in plans)
+    assert spark.conf.get(rule) == before
