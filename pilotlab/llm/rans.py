@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,22 +76,24 @@ def encode_block(table: FrequencyTable, ids: np.ndarray) -> dict[str, object]:
     lanes = int(max(1, min(LANES, 1 << max(0, n // 64).bit_length())))
     steps = -(-n // lanes)
     symbols = table.symbol[ids]
-    bits, mask_shift = np.uint64(table.bits), np.uint64(63 - table.bits)
+    total, mask_shift = np.uint64(1 << table.bits), np.uint64(63 - table.bits)
     states = np.full(lanes, LOW, dtype=np.uint64)
     words: list[np.ndarray] = []
     checkpoints: list[np.ndarray] = []
     counts: list[int] = []
     in_segment = 0
+    limits, rests = table.sizes << mask_shift, total - table.sizes
     for step in range(steps - 1, -1, -1):
         s = symbols[step * lanes : (step + 1) * lanes]
-        size, start, x = table.sizes[s], table.starts[s], states[: len(s)]
-        full = x >= size << mask_shift
+        x = states[: len(s)]
+        full = np.flatnonzero(x >= limits[s])
         shed = x[full]
-        words.append((shed & np.uint64(0xFFFFFFFF)).astype("<u4"))
+        words.append(shed.astype("<u4"))  # the low 32 bits
         in_segment += len(shed)
         x[full] = shed >> WORD
-        quotient = x // size
-        x[:] = (quotient << bits) + (x - quotient * size) + start
+        # (quotient << bits) + remainder + start
+        x += x // table.sizes[s] * rests[s]
+        x += table.starts[s]
         if step % SEGMENT_STEPS == 0:
             checkpoints.append(states.copy())
             counts.append(in_segment)
@@ -127,11 +130,14 @@ def decode_block(
         for first in range(0, left, lanes):
             live = x[: min(lanes, left - first)]
             slot = live & low
-            s = slots[slot]
-            ids[first : first + len(live)] = s
-            live[:] = table.sizes[s] * (live >> bits) + slot - table.starts[s]
+            s = ids[first : first + len(live)]
+            s[:] = slots.take(slot.view(np.int64))
+            live >>= bits
+            live *= table.sizes.take(s)
+            slot -= table.starts.take(s)
+            live += slot
             empty = np.flatnonzero(live < LOW)
-            live[empty] = live[empty] << WORD | words[at : at + len(empty)]
+            live[empty] = live.take(empty) << WORD | words[at : at + len(empty)]
             at += len(empty)
         ids = table.ids[ids]
         if zlib.crc32(ids.astype("<u4").tobytes()) != checksums[k] or at != begins[k + 1]:
@@ -175,11 +181,11 @@ def token_rows(
 def _count_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4")
-            counts = np.bincount(ids, minlength=len(total))
-            counts[: len(total)] += total
-            total = counts
+        # The ids of a batch are counted together: a count needs as long an array as there are different ids.
+        n, raw = pc.sum(batch.column(0)).as_py() or 0, b"".join(batch.column(1).to_pylist())
+        counts = np.bincount(np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4"), minlength=len(total))
+        counts[: len(total)] += total
+        total = counts
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "count"])
 
